@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, encoding, mixing, packing, vectors
+from . import chunking, encoding, mixing, mojibake, overlap, packing, sentences, vectors
 from .common import clean_name, latest, table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return sentences.split_sentences(docs, _judge(docs))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return vectors.similar_pairs(vectors.most_similar(vectors.usable(table(spark, d, "doc_vectors"), 96)))
 
@@ -28,6 +33,18 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.pieces_of(chunking.split_oversized(table(spark, d, "documents"), table(spark, d, "model_confs"), with_text=True))
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split_overlaps(overlap.records(table(spark, d, "combined_pairs")), table(spark, d, "documents"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select(F.least("eval_id", "train_id").alias("ex_id_a"), F.greatest("eval_id", "train_id").alias("ex_id_b"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(overlap.records(table(spark, d, "combined_pairs")), _overlaps(spark, d))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     sents = latest(table(spark, d, "sent_pairs").select("sent_id", "ds", "loaded_at", F.coalesce("src_len", F.size("src")).alias("tokens")), "sent_id")
     confs = table(spark, d, "batch_confs").select("conf_id", clean_name(F.col("ds")).alias("grp"), F.col("max_tokens").alias("capacity"))
@@ -55,6 +72,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(mixing.mix(mixing.measured(table(spark, d, "documents")), targets), targets)
 
 
+def _judge(docs: DataFrame) -> mojibake.Judge:
+    return mojibake.Judge(mojibake.fit_dictionaries(docs))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return mojibake.garbled(docs, _judge(docs), with_text=False)
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return mojibake.garbled(docs, _judge(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
