@@ -26,7 +26,7 @@ def _one_of_each(files: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] = (".txt", ".gz")) -> DataFrame:
     """id (the file's name without folders and suffixes), path, text: a row per file, whole."""
-    files = spark.read.option("wholetext", True).text(list(paths)).select(_path().alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(list(paths), wholetext=True).select(_path().alias("path"), F.col("value").alias("text"))
     fits = F.lit(False)
     for s in suffixes:
         fits = fits | F.col("path").endswith(s)
@@ -55,13 +55,20 @@ def read_listed(spark: SparkSession, listing: str, offset: int = 0, limit: int =
     names = read_lines(spark, listing, offset, limit).where(F.trim("text") != "")
     full = F.when(F.col("text").startswith("/"), F.col("text")).otherwise(F.concat(F.lit(folder + "/"), F.col("text")))
     wanted = names.select("id", F.regexp_replace(full, r"\s+$", "").alias("path"))
-    there = [r["path"] for r in wanted.select("path").distinct().collect()]  # the listing's own lines
+    # the listing's own folders are listed, and only the named files read
+    folders = [r["f"] for r in wanted.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("f")).distinct().collect()]
+    there = [f for f in folders if _exists(spark, f)]
     if not there:
         return wanted.withColumn("text", F.lit(None).cast("string"))
-    files = spark.read.option("wholetext", True).option("ignoreMissingFiles", True).text(there).select(F.regexp_replace(_path(), "^file:/+", "/").alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(there, wholetext=True).select(F.regexp_replace(_path(), "^file:/+", "/").alias("path"), F.col("value").alias("text"))
     return wanted.join(files, "path", "left").select("id", "path", "text")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 PAIR_FILE = T.StructType([T.StructField(n, T.StringType()) for n in ("src", "_a", "tgt", "_b", "label")])
 COMBINED = T.StructType([
     T.StructField("ds", T.StringType()), T.StructField("src", T.LongType()), T.StructField("tgt", T.LongType()), T.StructField("label", T.IntegerType()),
