@@ -42,7 +42,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_report(overlap.records(table(spark, d, "combined_pairs")), _overlaps(spark, d))
+    return overlap.overlap_report(overlap.records(table(spark, d, "combined_pairs"), "ds"), _overlaps(spark, d))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
@@ -91,4 +91,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can express on whole tables; the rest is tested against brute force and round trips."""
+    good = """good AS (SELECT ids AS id, max(embs::DOUBLE[]) AS v FROM doc_vectors WHERE len(embs) = 96
+        AND len(list_filter(embs, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embs, lambda x: x <> 0)) > 0 GROUP BY 1)"""
+    return {
+        "p2_found": f"""WITH {good}, n AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM good),
+            s AS (SELECT a.id AS x, b.id AS y, list_inner_product(a.v, b.v) / (a.n * b.n) AS c FROM n a, n b WHERE a.id <> b.id),
+            k AS (SELECT x, y FROM s QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 10)
+            SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM k""",
+        "p3_found": "SELECT doc_id, conf_id FROM documents, model_confs WHERE split_input AND length(text) > coalesce(max_chunk_size, 512)",
+        "p5_found": """WITH s AS (SELECT sent_id, arg_max({'ds': ds, 'n': coalesce(src_len, len(src))}, loaded_at) AS r FROM sent_pairs GROUP BY 1)
+            SELECT sent_id, conf_id FROM s JOIN batch_confs b ON b.ds = s.r.ds WHERE s.r.n > coalesce(max_tokens, 96000)""",
+    }
