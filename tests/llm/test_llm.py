@@ -284,6 +284,36 @@ def test_overlaps_equal_brute_force(spark):
     assert overlap.cross_split_overlaps(recs.where("false"), docs).count() == 0
 
 
+def test_overlaps_without_spaces_equal_brute_force(spark):
+    rng = random.Random(7)
+    scripts = {"zh": [chr(0x4E00 + k) for k in range(900)], "ja": [chr(0x3041 + k) for k in range(80)] + [chr(0x5000 + k) for k in range(300)], "th": [chr(0x0E01 + k) for k in range(46)]}
+    texts = []
+
+    def changed(w, share, letters):
+        out = []
+        for x in w:
+            kind = rng.choice("rrid") if rng.random() < share else ""
+            out += {"": [x], "r": [rng.choice(letters)], "i": [x, rng.choice(letters)], "d": []}[kind]
+        return out
+
+    for letters in scripts.values():
+        for n in (5, 12, 60, 61, 150, 400):
+            w = [rng.choice(letters) for _ in range(n)]
+            texts += ["".join(w), *("".join(changed(w, x, letters)) for x in (0.05, 0.1, 0.15, 0.18, 0.21, 0.3))]
+    for share in (0.05, 0.18, 0.2, 0.22, 0.3, 0.38, 0.42, 0.7):  # words beside characters
+        letters = [*scripts["zh"], *WORDS]
+        w = [rng.choice(scripts["zh"]) if rng.random() < share else rng.choice(WORDS) for _ in range(80)]
+        texts += [" ".join(w), *(" ".join(changed(w, x, some)) for x in (0.1, 0.16, 0.19) for some in (scripts["zh"], WORDS, letters))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    at, n = dt.datetime(2025, 1, 1), len(texts)
+    rows = [(k, "train" if k < n else "test", "d", k % n, k % n, None, None, at) for k in range(2 * n)]
+    df = spark.createDataFrame(rows, "ex_id bigint, split string, ds string, src bigint, tgt bigint, shash string, thash string, loaded_at timestamp")
+    got = {(e - n, t) for e, t in overlap.cross_split_overlaps(overlap.records(df), docs).collect()}
+    w = [overlap.words(t) for t in texts]
+    assert got == {(x, y) for x in range(n) for y in range(n) if overlap.common_order(w[x], w[y]) * 5 >= max(len(w[x]), len(w[y])) * 4}
+    assert len(got) > n + 100
+
+
 def test_words_pass_over_form():
     assert overlap.words("ＡＢ­c, é!") == ["abc", "é"] and overlap.words("没有 ab") == ["没", "有", "ab"]
 

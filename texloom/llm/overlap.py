@@ -29,8 +29,10 @@ BROADCAST_PAIRS = 400_000
 CLASSES = 256
 #: Counters of the frequency sketch: its size is fixed, whatever the corpus.
 SKETCH_BITS = 20
-#: Characters that make one gram in scripts without spaces, and characters to each place of change there.
-WIDE_GRAM, WIDE_PLACE = 5, 20
+#: Texts of scripts without spaces that meet as many others in one task.
+BLOCK = 2_048
+#: Ratio of the lengths that bound a band: texts that agree are at most 5 / 4 apart, so they lie in one band or in two side by side.
+BAND = 1.26
 
 TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]|[\p{L}\p{M}\p{N}]+")
 WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
@@ -72,41 +74,43 @@ def records(pairs: DataFrame, *keep: str) -> DataFrame:
 
 
 def _keys_of_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, md5, key (of its words), node (the start of the key), m (its words) and sketch (how many fall into each of CLASSES classes, at most 15), and need (grams a text that agrees must share with it among its rarest) of each text.
+    """doc_id, md5, key (of its words), node (the start of the key), m (its words) and sketch (how many fall into each of CLASSES classes, at most 15), need (grams a text that agrees must share with it among its rarest) and chars (its words as numbers, where the text meets others by length) of each text.
 
     One more row of each task, without a doc_id, has what it adds to the frequency sketch of grams:
     buckets and counts.
     """
     mask = (1 << SKETCH_BITS) - 1
-    names = ["doc_id", "md5", "key", "node", "m", "sketch", "need", "buckets", "counts"]
+    names = ["doc_id", "md5", "key", "node", "m", "sketch", "need", "chars", "buckets", "counts"]
     lists = pa.list_(pa.int32()), pa.list_(pa.int64())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.zeros(mask + 1, np.int64)
         for b in batches:
-            md5s, keys_, sizes, sketches, needs = [], [], [], [], []
+            md5s, keys_, sizes, sketches, needs, chars = [], [], [], [], [], []
             cache: dict[str, int] = {}
             for t in b.column("text").to_pylist():
                 w = words(t)
                 tokens = _tokens(w, cache)
-                grams, lone = _grams(tokens)
+                lone = _lone(tokens)
                 md5s.append(text_hash(t))
                 keys_.append(word_key(t, w))
                 sizes.append(len(w))
                 sketches.append(_sketch(tokens))
                 take, need = _indexed(len(w), lone)
                 needs.append(need)
-                np.add.at(often, grams & mask, 1)
+                chars.append((tokens >> 8).astype(np.int32).tobytes() if _by_length(len(w), lone) else None)
+                if _by_words(len(w), lone):
+                    np.add.at(often, _grams(tokens) & mask, 1)
             node = np.frombuffer(b"".join(k[:8] for k in keys_), np.int64)
             none = [None] * b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(md5s, pa.binary()), pa.array(keys_, pa.binary()), pa.array(node), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(needs, pa.int32()), *(pa.array(none, x) for x in lists)], names=names
+                [b.column("doc_id"), pa.array(md5s, pa.binary()), pa.array(keys_, pa.binary()), pa.array(node), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(needs, pa.int32()), pa.array(chars, pa.binary()), *(pa.array(none, x) for x in lists)], names=names
             )
         at = np.flatnonzero(often)
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([*(pa.array([None], k) for k in kinds), pa.array([at], lists[0]), pa.array([often[at]], lists[1])], names=names)
 
-    return _texts(docs).mapInArrow(keys, "doc_id bigint, md5 binary, key binary, node bigint, m int, sketch binary, need int, buckets array<int>, counts array<bigint>")
+    return _texts(docs).mapInArrow(keys, "doc_id bigint, md5 binary, key binary, node bigint, m int, sketch binary, need int, chars binary, buckets array<int>, counts array<bigint>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -127,44 +131,41 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return (n[::2] << 4 | n[1::2]).tobytes()
 
 
-def _grams(tokens: np.ndarray) -> tuple[np.ndarray, int]:
-    """The grams of a text, one at each token, the n-th of the same kind told apart; and the number of lone characters.
+def _lone(tokens: np.ndarray) -> int:
+    """The characters of scripts without spaces."""
+    return int((tokens & 1).sum())
 
-    A word is a gram by itself: one word in five may differ, so no longer gram is certain to be left
-    whole. Of scripts without spaces it is WIDE_GRAM characters.
+
+def _by_length(m: int, lone: int) -> bool:
+    """Whether a text meets others by length: more than a fifth of its tokens are characters of scripts without spaces."""
+    return lone * 5 > m
+
+
+def _by_words(m: int, lone: int) -> bool:
+    """Whether a text meets others by its rarest words: at most two fifths of its tokens are such characters.
+
+    Texts that agree have one of the two ways in common. Where one has at most a fifth of such
+    characters, those are at most a quarter of the tokens in common, which are at least four fifths
+    of the other text; with the fifth that is its own, it has at most two fifths.
     """
-    wide = (tokens & 1).astype(bool)
+    return lone * 5 <= m * 2
+
+
+def _grams(tokens: np.ndarray) -> np.ndarray:
+    """The tokens of a text, the n-th of the same kind told apart: one in five may differ, so no longer gram is certain to be left whole."""
     grams = tokens.copy()
-    if wide.any():
-        mixed = tokens.astype(np.uint64)
-        for step in range(1, WIDE_GRAM):
-            later = np.zeros_like(mixed)
-            later[:-step] = tokens[step:].astype(np.uint64) if len(tokens) > step else 0
-            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + later
-        grams = np.where(wide, mixed.astype(np.int64), grams)
     order = np.argsort(grams, kind="stable")
     ranked = grams[order]
     first = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.empty(0, bool)
     nth = np.arange(len(ranked)) - np.maximum.accumulate(np.where(first, np.arange(len(ranked)), 0))
     with np.errstate(over="ignore"):
         grams[order] = ranked + nth.astype(np.int64) * np.int64(0x632BE59BD9B4E019)
-    return grams, int(wide.sum())
-
-
-def _missing(m: int, lone: int) -> int:
-    """Grams of a text of ``m`` tokens that another one may lack and still agree with it.
-
-    A word is one gram. A run of changed characters takes WIDE_GRAM - 1 grams beside its own, and
-    one run is allowed for in WIDE_PLACE characters: in scripts without spaces, texts that differ in
-    more places than that, though in less than a fifth of the characters, may be missed.
-    """
-    k = m - -(-m * 4 // 5)
-    return k + (WIDE_GRAM - 1) * min(k, -(-lone // WIDE_PLACE))
+    return grams
 
 
 def _indexed(m: int, lone: int) -> tuple[int, int]:
     """How many of its rarest grams a text is indexed by, and how many of them a text that agrees must share."""
-    miss = _missing(m, lone)
+    miss = m // 5  # what a text that agrees may lack
     share = SHARED + lone // WIDE_SHARED
     take = min(m, miss + share)
     return take, max(1, min(share, take - miss))
@@ -190,11 +191,97 @@ def common_order(a: list, b: list) -> int:
     return low + len(a) - ha + (hb - low - v.bit_count())
 
 
+def _places(tokens: list[int]) -> dict[int, int]:
+    """The places of each token, a bit per place."""
+    where: dict[int, int] = {}
+    for k, t in enumerate(tokens):
+        where[t] = where.get(t, 0) | 1 << k
+    return where
+
+
+def _agree(a: list[int], n: int, where: dict[int, int]) -> bool:
+    """Whether four fifths of the longer one's tokens of ``a`` and a text of ``n`` tokens at the places ``where`` stand in the same order.
+
+    As in ``common_order``; given up once what is left of ``a`` can't make up for what is missing: its
+    first p tokens lie in the first p + d of the other, d being what that may have for itself.
+    """
+    least = -(-max(len(a), n) * 4 // 5)
+    full = (1 << n) - 1
+    v, p = full, 0
+    for part in range(1, 9):
+        q = len(a) * part // 8
+        for t in a[p:q]:
+            hit = v & where.get(t, 0)
+            if hit:
+                v = ((v + hit) | (v - hit)) & full
+        p, seen = q, min(n, q + n - least)
+        if seen - (v & ((1 << seen) - 1)).bit_count() + len(a) - p < least:
+            return False
+    return True
+
+
+def _meet(rows: pa.Table) -> pa.Table:
+    """a, b: texts of the rows' one block, or of one of its two blocks and the other, that agree by their tokens' numbers and are of use."""
+    rows = rows.take(np.argsort(rows.column("m").to_numpy(), kind="stable"))
+    sizes, roles, reps = (rows.column(x).to_numpy() for x in ("m", "roles", "rep"))
+    tokens = [np.frombuffer(x, np.int32) for x in rows.column("chars").to_pylist()]
+    counts = np.stack([np.minimum(np.bincount(t % CLASSES, minlength=CLASSES), 255) for t in tokens]).astype(np.uint8)
+    totals = counts.sum(1, dtype=np.int32)
+    side = rows.column("band").to_numpy().astype(np.int64) << 32 | rows.column("block").to_numpy()
+    one, two = (np.flatnonzero(side == x) for x in (side.min(), side.max()))
+    places: dict[int, dict[int, int]] = {}
+    lists: dict[int, list[int]] = {}
+    left, right = [], []
+    m, n, met = sizes[two], totals[two], counts[two]
+    for k, i in enumerate(one):
+        low = k + 1 if side.min() == side.max() else np.searchsorted(m * 5, sizes[i] * 4)
+        high = np.searchsorted(m * 4, sizes[i] * 5, side="right")
+        common = np.minimum(met[low:high], counts[i]).sum(1, dtype=np.int32)
+        may = sizes[i] + m[low:high] - 2 * -(-np.maximum(sizes[i], m[low:high]) * 4 // 5)
+        other = roles[two[low:high]]
+        of_use = (roles[i] & 1) * (other & 2) + (roles[i] & 2) * (other & 1) > 0
+        for j in two[low:high][of_use & (totals[i] + n[low:high] - 2 * common <= may)]:
+            for x in (i, j):
+                if x not in lists:
+                    lists[x] = tokens[x].tolist()
+            if j not in places:
+                places[j] = _places(lists[j])
+            if _agree(lists[i], len(lists[j]), places[j]):
+                left.append(min(reps[i], reps[j]))
+                right.append(max(reps[i], reps[j]))
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def _met_by_length(nodes: DataFrame) -> DataFrame:
+    """a, b: representatives, a < b, of texts with ``chars`` that agree, up to tokens of the same number, in four fifths of the longer one's.
+
+    No gram is certain to be left whole where every fifth character may differ, and single
+    characters are too frequent to be looked up. So texts of about the same length meet in blocks, and
+    those whose counts in CLASSES classes are near enough are compared.
+    """
+    spark = nodes.sparkSession
+    rows = nodes.where("chars IS NOT NULL").select("rep", "m", "roles", "chars", F.floor(F.log("m") / F.log(F.lit(BAND))).cast("int").alias("band"))
+    blocks = {r["band"]: -(-r["count"] // BLOCK) for r in rows.groupBy("band").count().collect()}  # a row per band
+    tasks, no = [], 0
+    for band, n in blocks.items():
+        own = [(band, k) for k in range(n)]
+        above = [(band + 1, k) for k in range(blocks.get(band + 1, 0))]
+        for k, x in enumerate(own):
+            for y in own[k:] + above:
+                tasks += [(no, *z) for z in {x, y}]
+                no += 1
+    dealt = spark.createDataFrame(tasks, "task long, band int, block int")
+    count = spark.createDataFrame(list(blocks.items()), "band int, n int")
+    placed = rows.join(F.broadcast(count), "band").withColumn("block", F.pmod(F.xxhash64("rep"), "n").cast("int")).drop("n")
+    return placed.join(F.broadcast(dealt), ["band", "block"]).groupBy("task").applyInArrow(_meet, "a bigint, b bigint")
+
+
 def near_texts(docs: DataFrame, nodes: DataFrame, counters: DataFrame) -> DataFrame:
     """a, b: representatives, a < b, of texts that agree in four fifths of the longer one's words, one of each pair of use in evaluation and the other in training.
 
-    ``docs``: doc_id, text. ``nodes``: node, rep (a doc_id), m, sketch, need, roles (1: evaluation, 2: training,
-    3: both), a row per sequence of words in use. ``counters``: buckets, counts of the frequency sketch. Each text is indexed by its rarest grams, by a
+    ``docs``: doc_id, text. ``nodes``: node, rep (a doc_id), m, sketch, need, chars, roles (1: evaluation, 2: training,
+    3: both), a row per sequence of words in use. ``counters``: buckets, counts of the frequency sketch. Texts in scripts without
+    spaces meet by length; each other text is indexed by its rarest grams, by a
     frequency sketch of all texts: as many as another may lack, and SHARED more, so that texts that
     agree share SHARED of them. Of the pairs that do, those whose counts of words in CLASSES classes
     differ too much are dropped, and the others are compared word by word. No text is shuffled
@@ -220,7 +307,11 @@ def near_texts(docs: DataFrame, nodes: DataFrame, counters: DataFrame) -> DataFr
                 if not w or (node := int.from_bytes(word_key(t, w)[:8], "little", signed=True)) in seen:
                     continue
                 seen.add(node)
-                g, lone = _grams(_tokens(w, cache))
+                tokens = _tokens(w, cache)
+                lone = _lone(tokens)
+                if not _by_words(len(w), lone):
+                    continue
+                g = _grams(tokens)
                 take, _ = _indexed(len(g), lone)
                 out.append(g[np.lexsort((g, often[g & mask]))[:take]])
                 nodes_.append(node)
@@ -239,7 +330,7 @@ def near_texts(docs: DataFrame, nodes: DataFrame, counters: DataFrame) -> DataFr
     # Fewer than SHARED grams are needed of very short texts only, which the upper half of the count marks.
     half = F.lit((1 << 32) - 1)
     low = lambda c: F.col(c).cast("bigint").bitwiseAND(half)
-    short = F.least("x", "y") < 2 * SHARED + WIDE_GRAM
+    short = F.least("x", "y") < 2 * SHARED
     counted = met.groupBy(F.shiftleft(low("a"), 32).bitwiseOR(low("b")).alias("pair")).agg(F.sum(F.when(short, F.lit((1 << 32) + 1)).otherwise(F.lit(1).cast("bigint"))).alias("n"))
     often_met = counted.where((low("n") >= SHARED) | (F.col("n") > half)).select(F.shiftrightunsigned("pair", 32).alias("a"), low("pair").alias("b"), low("n").alias("n"))
 
@@ -257,7 +348,8 @@ def near_texts(docs: DataFrame, nodes: DataFrame, counters: DataFrame) -> DataFr
         keep = apart <= may
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)[keep]), pa.array(np.maximum(left, right)[keep])], names=["a", "b"])
 
-    pairs = cut(arrow_map(both.select("a_rep", "b_rep", "a_m", "b_m", "a_sketch", "b_sketch"), "a bigint, b bigint", plausible))
+    by_words = arrow_map(both.select("a_rep", "b_rep", "a_m", "b_m", "a_sketch", "b_sketch"), "a bigint, b bigint", plausible)
+    pairs = cut(by_words.unionByName(_met_by_length(nodes)).distinct())
     few = pairs.count() <= BROADCAST_PAIRS  # else the texts are shuffled
     known = F.broadcast(pairs) if few else pairs
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")).join(known, "a")
@@ -314,7 +406,7 @@ def cross_split_overlaps(recs: DataFrame, docs: DataFrame) -> DataFrame:
     keyed = stored(_keyed(recs, texts))
     sides = keyed.select(F.when(F.col("train"), 2).otherwise(1).alias("role"), F.explode(F.array("ks", "kt")).alias("doc_id")).where("doc_id >= 0").distinct()
     used = sides.groupBy("doc_id").agg(F.sum("role").cast("int").alias("roles"))
-    found = near_texts(docs, keys.select(F.col("doc_id").alias("rep"), "node", "m", "sketch", "need").join(used.withColumnRenamed("doc_id", "rep"), "rep"), told.where("doc_id IS NULL").select("buckets", "counts"))
+    found = near_texts(docs, keys.select(F.col("doc_id").alias("rep"), "node", "m", "sketch", "need", "chars").join(used.withColumnRenamed("doc_id", "rep"), "rep"), told.where("doc_id IS NULL").select("buckets", "counts"))
     near = cut(found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     e = keyed.where(~F.col("train")).select(F.col("ex_id").alias("eval_id"), "ks", "kt")
     t = keyed.where("train").select(F.col("ex_id").alias("train_id"), F.col("ks").alias("s"), F.col("kt").alias("t"))
