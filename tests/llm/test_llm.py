@@ -318,6 +318,13 @@ def test_words_pass_over_form():
     assert overlap.words("ＡＢ­c, é!") == ["abc", "é"] and overlap.words("没有 ab") == ["没", "有", "ab"]
 
 
+def test_characters_stay_single_beside_words():
+    assert overlap.words("3版本 v2版") == ["3", "版", "本", "v2", "版"] and overlap.words("データ ﾃﾞｰﾀ") == [*"データ", *"データ"]
+    assert overlap.words("2024年に東京で") == ["2024", *"年に東京で"] and overlap.words("ก5ข ชื่อA") == ["ก", "5", "ข", *"ชื่อ", "a"]
+    a, b = "2024年にデータベースを開いて会議をした", "2024年にデータベースを閉いて会談をした"
+    assert overlap.common_order(overlap.words(a), overlap.words(b)) * 5 >= len(overlap.words(a)) * 4
+
+
 def test_latest_row_wins(spark):
     df = spark.createDataFrame([(1, "a", dt.datetime(2025, 1, 1)), (1, "b", dt.datetime(2025, 1, 2)), (1, "c", None), (None, "d", None)], "k int, v string, loaded_at timestamp")
     assert [tuple(r)[:2] for r in latest(df, "k").collect()] == [(1, "b")]

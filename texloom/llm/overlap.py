@@ -34,8 +34,10 @@ BLOCK = 2_048
 #: Ratio of the lengths that bound a band: texts that agree are at most 5 / 4 apart, so they lie in one band or in two side by side.
 BAND = 1.26
 
-TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]|[\p{L}\p{M}\p{N}]+")
-WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+#: Letters of scripts without spaces; the long mark of kana belongs to no script by itself.
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+TOKEN = regex.compile(rf"[{UNSPACED}]|(?:(?![{UNSPACED}])[\p{{L}}\p{{M}}\p{{N}}])+")
+WIDE = regex.compile(f"[{UNSPACED}]")
 HIDDEN = re.compile("[\xad͏؜​-‏‪-‮⁠-⁤︀-️﻿]")
 LINES = re.compile("[^\n]*\n|[^\n]+")
 
