@@ -365,6 +365,33 @@ def test_sound_texts_are_left_alone(judge, text):
     assert mojibake.inspect(text, judge) == (False, text, [])
 
 
+ZH = "没有人知道这座档案馆的历史，它已经关闭了。门口的传感器记录了温度和湿度，但是没有人读过这些记录。"
+JA = "データベースを開いて会議をした。館長はその記録を読んでいないと答えた。"
+
+
+@pytest.mark.parametrize(("text", "read"), [(ZH, "gb18030"), (JA, "cp932"), (FR, "gb18030"), (RU, "gb18030")])
+def test_text_misread_in_an_encoding_of_several_bytes(judge, text, read):
+    fit = lambda x: mojibake.train([x.encode()] * 30)
+    judge = mojibake.Judge(judge.dictionaries | {"zh": fit(ZH), "ja": fit(JA)})
+    found, restored, chain = mojibake.inspect(text.encode().decode(read, "replace"), judge)
+    lost = sum(x not in restored for x in text) / len(text)
+    assert found and chain == [f"utf_8<{read}"] and lost < 0.3
+    assert mojibake.inspect(text, judge) == (False, text, [])
+
+
+def test_misread_text_without_odd_characters_comes_back(judge):
+    judge = mojibake.Judge(judge.dictionaries | {"zh": mojibake.train([ZH.encode()] * 30)})
+    usual = lambda x: "�" not in x and not mojibake.ODD.search(x)
+    text = "".join(x for k in range(0, len(ZH) - 1, 2) if usual((x := ZH[k : k + 2]).encode().decode("gb18030", "replace")))
+    garbled = text.encode().decode("gb18030")
+    assert len(text) > 10 and usual(garbled) and mojibake.inspect(garbled, judge) == (True, text, ["utf_8<gb18030"])
+
+
+@pytest.mark.parametrize("text", ["脆弱的档案与梅莫克格\n", "狭い目録とナモケ\n", "致密的语料与克格莫\n"])
+def test_sound_titles_of_han_are_left_alone(judge, text):
+    assert mojibake.inspect(text, judge) == (False, text, [])
+
+
 def test_replacement_characters_are_found(judge):
     assert mojibake.inspect("F�r das �l", judge)[0]
 
