@@ -154,3 +154,11 @@ def test_texts_without_lines(spark, value):
     docs = spark.createDataFrame([(1, value), (2, "a b c\nd")], "doc_id bigint, text string")
     assert [r.doc_id for r in text.document_info(docs).collect()] == [2]
     assert text.sentence_lines(docs).count() == 2
+
+
+def test_every_label_has_a_score(spark):
+    from texloom.plans import vector_queries
+
+    rows = [(k, k % 12, [float(k % 12 == j) for j in range(12)]) for k in range(24)]
+    v = spark.createDataFrame(rows, "id bigint, label int, vec array<double>")
+    assert vector_queries._label_scores(v).groupBy("q").agg(F.countDistinct("t").alias("n")).where("n = 12").count() == 24

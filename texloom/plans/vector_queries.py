@@ -171,7 +171,8 @@ def fitted_index_recall(spark: SparkSession, d: str) -> DataFrame:
 
 def _label_scores(v: DataFrame) -> DataFrame:
     """q, t (a label), sim for every vector and label."""
-    c = S.exact_knn(v.select(F.col("id").alias("q"), "vec"), _centers(v).select(F.col("center").alias("t"), "vec"), 10)
+    centers = _centers(v).select(F.col("center").alias("t"), "vec")
+    c = S.exact_knn(v.select(F.col("id").alias("q"), "vec"), centers, max(1, centers.count()))
     return c.select("q", "t", "sim")
 
 
