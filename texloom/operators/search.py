@@ -1,4 +1,4 @@
-"""Similarity search: exact, by margin, and through inverted lists with product quantisation."""
+"""Similarity search: exact, by margin, and through inverted lists; product quantisation stands by itself."""
 
 from __future__ import annotations
 
