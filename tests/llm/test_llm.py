@@ -213,9 +213,9 @@ def test_cells_come_by_the_sum_of_distances():
     index = vectors.MultiIndex(rng.normal(size=(6, 2)), rng.normal(size=(5, 2)))
     index.lay_out({c: 1 for c in range(30)})
     d1, d2 = rng.random(6), rng.random(5)
-    order = index.visit(d1, d2, 30)
+    order, reach = index.visit(d1, d2, 30)
     sums = [d1[c // 5] + d2[c % 5] for c in order]
-    assert sums == sorted(sums) and sorted(order) == list(range(30))
+    assert sums == sorted(sums) and sorted(order) == list(range(30)) and reach == max(sums)
 
 
 # --- overlap ------------------------------------------------------------------------------------
