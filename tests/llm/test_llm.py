@@ -174,6 +174,20 @@ def test_inclusion_follows_the_weight(spark):
     assert len(got) == 800 and 0.68 < heavy / 800 < 0.82
 
 
+# --- packing index ---
+def test_sums_are_listed_once_and_kept_under_the_counts():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        lengths = rng.integers(1, 25, 30)
+        stock, left = packing.Stock(lengths), sorted(lengths.tolist())
+        for total in rng.integers(2, 60, 25).tolist():
+            can = total in left or any(a + b == total for i, a in enumerate(left) for b in left[i + 1 :]) or any(a + b + c == total for i, a in enumerate(left) for j, b in enumerate(left[i + 1 :], i + 1) for c in left[j + 1 :])
+            got = stock.exact(total)
+            assert (got is not None) == can and (got is None or sum(got) == total)
+            for n in got or ():
+                left.remove(stock.take(n))
+
+
 # --- vectors ------------------------------------------------------------------------------------
 def brute_pairs(ids, m, k):
     u = vectors.unit_rows(m)
@@ -335,10 +349,13 @@ RU = "Хранитель считал, что медленный датчик с
 FR = "L’été suivant, le théâtre fut comparé à 91 échantillons; où siège l’équipe, la même clarté précède déjà."
 
 
+EN = "The café kept its façade, and the naïve view doesn’t hold – the letters Þ, Ã and Ð stand for it."
+FITTED = {"ru": [RU, RU.lower()] * 30, "fr": [FR] * 30, "en": [EN] * 30}
+
+
 @pytest.fixture(scope="module")
 def judge():
-    fit = lambda *t: mojibake.train([x.encode() for x in t] * 30)
-    return mojibake.Judge({"ru": fit(RU, RU.lower()), "fr": fit(FR), "en": fit("The café kept its façade, and the naïve view doesn’t hold – the letters Þ, Ã and Ð stand for it.")})
+    return mojibake.fit_texts(FITTED)
 
 
 @pytest.mark.parametrize(
@@ -371,8 +388,7 @@ JA = "データベースを開いて会議をした。館長はその記録を
 
 @pytest.mark.parametrize(("text", "read"), [(ZH, "gb18030"), (JA, "cp932"), (FR, "gb18030"), (RU, "gb18030")])
 def test_text_misread_in_an_encoding_of_several_bytes(judge, text, read):
-    fit = lambda x: mojibake.train([x.encode()] * 30)
-    judge = mojibake.Judge(judge.dictionaries | {"zh": fit(ZH), "ja": fit(JA)})
+    judge = mojibake.fit_texts(FITTED | {"zh": [ZH] * 30, "ja": [JA] * 30})
     found, restored, chain = mojibake.inspect(text.encode().decode(read, "replace"), judge)
     lost = sum(x not in restored for x in text) / len(text)
     assert found and chain == [f"utf_8<{read}"] and lost < 0.3
@@ -380,7 +396,7 @@ def test_text_misread_in_an_encoding_of_several_bytes(judge, text, read):
 
 
 def test_misread_text_without_odd_characters_comes_back(judge):
-    judge = mojibake.Judge(judge.dictionaries | {"zh": mojibake.train([ZH.encode()] * 30)})
+    judge = mojibake.fit_texts(FITTED | {"zh": [ZH] * 30})
     usual = lambda x: "�" not in x and not mojibake.ODD.search(x)
     text = "".join(x for k in range(0, len(ZH) - 1, 2) if usual((x := ZH[k : k + 2]).encode().decode("gb18030", "replace")))
     garbled = text.encode().decode("gb18030")
@@ -392,6 +408,18 @@ def test_sound_titles_of_han_are_left_alone(judge, text):
     assert mojibake.inspect(text, judge) == (False, text, [])
 
 
+@pytest.mark.parametrize("text", ["gue fragile de Bouzleim dÃ©place le mouprougour.", "The pigment showed 29.4 В± 85.20 mm.", "le théâtre ne dÃ©passe l’équipe"])
+def test_one_misread_letter_among_sound_ones_is_found(judge, text):
+    found, restored, chain = mojibake.inspect(text, judge)
+    assert found and len(chain) == 1 and not set("ÃВ") & set(restored)
+
+
+def test_short_pieces_follow_the_step_that_longer_ones_show(judge):
+    text = "Глава 3\n" + RU
+    back = text.encode("cp1251", "ignore").decode("cp1252", "replace")
+    assert mojibake.inspect(back, judge)[1].startswith("Глава 3\n")
+
+
 def test_replacement_characters_are_found(judge):
     assert mojibake.inspect("F�r das �l", judge)[0]
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import chunking, encoding, mixing, mojibake, overlap, packing, sentences, vectors
 from .common import clean_name, latest, table
 
@@ -45,18 +46,23 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(overlap.records(table(spark, d, "combined_pairs"), "ds"), _overlaps(spark, d))
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
+def _to_pack(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sents = latest(table(spark, d, "sent_pairs").select("sent_id", "ds", "loaded_at", F.coalesce("src_len", F.size("src")).alias("tokens")), "sent_id")
     confs = table(spark, d, "batch_confs").select("conf_id", clean_name(F.col("ds")).alias("grp"), F.col("max_tokens").alias("capacity"))
-    return packing.pack_items(sents.select(F.col("sent_id").alias("item"), clean_name(F.col("ds")).alias("grp"), "tokens"), confs)
+    return sents.select(F.col("sent_id").alias("item"), clean_name(F.col("ds")).alias("grp"), "tokens"), confs
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).where("parts > 1 AND part = 1").select(F.col("item").alias("sent_id"), "conf_id")
+    return packing.pack_items(*_to_pack(spark, d)).where("parts > 1 AND part = 1").select(F.col("item").alias("sent_id"), "conf_id")
 
 
 def p5_batches(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).withColumnRenamed("item", "sent_id")
+    return packing.pack_items(*_to_pack(spark, d)).withColumnRenamed("item", "sent_id")
+
+
+def p5_faults(spark: SparkSession, d: str) -> DataFrame:
+    items, confs = _to_pack(spark, d)
+    return packing.packing_faults(items, confs, cut(packing.pack_items(items, confs)))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +79,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judge(docs: DataFrame) -> mojibake.Judge:
-    return mojibake.Judge(mojibake.fit_dictionaries(docs))
+    return mojibake.fit(docs)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,4 +108,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": "SELECT doc_id, conf_id FROM documents, model_confs WHERE split_input AND length(text) > coalesce(max_chunk_size, 512)",
         "p5_found": """WITH s AS (SELECT sent_id, arg_max({'ds': ds, 'n': coalesce(src_len, len(src))}, loaded_at) AS r FROM sent_pairs GROUP BY 1)
             SELECT sent_id, conf_id FROM s JOIN batch_confs b ON b.ds = s.r.ds WHERE s.r.n > coalesce(max_tokens, 96000)""",
+        "p5_faults": """WITH s AS (SELECT sent_id, arg_max({'ds': ds, 'n': coalesce(src_len, len(src))}, loaded_at) AS r FROM sent_pairs GROUP BY 1)
+            SELECT conf_id, count(*) AS items, sum(s.r.n)::BIGINT AS tokens, 0::BIGINT AS lost, 0::BIGINT AS needless_splits, 0::BIGINT AS overfull, 0::BIGINT AS miscounted
+            FROM s JOIN batch_confs b ON b.ds = s.r.ds GROUP BY 1""",
     }
