@@ -78,6 +78,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(mixing.mix(mixing.measured(table(spark, d, "documents")), targets), targets)
 
 
+def p7_inclusion(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.inclusion_report(mixing.measured(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
 def _judge(docs: DataFrame) -> mojibake.Judge:
     return mojibake.fit(docs)
 
