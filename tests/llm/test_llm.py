@@ -500,3 +500,22 @@ def test_registered_queries(spark, sf):
     assert queries.p1_found(spark, sf).dtypes == [("doc_id", "bigint"), ("start_pos", "int"), ("end_pos", "int")]
     assert queries.p6_ids(spark, sf).dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
     json.dumps(sorted(queries.queries()))
+
+
+def test_lists_are_levels_of_the_stack():
+    text = "Intro.\n1) One. Two.\n  a) Deep.\n  b) More.\n2) Last.\nAfter it."
+    units = [text[a:b] for a, b in sentences.sentence_units(text)]
+    assert units == ["Intro.", "1) One.", "Two.", "a) Deep.", "b) More.", "2) Last.", "After it."]
+    assert sentences.list_depths(text) == [0, 1, 1, 2, 2, 1, 0] and sentences.list_depths(" ") == []
+
+
+def test_work_grows_with_the_length_of_a_text():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        for part in ("「没有人知道。」他说，「这座档案馆关闭了。」她问：「为什么？」", "(a] ", "— Да, — сказал он. — Нет. ", "She said “no” and (yes) "):
+            assert sentences.sentence_units(part * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 9 * took[0]
