@@ -309,7 +309,7 @@ def test_overlaps_equal_brute_force(spark):
     same = lambda *k: cache[k] if k in cache else cache.setdefault(k, bool(agree(*k)))
     want = {(e[0], t[0]) for e in one if e[1] != "train" for t in one if t[1] == "train" and same(e[3], t[3], e[5], t[5]) and same(e[4], t[4], e[6], t[6])}
     assert got == want and (1001, 1000) in got
-    report = overlap.overlap_report(recs, found).collect()
+    report = overlap.overlap_report(recs, docs).collect()
     assert sum(r.pairs for r in report) == len(got) and {r.split for r in report} == {"dev", "test"}
     assert overlap.cross_split_overlaps(recs.where("false"), docs).count() == 0
 

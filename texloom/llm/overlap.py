@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, stored
+from ..session import stored
 from .common import arrow_map, latest
 
 #: Words (characters where the script has no spaces) of the longer text that must stand in the other.
@@ -23,12 +23,13 @@ SHARE = 0.8
 SHARED = 4
 #: Characters of scripts without spaces for which one more gram must be shared.
 WIDE_SHARED = 24
-#: Pairs to be compared that are sent to all executors at most (16 bytes each).
-BROADCAST_PAIRS = 400_000
 #: Classes of words whose counts are compared before the words themselves.
 CLASSES = 256
-#: Counters of the frequency sketch: its size is fixed, whatever the corpus.
+#: Counters of the frequency sketch: its size is fixed, whatever the corpus. It tells words that make up more than a millionth of a corpus
+#: from others, which is what matters at any size; words that share a counter only look more frequent, and nothing is lost by the order.
 SKETCH_BITS = 20
+#: Texts that share a gram and meet in one task, about, on the evaluation side; a more frequent gram is split.
+HOT_GRAM = 2_048
 #: Texts of scripts without spaces that meet as many others in one task.
 BLOCK = 2_048
 #: Ratio of the lengths that bound a band: texts that agree are at most 5 / 4 apart, so they lie in one band or in two side by side.
@@ -76,61 +77,54 @@ def records(pairs: DataFrame, *keep: str) -> DataFrame:
 
 
 def _keys_of_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, md5, key (of its words), node (the start of the key), m (its words) and sketch (how many fall into each of CLASSES classes, at most 15), need (grams a text that agrees must share with it among its rarest) and chars (its words as numbers, where the text meets others by length) of each text.
+    """doc_id, md5, key (of its words), node (the start of the key), tokens (a number per word), lone (those of scripts without spaces) and need (grams a text that agrees must share with it among its rarest) of each text.
 
     One more row of each task, without a doc_id, has what it adds to the frequency sketch of grams:
     buckets and counts.
     """
-    mask = (1 << SKETCH_BITS) - 1
-    names = ["doc_id", "md5", "key", "node", "m", "sketch", "need", "chars", "buckets", "counts"]
+    names = ["doc_id", "md5", "key", "node", "tokens", "lone", "need", "buckets", "counts"]
     lists = pa.list_(pa.int32()), pa.list_(pa.int64())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.zeros(mask + 1, np.int64)
+        often = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            md5s, keys_, sizes, sketches, needs, chars = [], [], [], [], [], []
+            md5s, keys_, rows, lones, needs, seen = [], [], [], [], [], [np.empty(0, np.int64)]
             cache: dict[str, int] = {}
             for t in b.column("text").to_pylist():
                 w = words(t)
                 tokens = _tokens(w, cache)
-                lone = _lone(tokens)
                 md5s.append(text_hash(t))
                 keys_.append(word_key(t, w))
-                sizes.append(len(w))
-                sketches.append(_sketch(tokens))
-                take, need = _indexed(len(w), lone)
-                needs.append(need)
-                chars.append((tokens >> 8).astype(np.int32).tobytes() if _by_length(len(w), lone) else None)
-                if _by_words(len(w), lone):
-                    np.add.at(often, _grams(tokens) & mask, 1)
+                rows.append(tokens.tobytes())
+                lones.append(_lone(tokens))
+                needs.append(_indexed(len(w), lones[-1])[1])
+                if _by_words(len(w), lones[-1]):
+                    seen.append(_bucket(_grams(tokens)))
+            often += np.bincount(np.concatenate(seen), minlength=len(often))
             node = np.frombuffer(b"".join(k[:8] for k in keys_), np.int64)
             none = [None] * b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(md5s, pa.binary()), pa.array(keys_, pa.binary()), pa.array(node), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(needs, pa.int32()), pa.array(chars, pa.binary()), *(pa.array(none, x) for x in lists)], names=names
+                [b.column("doc_id"), pa.array(md5s, pa.binary()), pa.array(keys_, pa.binary()), pa.array(node), pa.array(rows, pa.binary()), pa.array(lones, pa.int32()), pa.array(needs, pa.int32()), *(pa.array(none, x) for x in lists)], names=names
             )
         at = np.flatnonzero(often)
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays([*(pa.array([None], k) for k in kinds), pa.array([at], lists[0]), pa.array([often[at]], lists[1])], names=names)
 
-    return _texts(docs).mapInArrow(keys, "doc_id bigint, md5 binary, key binary, node bigint, m int, sketch binary, need int, chars binary, buckets array<int>, counts array<bigint>")
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    texts = docs.select(F.col("doc_id").cast("bigint"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return texts.mapInArrow(keys, "doc_id bigint, md5 binary, key binary, node bigint, tokens binary, lone int, need int, buckets array<int>, counts array<bigint>")
 
 
 def _tokens(w: list[str], cache: dict[str, int]) -> np.ndarray:
-    """A number per word; the lowest bit tells characters of scripts without spaces."""
+    """A number of 31 bits per word, by which words are compared from here on; the lowest bit tells characters of scripts without spaces."""
     for x in w:
         if x not in cache:
-            cache[x] = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 & ~1 | (len(x) == 1 and WIDE.match(x) is not None)
-    return np.fromiter(map(cache.__getitem__, w), np.int64, len(w))
+            cache[x] = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) >> 33 & ~1 | (len(x) == 1 and WIDE.match(x) is not None)
+    return np.fromiter(map(cache.__getitem__, w), np.int32, len(w))
 
 
-def _sketch(tokens: np.ndarray) -> bytes:
-    """Counts of tokens in CLASSES classes, four bits each."""
-    n = np.minimum(np.bincount((tokens >> 8) % CLASSES, minlength=CLASSES), 15).astype(np.uint8)
-    return (n[::2] << 4 | n[1::2]).tobytes()
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """Counts of tokens in CLASSES classes, at most 255."""
+    return np.minimum(np.bincount((tokens >> 8) % CLASSES, minlength=CLASSES), 255).astype(np.uint8)
 
 
 def _lone(tokens: np.ndarray) -> int:
@@ -138,12 +132,12 @@ def _lone(tokens: np.ndarray) -> int:
     return int((tokens & 1).sum())
 
 
-def _by_length(m: int, lone: int) -> bool:
+def _by_length(m: int | Column, lone: int | Column) -> bool | Column:
     """Whether a text meets others by length: more than a fifth of its tokens are characters of scripts without spaces."""
     return lone * 5 > m
 
 
-def _by_words(m: int, lone: int) -> bool:
+def _by_words(m: int | Column, lone: int | Column) -> bool | Column:
     """Whether a text meets others by its rarest words: at most two fifths of its tokens are such characters.
 
     Texts that agree have one of the two ways in common. Where one has at most a fifth of such
@@ -153,16 +147,41 @@ def _by_words(m: int, lone: int) -> bool:
     return lone * 5 <= m * 2
 
 
-def _grams(tokens: np.ndarray) -> np.ndarray:
-    """The tokens of a text, the n-th of the same kind told apart: one in five may differ, so no longer gram is certain to be left whole."""
-    grams = tokens.copy()
+def _numbered(grams: np.ndarray) -> np.ndarray:
+    """The n-th of equal grams told apart, so that sets of them count like multisets."""
+    out = grams.copy()
     order = np.argsort(grams, kind="stable")
     ranked = grams[order]
+    at = np.arange(len(ranked))
     first = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.empty(0, bool)
-    nth = np.arange(len(ranked)) - np.maximum.accumulate(np.where(first, np.arange(len(ranked)), 0))
+    nth = at - np.maximum.accumulate(np.where(first, at, 0))
+    with np.errstate(over="ignore"):
+        out[order] = ranked + nth.astype(np.int64) * np.int64(0x632BE59BD9B4E019)
+    return out
+
+
+def _grams(tokens: np.ndarray, n: int = 1) -> np.ndarray:
+    """Hashes of the runs of ``n`` tokens. Texts meet by n = 1, as one word in five may differ and no longer run is certain to be left whole; containment goes by n = 2."""
+    g = np.zeros(max(0, len(tokens) - n + 1), np.int64)
     with np.errstate(over="ignore"):
-        grams[order] = ranked + nth.astype(np.int64) * np.int64(0x632BE59BD9B4E019)
-    return grams
+        for k in range(n):
+            g = g * np.int64(0x2545F4914F6CDD1D) + tokens[k : k + len(g)].astype(np.int64) * np.int64(0x5851F42D4C957F2D)
+    return _numbered(g)
+
+
+def _bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams >> 33) & ((1 << SKETCH_BITS) - 1)
+
+
+def shared_grams(a: np.ndarray, b: np.ndarray) -> int:
+    """Runs of two tokens that stand in both, each as often as in the one that has it less often."""
+    return len(np.intersect1d(_grams(a, 2), _grams(b, 2), assume_unique=True))
+
+
+def least_shared(m: int, n: int) -> int:
+    """Runs of two tokens that texts of ``m`` and ``n`` must share if four fifths of the longer one stand in order in the other: each token without a counterpart breaks at most one run."""
+    common = -(-max(m, n) * 4 // 5)
+    return 3 * common - m - n - 1
 
 
 def _indexed(m: int, lone: int) -> tuple[int, int]:
@@ -226,8 +245,8 @@ def _meet(rows: pa.Table) -> pa.Table:
     """a, b: texts of the rows' one block, or of one of its two blocks and the other, that agree by their tokens' numbers and are of use."""
     rows = rows.take(np.argsort(rows.column("m").to_numpy(), kind="stable"))
     sizes, roles, reps = (rows.column(x).to_numpy() for x in ("m", "roles", "rep"))
-    tokens = [np.frombuffer(x, np.int32) for x in rows.column("chars").to_pylist()]
-    counts = np.stack([np.minimum(np.bincount(t % CLASSES, minlength=CLASSES), 255) for t in tokens]).astype(np.uint8)
+    tokens = [np.frombuffer(x, np.int32) for x in rows.column("tokens").to_pylist()]
+    counts = np.stack([_sketch(t) for t in tokens])
     totals = counts.sum(1, dtype=np.int32)
     side = rows.column("band").to_numpy().astype(np.int64) << 32 | rows.column("block").to_numpy()
     one, two = (np.flatnonzero(side == x) for x in (side.min(), side.max()))
@@ -255,14 +274,14 @@ def _meet(rows: pa.Table) -> pa.Table:
 
 
 def _met_by_length(nodes: DataFrame) -> DataFrame:
-    """a, b: representatives, a < b, of texts with ``chars`` that agree, up to tokens of the same number, in four fifths of the longer one's.
+    """a, b: representatives, a < b, of texts mostly in scripts without spaces that agree in four fifths of the longer one's tokens.
 
     No gram is certain to be left whole where every fifth character may differ, and single
     characters are too frequent to be looked up. So texts of about the same length meet in blocks, and
     those whose counts in CLASSES classes are near enough are compared.
     """
     spark = nodes.sparkSession
-    rows = nodes.where("chars IS NOT NULL").select("rep", "m", "roles", "chars", F.floor(F.log("m") / F.log(F.lit(BAND))).cast("int").alias("band"))
+    rows = nodes.where("by_length").select("rep", "m", "roles", "tokens", F.floor(F.log("m") / F.log(F.lit(BAND))).cast("int").alias("band"))
     blocks = {r["band"]: -(-r["count"] // BLOCK) for r in rows.groupBy("band").count().collect()}  # a row per band
     tasks, no = [], 0
     for band, n in blocks.items():
@@ -278,96 +297,93 @@ def _met_by_length(nodes: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(dealt), ["band", "block"]).groupBy("task").applyInArrow(_meet, "a bigint, b bigint")
 
 
-def near_texts(docs: DataFrame, nodes: DataFrame, counters: DataFrame) -> DataFrame:
-    """a, b: representatives, a < b, of texts that agree in four fifths of the longer one's words, one of each pair of use in evaluation and the other in training.
+def near_texts(nodes: DataFrame, counters: DataFrame) -> DataFrame:
+    """a, b: representatives, a < b, of texts that agree in four fifths of the longer one's words, one of each pair of use in evaluation and the other in training; a_in_b, b_in_a: the share of the one's runs of two words that the other has.
 
-    ``docs``: doc_id, text. ``nodes``: node, rep (a doc_id), m, sketch, need, chars, roles (1: evaluation, 2: training,
-    3: both), a row per sequence of words in use. ``counters``: buckets, counts of the frequency sketch. Texts in scripts without
-    spaces meet by length; each other text is indexed by its rarest grams, by a
-    frequency sketch of all texts: as many as another may lack, and SHARED more, so that texts that
-    agree share SHARED of them. Of the pairs that do, those whose counts of words in CLASSES classes
-    differ too much are dropped, and the others are compared word by word. No text is shuffled
-    before that: every scan makes what it needs of the texts where they lie.
+    ``nodes``: node, rep (a doc_id), m, tokens, need, by_length, by_words, roles (1: evaluation, 2: training,
+    3: both), a row per sequence of words in use. ``counters``: buckets, counts of the frequency sketch. The
+    hashes of the evaluation texts' rarest grams (those the frequency sketch has least of) are dealt out by
+    gram, and the training texts' are met with them: as many as another text may lack, and SHARED more, so that texts that
+    agree share SHARED of them. Texts in scripts without spaces meet by length instead. Of the pairs, those whose counts of words in CLASSES classes
+    differ too much are dropped, then those that contain too few of each other's runs of two words, and the rest is compared word by word.
+    A gram of more than HOT_GRAM texts is split: each of its evaluation texts goes to one part, each training text to all.
     """
-    texts = _texts(docs)
-    mask = (1 << SKETCH_BITS) - 1
-
     # a fixed number of counters comes to the driver
     sums = counters.select(F.explode(F.arrays_zip("buckets", "counts")).alias("c")).groupBy("c.buckets").agg(F.sum("c.counts").alias("n")).toArrow()
-    frequency = np.zeros(mask + 1, np.int32)
-    frequency[sums.column("buckets").to_numpy()] = np.minimum(sums.column("n").to_numpy(), np.iinfo(np.int32).max)
-    shared = docs.sparkSession.sparkContext.broadcast(frequency)
+    frequency = np.zeros(1 << SKETCH_BITS, np.int64)
+    frequency[sums.column("buckets").to_numpy()] = sums.column("n").to_numpy()
+    shared = nodes.sparkSession.sparkContext.broadcast(frequency)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for b in batches:
-            cache: dict[str, int] = {}
-            seen: set[int] = set()  # copies of a text in the batch count once
-            out, nodes_, about, counts = [np.empty(0, np.int64)], [], [], []
-            for t in b.column("text").to_pylist():
-                w = words(t)
-                if not w or (node := int.from_bytes(word_key(t, w)[:8], "little", signed=True)) in seen:
-                    continue
-                seen.add(node)
-                tokens = _tokens(w, cache)
-                lone = _lone(tokens)
-                if not _by_words(len(w), lone):
-                    continue
+            if not b.num_rows:
+                continue
+            out, sizes = [], []
+            for t in b.column("tokens").to_pylist():
+                tokens = np.frombuffer(t, np.int32)
                 g = _grams(tokens)
-                take, _ = _indexed(len(g), lone)
-                out.append(g[np.lexsort((g, often[g & mask]))[:take]])
-                nodes_.append(node)
-                about.append(len(g))
-                counts.append(take)
-            n = np.array(counts, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out)), pa.array(np.repeat(np.array(nodes_, np.int64), n)), pa.array(np.repeat(np.array(about, np.int64), n))], names=["gram", "node", "about"]
-            )
-
-    # dealt by the gram alone, so that dropping copies and the join need no further exchange, and one exchange serves both sides
-    p = texts.mapInArrow(rarest, "gram bigint, node bigint, about bigint").repartition("gram").dropDuplicates(["gram", "node"])
-    x, y = p.select("gram", F.col("node").alias("a"), F.col("about").alias("x")), p.select("gram", F.col("node").alias("b"), F.col("about").alias("y"))
-    met = x.join(y, "gram").where("a < b AND least(x, y) * 5 >= greatest(x, y) * 4")
+                take, _ = _indexed(len(g), _lone(tokens))
+                out.append(g[np.lexsort((g, often[_bucket(g)]))[:take]])
+                sizes.append(take)
+            n = np.array(sizes, np.int64)
+            grams, node, about, roles = np.concatenate(out), *(np.repeat(b.column(c).to_numpy(), n) for c in ("node", "m", "roles"))
+            parts = np.maximum(1, -(-often[_bucket(grams)] // HOT_GRAM))
+            part = np.zeros(len(grams), np.int64)
+            if (hot := np.flatnonzero((parts > 1) & (roles & 2 > 0))).size:  # once for each part; of use in evaluation in one of them
+                own = node[hot].view(np.uint64) % parts[hot].astype(np.uint64)
+                times = np.repeat(np.arange(len(hot)), parts[hot])
+                each = np.concatenate([np.arange(x) for x in parts[hot]])
+                more = np.where(each == own[times].astype(np.int64), roles[hot][times], 2)
+                keep = np.ones(len(grams), bool)
+                keep[hot] = False
+                grams, node, about, roles, part = (np.concatenate([x[keep], y]) for x, y in ((grams, grams[hot][times]), (node, node[hot][times]), (about, about[hot][times]), (roles, more), (part, each)))
+            lone = (parts := np.maximum(1, -(-often[_bucket(grams)] // HOT_GRAM))) > 1
+            lone &= roles == 1
+            part[lone] = (node[lone].view(np.uint64) % parts[lone].astype(np.uint64)).astype(np.int64)
+            with np.errstate(over="ignore"):
+                grams = grams + part * np.int64(0x1000193ABCDEF01)
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(node), pa.array(about.astype(np.int32)), pa.array(roles.astype(np.int8))], names=["gram", "node", "about", "roles"])
+
+    # dealt by the gram alone, so that the join needs no further exchange, and one exchange serves both sides
+    p = nodes.where("by_words").select("node", "m", "roles", "tokens").mapInArrow(rarest, "gram bigint, node bigint, about int, roles tinyint").repartition("gram")
+    x = p.where("roles & 1 > 0").select("gram", F.col("node").alias("a"), F.col("about").alias("x"), F.col("roles").alias("r"))
+    y = p.where("roles & 2 > 0").select("gram", F.col("node").alias("b"), F.col("about").alias("y"), F.col("roles").alias("q"))
+    # texts of use on both sides meet twice, and count once
+    met = x.join(y, "gram").where("(a < b OR (a > b AND NOT (r = 3 AND q = 3))) AND least(x, y) * 5 >= greatest(x, y) * 4")
     # the pairs go by 32 bits of each node, in one number: nodes that share them are told apart when the pairs are looked at.
     # Fewer than SHARED grams are needed of very short texts only, which the upper half of the count marks.
     half = F.lit((1 << 32) - 1)
     low = lambda c: F.col(c).cast("bigint").bitwiseAND(half)
     short = F.least("x", "y") < 2 * SHARED
-    counted = met.groupBy(F.shiftleft(low("a"), 32).bitwiseOR(low("b")).alias("pair")).agg(F.sum(F.when(short, F.lit((1 << 32) + 1)).otherwise(F.lit(1).cast("bigint"))).alias("n"))
+    low_a, low_b = low("a"), low("b")
+    counted = met.groupBy(F.shiftleft(F.least(low_a, low_b), 32).bitwiseOR(F.greatest(low_a, low_b)).alias("pair")).agg(F.sum(F.when(short, F.lit((1 << 32) + 1)).otherwise(F.lit(1).cast("bigint"))).alias("n"))
     often_met = counted.where((low("n") >= SHARED) | (F.col("n") > half)).select(F.shiftrightunsigned("pair", 32).alias("a"), low("pair").alias("b"), low("n").alias("n"))
 
     def node(side: str) -> DataFrame:
-        return nodes.select(low("node").alias(side), F.col("rep").alias(f"{side}_rep"), F.col("m").alias(f"{side}_m"), F.col("sketch").alias(f"{side}_sketch"), F.col("need").alias(f"{side}_need"), F.col("roles").alias(f"{side}_roles"))
+        return nodes.where("by_words").select(low("node").alias(side), F.col("rep").alias(f"{side}_rep"), F.col("m").alias(f"{side}_m"), F.col("need").alias(f"{side}_need"), F.col("roles").alias(f"{side}_roles"))
 
     both = often_met.join(node("a"), "a").join(node("b"), "b").where("a_rep <> b_rep AND n >= least(a_need, b_need) AND (a_roles & 1) * (b_roles & 2) + (a_roles & 2) * (b_roles & 1) > 0")
-
-    def plausible(b: pa.RecordBatch) -> pa.RecordBatch:
-        halves = [np.frombuffer(b"".join(b.column(f"{k}_sketch").to_pylist()), np.uint8).reshape(-1, CLASSES // 2).astype(np.int16) for k in "ab"]
-        apart = sum(np.abs(f(halves[0]) - f(halves[1])).sum(1) for f in (lambda h: h >> 4, lambda h: h & 15))
-        one, two = b.column("a_m").to_numpy(), b.column("b_m").to_numpy()
-        may = one + two - 2 * -(-np.maximum(one, two) * 4 // 5)
-        left, right = b.column("a_rep").to_numpy(), b.column("b_rep").to_numpy()
-        keep = apart <= may
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)[keep]), pa.array(np.maximum(left, right)[keep])], names=["a", "b"])
-
-    by_words = arrow_map(both.select("a_rep", "b_rep", "a_m", "b_m", "a_sketch", "b_sketch"), "a bigint, b bigint", plausible)
-    pairs = cut(by_words.unionByName(_met_by_length(nodes)).distinct())
-    few = pairs.count() <= BROADCAST_PAIRS  # else the texts are shuffled
-    known = F.broadcast(pairs) if few else pairs
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")).join(known, "a")
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")).join(known, "b")
+    by_words = both.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
+    # AQE sends the pairs to all executors where they are few, and deals out the tokens by text where they aren't
+    pairs = stored(by_words.unionByName(_met_by_length(nodes)).distinct())
+    left = nodes.select(F.col("rep").alias("a"), F.col("tokens").alias("s")).join(pairs, "a")
+    right = nodes.select(F.col("rep").alias("b"), F.col("tokens").alias("t"))
 
     def compare(b: pa.RecordBatch) -> pa.RecordBatch:
-        cache: dict[str, list[str]] = {}
-        keep = []
+        keep, forth, back = [], [], []
         for s, t in zip(b.column("s").to_pylist(), b.column("t").to_pylist()):
-            for z in (s, t):
-                if z not in cache:
-                    cache[z] = words(z)
-            keep.append(common_order(cache[s], cache[t]) * 5 >= max(len(cache[s]), len(cache[t])) * 4)
-        return pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            one, two = np.frombuffer(s, np.int32), np.frombuffer(t, np.int32)
+            m, n = len(one), len(two)
+            agree = int(np.abs(np.bincount((one >> 8) % CLASSES, minlength=CLASSES) - np.bincount((two >> 8) % CLASSES, minlength=CLASSES)).sum()) <= m + n - 2 * -(-max(m, n) * 4 // 5)
+            both = shared_grams(one, two) if agree else 0
+            agree = agree and both >= least_shared(m, n) and common_order(one.tolist(), two.tolist()) * 5 >= max(m, n) * 4
+            keep.append(agree)
+            forth.append(both / max(1, m - 1))
+            back.append(both / max(1, n - 1))
+        return pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(forth, pa.float64()), pa.array(back, pa.float64())], names=["a", "b", "a_in_b", "b_in_a"]).filter(pa.array(keep, pa.bool_()))
 
-    return arrow_map(left.join(right, ["a", "b"]), "a bigint, b bigint", compare)
+    return arrow_map(left.join(right, "b").select("a", "b", "s", "t"), "a bigint, b bigint, a_in_b double, b_in_a double", compare)
 
 
 def _keyed(recs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -391,6 +407,30 @@ def _keyed(recs: DataFrame, texts: DataFrame) -> DataFrame:
     return out.join(sides.select(F.col("doc_id").alias("tgt"), F.col("m").alias("tm"), F.col("node").alias("kt")), ["tgt", "tm"]).select("ex_id", "train", "ks", "kt")
 
 
+def _resolved(recs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records by the texts of their sides (ex_id, train, ks, kt), and the pairs of near texts, as from ``near_texts``."""
+    told = stored(_keys_of_texts(docs))
+    keys = told.where("doc_id IS NOT NULL")
+    by_key = keys.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    texts = keys.select("doc_id", "md5", "key").join(by_key, "key").select("doc_id", "md5", "rep")
+    keyed = stored(_keyed(recs, texts))
+    sides = keyed.select(F.when(F.col("train"), 2).otherwise(1).alias("role"), F.explode(F.array("ks", "kt")).alias("rep")).where("rep >= 0").distinct()
+    used = sides.groupBy("rep").agg(F.sum("role").cast("int").alias("roles"))
+    nodes = keys.select(F.col("doc_id").alias("rep"), "node", "tokens", "need", "lone", (F.length("tokens") / 4).cast("int").alias("m")).where("m > 0").join(used, "rep")
+    nodes = nodes.select("rep", "node", "tokens", "need", "m", "roles", _by_length(F.col("m"), F.col("lone")).alias("by_length"), _by_words(F.col("m"), F.col("lone")).alias("by_words"))
+    return keyed, stored(near_texts(stored(nodes), told.where("doc_id IS NULL").select("buckets", "counts")))
+
+
+def _matching_classes(keyed: DataFrame, near: DataFrame) -> DataFrame:
+    """ks, kt, s, t: sides of evaluation records and of the training records they agree with, each once however many records have them."""
+    both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    e = keyed.where(~F.col("train")).select("ks", "kt").distinct()
+    t = keyed.where("train").select(F.col("ks").alias("s"), F.col("kt").alias("t")).distinct()
+    by_src = e.withColumn("s", F.col("ks")).unionByName(e.join(both.select(F.col("a").alias("ks"), F.col("b").alias("s")), "ks").select("ks", "kt", "s"))
+    by_both = by_src.withColumn("t", F.col("kt")).unionByName(by_src.join(both.select(F.col("a").alias("kt"), F.col("b").alias("t")), "kt").select("ks", "kt", "s", "t"))
+    return by_both.join(t, ["s", "t"], "left_semi")
+
+
 def cross_split_overlaps(recs: DataFrame, docs: DataFrame) -> DataFrame:
     """eval_id, train_id: each pair of a record of dev or test and one of train that agree in both sides.
 
@@ -399,28 +439,30 @@ def cross_split_overlaps(recs: DataFrame, docs: DataFrame) -> DataFrame:
     order. A side with neither text nor hash agrees with none; empty texts agree with each other.
     Texts are first reduced to one per sequence of words, so copies are compared once however many
     there are, and records meet on both sides at once: neither a frequent text nor a frequent source
-    multiplies anything but the pairs to be found.
+    multiplies anything but the pairs to be found. Texts that no record names are left out, and evaluation texts meet training texts only.
     """
-    told = stored(_keys_of_texts(docs))
-    keys = told.where("doc_id IS NOT NULL")
-    by_key = keys.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    texts = keys.select("doc_id", "md5", "key").join(by_key, "key").select("doc_id", "md5", "rep")
-    keyed = stored(_keyed(recs, texts))
-    sides = keyed.select(F.when(F.col("train"), 2).otherwise(1).alias("role"), F.explode(F.array("ks", "kt")).alias("doc_id")).where("doc_id >= 0").distinct()
-    used = sides.groupBy("doc_id").agg(F.sum("role").cast("int").alias("roles"))
-    found = near_texts(docs, keys.select(F.col("doc_id").alias("rep"), "node", "m", "sketch", "need", "chars").join(used.withColumnRenamed("doc_id", "rep"), "rep"), told.where("doc_id IS NULL").select("buckets", "counts"))
-    near = cut(found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    keyed, near = _resolved(recs, docs)
     e = keyed.where(~F.col("train")).select(F.col("ex_id").alias("eval_id"), "ks", "kt")
     t = keyed.where("train").select(F.col("ex_id").alias("train_id"), F.col("ks").alias("s"), F.col("kt").alias("t"))
-    by_src = e.withColumn("s", F.col("ks")).unionByName(e.join(near.select(F.col("a").alias("ks"), F.col("b").alias("s")), "ks").select("eval_id", "ks", "kt", "s"))
-    by_both = by_src.withColumn("t", F.col("kt")).unionByName(by_src.join(near.select(F.col("a").alias("kt"), F.col("b").alias("t")), "kt").select("eval_id", "ks", "kt", "s", "t"))
-    return by_both.select("eval_id", "s", "t").join(t, ["s", "t"]).select("eval_id", "train_id").distinct()
+    return _matching_classes(keyed, near).join(e, ["ks", "kt"]).join(t, ["s", "t"]).select("eval_id", "train_id")
+
+
+def near_classes(recs: DataFrame, docs: DataFrame) -> DataFrame:
+    """eval_doc, train_doc (the least doc_id with the words of each), containment: the share of the evaluation text's runs of two words that the near training text has."""
+    keyed, near = _resolved(recs, docs)
+    side = lambda train: keyed.where(F.col("train") == train).select(F.explode(F.array("ks", "kt")).alias("rep")).distinct()
+    both = near.select(F.col("a").alias("eval_doc"), F.col("b").alias("train_doc"), F.col("a_in_b").alias("containment"))
+    both = both.unionByName(near.select(F.col("b").alias("eval_doc"), F.col("a").alias("train_doc"), F.col("b_in_a").alias("containment")))
+    return both.join(side(False).withColumnRenamed("rep", "eval_doc"), "eval_doc").join(side(True).withColumnRenamed("rep", "train_doc"), "train_doc").select("eval_doc", "train_doc", "containment")
 
 
-def overlap_report(recs: DataFrame, found: DataFrame) -> DataFrame:
-    """Per split and ds: records, records that overlap with train, and pairs."""
-    by_record = found.groupBy(F.col("eval_id").alias("ex_id")).agg(F.count("*").alias("pairs"))
-    rows = recs.where(~F.col("train")).select("ex_id", "split", "ds").join(by_record, "ex_id", "left")
+def overlap_report(recs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Per split and ds: records, records that overlap with train, and pairs; ``recs`` with ds. Counted by classes, without a row per pair."""
+    keyed, near = _resolved(recs, docs)
+    train = keyed.where("train").groupBy(F.col("ks").alias("s"), F.col("kt").alias("t")).agg(F.count("*").alias("_n"))
+    by_class = _matching_classes(keyed, near).join(train, ["s", "t"]).groupBy("ks", "kt").agg(F.sum("_n").alias("_pairs"))
+    found = keyed.where(~F.col("train")).join(by_class, ["ks", "kt"]).select("ex_id", "_pairs")
+    rows = recs.where(~F.col("train")).select("ex_id", "split", "ds").join(found, "ex_id", "left")
     return rows.groupBy("split", "ds").agg(
-        F.count("*").alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")
+        F.count("*").alias("records"), F.count("_pairs").alias("overlapping"), F.coalesce(F.sum("_pairs"), F.lit(0)).alias("pairs")
     )

@@ -43,7 +43,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_report(overlap.records(table(spark, d, "combined_pairs"), "ds"), _overlaps(spark, d))
+    return overlap.overlap_report(overlap.records(table(spark, d, "combined_pairs"), "ds"), table(spark, d, "documents"))
+
+
+def p4_containment(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.near_classes(overlap.records(table(spark, d, "combined_pairs")), table(spark, d, "documents"))
 
 
 def _to_pack(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
