@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import ranked, seeded_hash
+from .order import ranked, ranked_within, seeded_hash
 
 
 def pair_lengths(pairs: DataFrame, info: DataFrame) -> DataFrame:
@@ -69,47 +69,57 @@ def _place(key: list[str], *order: Column) -> Column:
 
 
 def balanced(pairs: DataFrame, seed: int = 1) -> DataFrame:
-    """As many positives as negatives of each source, chosen by a seeded hash; sources with only one kind are left out."""
+    """As many positives as negatives of each source, chosen by a seeded hash; sources with only one kind are left out.
+
+    A source may have any number of pairs: places are counted by ranges, never in one task for a source.
+    """
     h = seeded_hash(seed, F.col("src"), F.col("tgt"), F.col("ex_id"))
     n = pairs.groupBy("src").agg(F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_n")).where("_p > 0 AND _n > 0")
-    own = pairs.join(n, "src").withColumn("_no", _place(["src", "label"], h, F.col("ex_id")))
-    return own.where(F.col("_no") <= F.least("_p", "_n")).drop("_no", "_p", "_n")
+    own = ranked_within(pairs.withColumn("_h", h), ["src", "label"], F.col("_h"), F.col("ex_id"), name="_no").join(n, "src")
+    return own.where(F.col("_no") <= F.least("_p", "_n")).drop("_no", "_p", "_n", "_h")
 
 
-def extremes(rated: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` best positives and the ``k`` worst negatives of each source that has both. ``rated``: src, tgt, label, rating."""
+def extremes(rated: DataFrame, k: int = 5, max_sources: int | None = None) -> DataFrame:
+    """The ``k`` best positives and the ``k`` worst negatives of each source that has both; of the first ``max_sources`` such sources only, if said.
+
+    ``rated``: src, tgt, label, rating. Each task keeps k rows of a source before any are shuffled.
+    """
     both = rated.groupBy("src").agg(F.max("label").alias("_a"), F.min("label").alias("_b")).where("_a = 1 AND _b = 0").select("src")
+    if max_sources is not None:
+        both = ranked(both, F.col("src"), name="_s").where(F.col("_s") <= max_sources).drop("_s")
     signed = F.when(F.col("label") == 1, -F.col("rating")).otherwise(F.col("rating"))
-    own = rated.join(both, "src").withColumn("place", _place(["src", "label"], signed.asc(), F.col("tgt")))
-    return own.where(F.col("place") <= k)
+    return rated.withColumn("place", _place(["src", "label"], signed.asc(), F.col("tgt"))).where(F.col("place") <= k).join(both, "src")
 
 
 def interleaved(pairs: DataFrame) -> DataFrame:
     """Adds place (from 1): positives and negatives of a source in turn, by ex_id; what one kind has more comes at the end."""
-    turn = pairs.withColumn("_turn", _place(["src", "label"], F.col("ex_id")))
-    return turn.withColumn("place", _place(["src"], F.col("_turn"), F.col("label").desc(), F.col("ex_id"))).drop("_turn")
+    turn = ranked_within(pairs, ["src", "label"], F.col("ex_id"), name="_turn")
+    return ranked_within(turn, ["src"], F.col("_turn"), F.col("label").desc(), F.col("ex_id")).drop("_turn")
 
 
 def sampled_targets(pairs: DataFrame, low: int, high: int, seed: int = 3) -> DataFrame:
-    """``low`` to ``high`` targets per source and label, how many and which by seeded hashes."""
+    """``low`` to ``high`` targets per source and label, how many and which by seeded hashes. Each task keeps ``high`` of them before any are shuffled."""
     h = seeded_hash(seed, F.col("src"), F.col("tgt"), F.col("ex_id"))
     digit = F.conv(F.substring(seeded_hash(seed, F.col("src")), 1, 4), 16, 10).cast("bigint")
     most = low + F.pmod(digit, F.lit(high - low + 1))
-    return pairs.withColumn("_no", _place(["src", "label"], h, F.col("ex_id"))).where(F.col("_no") <= most).drop("_no")
+    return pairs.withColumn("_no", _place(["src", "label"], h, F.col("ex_id"))).where(F.col("_no") <= high).where(F.col("_no") <= most).drop("_no")
 
 
-def truncated_targets(lengths: DataFrame, budget: int, acceptable: float = 0.1) -> DataFrame:
-    """Targets of a source cut in proportion where they exceed ``budget`` together.
+def truncated_targets(lengths: DataFrame, budget: int, acceptable: float = 0.5, max_sents: int | None = None) -> DataFrame:
+    """Targets of a source cut in proportion where they exceed ``budget`` tokens, or ``max_sents`` sentences, together.
 
-    Adds new_len = floor(budget * tlen / total) and the mean ratio kept; sources of which less than
-    ``acceptable`` would be kept on average are left out.
+    Adds new_len = floor(budget * tlen / total) and mean_lost, the mean share of a target's tokens that
+    is cut off; with ``max_sents`` (which needs the column tsents) new_sents and mean_sents_lost alike. Sources of which more than
+    ``acceptable`` would be lost on average, of either, are left out; nothing is lost where the budget is kept.
     """
-    w = Window.partitionBy("src")
-    own = lengths.withColumn("total", F.sum("tlen").over(w))
-    cut_ = F.when(F.col("total") > budget, F.floor(F.lit(budget) * F.col("tlen") / F.col("total"))).otherwise(F.col("tlen"))
-    own = own.withColumn("new_len", cut_.cast("bigint"))
-    kept = F.avg(F.col("new_len") / F.greatest(F.col("tlen"), F.lit(1))).over(w)
-    return own.withColumn("mean_ratio", F.round(kept, 6)).where(F.col("mean_ratio") > acceptable)
+    out = lengths
+    for col, new, lost, most in [("tlen", "new_len", "mean_lost", budget)] + ([("tsents", "new_sents", "mean_sents_lost", max_sents)] if max_sents is not None else []):
+        total = lengths.groupBy("src").agg(F.sum(col).alias("_total"))
+        each = out.join(total, "src").withColumn(new, F.when(F.col("_total") > most, F.floor(F.lit(most) * F.col(col) / F.col("_total"))).otherwise(F.col(col)).cast("bigint"))
+        share = each.groupBy("src").agg(F.round(F.avg(1 - F.col(new) / F.greatest(F.col(col), F.lit(1))), 6).alias("_lost"), F.max("_total").alias("_all"))
+        share = share.select("src", F.when(F.col("_all") > most, F.col("_lost")).otherwise(0.0).alias(lost)).where(F.col(lost) <= acceptable)
+        out = each.drop("_total").join(share, "src")
+    return out
 
 
 def distinct_targets(batch: DataFrame) -> DataFrame:
@@ -118,8 +128,19 @@ def distinct_targets(batch: DataFrame) -> DataFrame:
     ``batch``: batch_id, src, tgt, label, thash. Returns batch_id, src, target (the least tgt with that
     text in the batch), n_links.
     """
-    first = F.min("tgt").over(Window.partitionBy("batch_id", "thash"))
-    return batch.withColumn("target", first).where("label = 1").groupBy("batch_id", "src", "target").agg(F.count("*").alias("n_links"))
+    first = batch.groupBy("batch_id", "thash").agg(F.min("tgt").alias("target"))
+    return batch.where("label = 1").join(first, ["batch_id", "thash"]).groupBy("batch_id", "src", "target").agg(F.count("*").alias("n_links"))
+
+
+def linked_duplicates(batch: DataFrame, dups: DataFrame) -> DataFrame:
+    """As ``distinct_targets``, and a source is linked as well to each target of its batch that is a duplicate of one of its positives.
+
+    ``dups``: thash, dup_hash: texts that stand for each other. All sources of a text are linked, not only the last.
+    """
+    own = batch.where("label = 1").select("batch_id", "src", "thash")
+    also = own.join(dups, "thash").select("batch_id", "src", F.col("dup_hash").alias("thash"))
+    first = batch.groupBy("batch_id", "thash").agg(F.min("tgt").alias("target"))
+    return own.unionByName(also).distinct().join(first, ["batch_id", "thash"]).groupBy("batch_id", "src", "target").agg(F.count("*").alias("n_links"))
 
 
 def useful_batches(batch: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .arrow import lists, matrix
 
 #: From lists of token ids to a matrix with a row for each.
 Encoder = Callable[[list[list[int]]], np.ndarray]
@@ -19,24 +22,69 @@ def token_vector(token: Column, dim: int) -> Column:
 
 
 def pool(rows: DataFrame, by: list[str], how: str = "mean", vec: str = "vec", order: str | None = None) -> DataFrame:
-    """One vector per group, number by number: mean or max of the group's, or its first or last by ``order``."""
+    """One vector per group, number by number: mean or max of the group's, or its first or last by ``order``.
+
+    Each batch is reduced where it lies, so a group with many rows sends few; the parts are then merged in the order of the groups.
+    """
     if how in ("first", "last"):
         pick = F.min_by if how == "first" else F.max_by
         return rows.groupBy(*by).agg(pick(vec, order).alias(vec))
-    each = rows.select(*by, F.posexplode(vec).alias("_d", "_x"))
-    one = F.avg("_x") if how == "mean" else F.max("_x")
-    per = each.groupBy(*by, "_d").agg(one.alias("_x"))
-    return per.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_x"))), lambda s: s["_x"]).alias(vec))
+    keys = rows.select(*by).schema.fields
+    part = T.StructType([*keys, T.StructField(vec, T.ArrayType(T.DoubleType())), T.StructField("_n", T.LongType())])
+    reduce = np.add if how == "mean" else np.maximum
+
+    def reduced(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        """The first row of each group in the batch, and its reduced vectors and counts."""
+        group = b.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+        _, first = np.unique(group, return_index=True)
+        m = matrix(b.column(vec))
+        out = np.full((len(first), m.shape[1]), 0.0 if how == "mean" else -np.inf)
+        reduce.at(out, group, m)
+        n = np.bincount(group, b.column("_n").to_numpy() if "_n" in b.schema.names else None).astype(np.int64)
+        return b.select(by).take(pa.array(first)), out, n
+
+    def batch(keys_: pa.RecordBatch, m: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*keys_.columns, lists(m), pa.array(n)], names=[*by, vec, "_n"])
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield batch(*reduced(b))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            both = b
+            if held is not None:
+                both = pa.RecordBatch.from_arrays([pa.concat_arrays([held.column(c).cast(b.column(c).type), b.column(c)]) for c in b.schema.names], names=b.schema.names)
+            done = batch(*reduced(both))
+            # rows come by group: only the last one may go on
+            held = done.slice(done.num_rows - 1)
+            if done.num_rows > 1:
+                yield done.slice(0, done.num_rows - 1)
+        if held is not None:
+            yield held
+
+    parts = rows.where(F.col(vec).isNotNull()).select(*by, F.col(vec).cast("array<double>").alias(vec)).mapInArrow(here, part)
+    merged = parts.repartition(*by).sortWithinPartitions(*by).mapInArrow(merge, part)
+    return merged.select(*by, (F.transform(vec, lambda x: x / F.col("_n")) if how == "mean" else F.col(vec)).alias(vec))
+
+
+#: What a document is a sequence of, and the levels its tokens are averaged by.
+LAYOUTS = {"sents_frags": (["frag_no", "sent_no"], ["frag_no"]), "sents": (["sent_no"],), "frags": (["frag_no"],), "tokens": ()}
 
 
-def average_hierarchy(tokens: DataFrame, dim: int = 8, fragment: int = 4) -> DataFrame:
-    """doc_id, vec: tokens averaged to sentences, sentences to fragments, fragments to documents.
+def average_hierarchy(tokens: DataFrame, dim: int = 8, fragment: int = 4, layout: str = "sents_frags") -> DataFrame:
+    """doc_id, vec: tokens averaged level by level: to sentences, to fragments of ``fragment`` sentences, to documents.
 
-    ``tokens``: doc_id, sent_no, token. A document without tokens has no row.
+    ``layout``: sents_frags, sents, frags or tokens, what lies between tokens and documents. ``tokens``: doc_id, sent_no, token. A document without tokens has no row.
     """
-    t = tokens.select("doc_id", "sent_no", F.floor(F.col("sent_no") / fragment).alias("frag_no"), token_vector(F.col("token"), dim).alias("vec"))
-    sents = pool(t, ["doc_id", "frag_no", "sent_no"])
-    return pool(pool(sents, ["doc_id", "frag_no"]), ["doc_id"])
+    rows = tokens.select("doc_id", "sent_no", F.floor(F.col("sent_no") / fragment).alias("frag_no"), token_vector(F.col("token"), dim).alias("vec"))
+    for level in LAYOUTS[layout]:
+        rows = pool(rows, ["doc_id", *level])
+    return pool(rows, ["doc_id"])
 
 
 def encode_with(seqs: DataFrame, encoder: Encoder, max_tokens: int = 96_000, normalise: bool = True) -> DataFrame:

@@ -2,30 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import f1, ratio
 
 
-def _relevant(knn: DataFrame, gold: DataFrame) -> DataFrame:
-    """knn with rel (1 where the pair is in ``gold``: q, t) and hits, the relevant ones up to each rank."""
-    rows = knn.join(gold.select("q", "t").distinct().withColumn("_g", F.lit(1)), ["q", "t"], "left").withColumn("rel", F.coalesce("_g", F.lit(0)))
-    upto = Window.partitionBy("q").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("hits", F.sum("rel").over(upto)).drop("_g")
+def marked(knn: DataFrame, gold: DataFrame) -> DataFrame:
+    """knn with rel: 1 where the pair is in ``gold`` (q, t)."""
+    rows = knn.join(gold.select("q", "t").distinct().withColumn("_g", F.lit(1)), ["q", "t"], "left")
+    return rows.withColumn("rel", F.coalesce("_g", F.lit(0))).drop("_g")
 
 
-def retrieval_at(knn: DataFrame, gold: DataFrame, levels: list[int], groups: DataFrame | None = None) -> DataFrame:
+def gold_counts(gold: DataFrame) -> DataFrame:
+    """q and n, the relevant targets of each query."""
+    return gold.select("q", "t").distinct().groupBy("q").agg(F.count("*").alias("n"))
+
+
+def marked_by_label(knn: DataFrame, labels: DataFrame) -> DataFrame:
+    """knn with rel: 1 where query and target (another one) have the same label. ``labels``: id, label. The relevant pairs themselves are never made."""
+    q, t = labels.select(F.col("id").alias("q"), F.col("label").alias("_q")), labels.select(F.col("id").alias("t"), F.col("label").alias("_t"))
+    return knn.join(q, "q", "left").join(t, "t", "left").withColumn("rel", F.coalesce((F.col("_q") == F.col("_t")) & (F.col("q") != F.col("t")), F.lit(False)).cast("int")).drop("_q", "_t")
+
+
+def label_counts(queries: DataFrame, labels: DataFrame) -> DataFrame:
+    """q and n, the other rows of ``labels`` (id, label) with the query's label; queries without any are left out. ``queries``: q."""
+    n = labels.groupBy("label").agg((F.count("*") - 1).alias("n"))
+    own = queries.select("q").join(labels.select(F.col("id").alias("q"), "label"), "q")
+    return own.join(n, "label").where("n > 0").select("q", "n")
+
+
+def _hits(rows: DataFrame) -> DataFrame:
+    """Adds hits: the relevant ones up to each rank."""
+    return rows.withColumn("hits", F.sum("rel").over(Window.partitionBy("q").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def retrieval_at(rows: DataFrame, n: DataFrame, levels: list[int], groups: DataFrame | None = None) -> DataFrame:
     """k, queries, rec and map at each level.
 
-    rec = found relevant over sum of min(k, relevant); map = mean over all gold queries of the average
-    precision over min(k, relevant). ``groups``: q, grp; then the metrics are per grp, and overall
-    where grp is null.
+    ``rows``: q, rank, rel. ``n``: q, n. rec = found relevant over sum of min(k, relevant); map = mean over all queries of ``n`` of the average
+    precision over min(k, relevant). ``groups``: q, grp[, weight columns to average]; then the metrics are per grp, and overall
+    where grp is null, with the mean of each further column.
     """
-    n = gold.select("q", "t").distinct().groupBy("q").agg(F.count("*").alias("n"))
     at = F.explode(F.array(*[F.lit(x) for x in levels])).alias("k")
-    rows = _relevant(knn, gold).select("q", "rank", "rel", "hits", at).where("rank <= k")
-    per = rows.groupBy("q", "k").agg(F.sum("rel").alias("found"), F.sum(F.col("rel") * F.col("hits") / F.col("rank")).alias("ap"))
+    each = _hits(rows).select("q", "rank", "rel", "hits", at).where("rank <= k")
+    per = each.groupBy("q", "k").agg(F.sum("rel").alias("found"), F.sum(F.col("rel") * F.col("hits") / F.col("rank")).alias("ap"))
     all_ = n.select("q", "n", at).join(per, ["q", "k"], "left").na.fill(0, ["found", "ap"])
     most = F.least("k", "n")
     what = [
@@ -35,6 +56,7 @@ def retrieval_at(knn: DataFrame, gold: DataFrame, levels: list[int], groups: Dat
     ]
     if groups is None:
         return all_.groupBy("k").agg(*what)
+    what += [F.round(F.avg(c), 6).alias(c) for c in groups.columns if c not in ("q", "grp")]
     return all_.join(groups, "q").groupingSets([["k"], ["k", "grp"]], "k", "grp").agg(*what)
 
 
@@ -49,23 +71,22 @@ def threshold_sweep(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     return per.select("threshold", "pairs", F.round(right / F.col("pairs"), 6).alias("accuracy"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1(p, r), 6).alias("f1"))
 
 
-def prediction_grid(knn: DataFrame, gold: DataFrame, levels: list[int], thresholds: list[float]) -> DataFrame:
-    """k, threshold, predicted, rec, prec and f1 of the pairs up to rank k whose sim exceeds the threshold."""
+def prediction_grid(rows: DataFrame, n: DataFrame, levels: list[int], thresholds: list[float]) -> DataFrame:
+    """k, threshold, predicted, rec, prec and f1 of the pairs up to rank k whose sim exceeds the threshold. ``rows``: rank, sim, rel; ``n``: q, n."""
     grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("threshold")) for k in levels for t in thresholds])).alias("g")
-    rows = _relevant(knn, gold).select("q", "rank", "sim", "rel", grid).select("*", "g.k", "g.threshold")
+    each = rows.select("rank", "sim", "rel", grid).select("*", "g.k", "g.threshold")
     yes = (F.col("rank") <= F.col("k")) & (F.col("sim") > F.col("threshold"))
-    per = rows.groupBy("k", "threshold").agg(F.count_if(yes).alias("predicted"), F.sum(F.when(yes, F.col("rel")).otherwise(0)).alias("found"))
-    total = gold.select("q", "t").distinct().agg(F.count("*").alias("gold"))
+    per = each.groupBy("k", "threshold").agg(F.count_if(yes).alias("predicted"), F.sum(F.when(yes, F.col("rel")).otherwise(0)).alias("found"))
+    total = n.agg(F.sum("n").alias("gold"))
     # one row, joined on a constant
     both = per.withColumn("_k", F.lit(0)).join(F.broadcast(total.withColumn("_k", F.lit(0))), "_k")
     p, r = ratio(F.col("found"), F.col("predicted")), ratio(F.col("found"), F.col("gold"))
     return both.select("k", "threshold", "predicted", F.round(r, 6).alias("rec"), F.round(p, 6).alias("prec"), F.round(f1(p, r), 6).alias("f1"))
 
 
-def mean_average_precision(predictions: DataFrame, gold: DataFrame) -> DataFrame:
-    """One row: gold sources and MAP; each source's precisions over its own gold count, sources without a prediction count 0."""
-    n = gold.select("q", "t").distinct().groupBy("q").agg(F.count("*").alias("n"))
-    ap = _relevant(predictions, gold).groupBy("q").agg(F.sum(F.col("rel") * F.col("hits") / F.col("rank")).alias("ap"))
+def mean_average_precision(rows: DataFrame, n: DataFrame) -> DataFrame:
+    """One row: gold sources and MAP; each source's precisions over its own gold count, sources without a prediction count 0. ``rows``: q, rank, rel; ``n``: q, n."""
+    ap = _hits(rows).groupBy("q").agg(F.sum(F.col("rel") * F.col("hits") / F.col("rank")).alias("ap"))
     return n.join(ap, "q", "left").agg(F.count("*").alias("sources"), F.round(F.avg(F.coalesce("ap", F.lit(0.0)) / F.col("n")), 6).alias("map"))
 
 
@@ -86,11 +107,14 @@ def cross_entropy(scores: DataFrame, gold: DataFrame, margin: float = 0.0, scale
     """One row: pairs and the mean of -log softmax of the gold pairs' scores, over all t of a q (or all q of a t).
 
     Scores are (sim - margin for gold pairs) * scale; the greatest is taken off first, so that nothing overflows.
+    Sums are made by aggregation and joined to the gold pairs alone, so a target with many queries is no task of its own.
     """
     rows = scores.join(gold.select("q", "t").distinct().withColumn("_g", F.lit(1)), ["q", "t"], "left").withColumn("_g", F.coalesce("_g", F.lit(0)))
-    rows = rows.withColumn("_s", (F.col("sim") - margin * F.col("_g")) * scale).withColumn("_m", F.max("_s").over(Window.partitionBy(by)))
-    rows = rows.withColumn("_l", F.log(F.sum(F.exp(F.col("_s") - F.col("_m"))).over(Window.partitionBy(by))) + F.col("_m"))
-    return rows.where("_g = 1").agg(F.count("*").alias("pairs"), F.round(F.avg(F.col("_l") - F.col("_s")), 6).alias("loss"))
+    rows = rows.select("q", "t", "_g", ((F.col("sim") - margin * F.col("_g")) * scale).alias("_s"))
+    most = rows.groupBy(by).agg(F.max("_s").alias("_m"))
+    sums = rows.join(most, by).groupBy(by).agg(F.sum(F.exp(F.col("_s") - F.col("_m"))).alias("_e"), F.max("_m").alias("_m"))
+    own = rows.where("_g = 1").join(sums, by)
+    return own.agg(F.count("*").alias("pairs"), F.round(F.avg(F.log("_e") + F.col("_m") - F.col("_s")), 6).alias("loss"))
 
 
 def pooled_distinct(*ids: DataFrame) -> DataFrame:
@@ -99,7 +123,3 @@ def pooled_distinct(*ids: DataFrame) -> DataFrame:
     for d in ids[1:]:
         out = out.unionByName(d.toDF("id"))
     return out.distinct()
-
-
-def mean_of(c: Column) -> Column:
-    return F.round(F.avg(c), 6)

@@ -9,6 +9,7 @@ from ..operators import batching as B
 from ..operators import corpus as C
 from ..operators import order as O
 from ..operators import text as X
+from ..session import cut
 from .tables import INFO, LENGTHS, PAIRS, SENTS, pairs, sentences, table
 
 
@@ -60,7 +61,7 @@ def balanced_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def balanced_top5(spark: SparkSession, d: str) -> DataFrame:
     rated = _lengths(spark, d).groupBy("src", "tgt", "label").agg(F.round(F.avg(F.col("tlen") / F.col("slen")), 6).alias("rating"))
-    return C.extremes(rated, 5)
+    return C.extremes(rated, 5, 10_000)
 
 
 def round_robin_interleave(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +73,7 @@ def sampled_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def proportional_truncation(spark: SparkSession, d: str) -> DataFrame:
-    return C.truncated_targets(_lengths(spark, d), 500).select("ex_id", "src", "tgt", "tlen", "new_len", "mean_ratio")
+    return C.truncated_targets(_lengths(spark, d), 500).select("ex_id", "src", "tgt", "tlen", "new_len", "mean_lost")
 
 
 def source_buckets(spark: SparkSession, d: str) -> DataFrame:
@@ -99,6 +100,11 @@ def greedy_batches(spark: SparkSession, d: str) -> DataFrame:
     return B.greedy_batches(_items(spark, d), 64, 1000)
 
 
+def greedy_doc_batches(spark: SparkSession, d: str) -> DataFrame:
+    items = _info(spark, d).select(F.col("doc_id").alias("id"), F.col("n_words").alias("tokens"), F.col("n_lines").alias("sents"))
+    return B.greedy_batches(items, 100, 2000, block_items=300)
+
+
 def fixed_batches(spark: SparkSession, d: str) -> DataFrame:
     return B.fixed_batches(_items(spark, d), 100)
 
@@ -107,19 +113,80 @@ def length_chunks(spark: SparkSession, d: str) -> DataFrame:
     return B.length_chunks(B.fixed_batches(_items(spark, d), 500), 32, 2000, "batch")
 
 
+def length_chunk_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Items, and chunks that break a limit or aren't in order of length: what must be 0."""
+    chunks = length_chunks(spark, d)
+    per = chunks.groupBy("batch", "chunk").agg(F.count("*").alias("n"), F.max("tokens").alias("most"), F.min("tokens").alias("least"))
+    later = per.select("batch", (F.col("chunk") - 1).alias("chunk"), F.col("most").alias("next"))
+    rows = per.join(later, ["batch", "chunk"], "left")
+    over = ((F.col("n") > 32) | (F.col("n") * F.col("most") > 2000)) & (F.col("n") > 1)
+    return rows.agg(F.sum("n").alias("items"), F.count_if(over).alias("over"), F.count_if(F.col("next") > F.col("least")).alias("unordered"))
+
+
+def _negatives(spark: SparkSession, d: str) -> DataFrame:
+    """sent_id and its hard negatives with their tokens."""
+    s = sentences(spark, d)
+    named = s.select("sent_id", F.explode("hn_ids").alias("h")).join(s.select(F.col("sent_id").alias("h"), F.size("tgt").cast("bigint").alias("n")), "h")
+    return named.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct(F.col("h").alias("id"), F.col("n").alias("tokens")))).alias("negatives"))
+
+
 def dedup_batches(spark: SparkSession, d: str) -> DataFrame:
-    s = sentences(spark, d).select(F.col("sent_id").alias("id"), F.size("src").alias("tokens"), "dups")
-    return B.apart_from_duplicates(s, 64)
+    s = sentences(spark, d).join(_negatives(spark, d), "sent_id", "left")
+    return B.apart_from_duplicates(s.select(F.col("sent_id").alias("id"), F.size("src").alias("tokens"), "dups", "negatives"), 64, 300, 20_000, 8)
+
+
+def dedup_batch_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Items, and what must be 0: items lost or twice, duplicates side by side, batches over a limit, negatives twice in a batch."""
+    s = sentences(spark, d).select(F.col("sent_id").alias("id"), F.size("src").alias("tokens"), F.col("dups"))
+    got = cut(dedup_batches(spark, d))
+    key = ["block", "batch"]
+    near = got.select(*key, "id").join(s.select("id", F.explode("dups").alias("dup")), "id").join(got.select(*key, F.col("id").alias("dup")), [*key, "dup"]).where("id <> dup")
+    each = got.select(*key, F.explode(F.concat("negatives", "fill")).alias("x"))
+    twice = each.groupBy(*key, "x").agg(F.count("*").alias("n")).where("n > 1")
+    per = got.groupBy(*key).agg(F.count("*").alias("n"), F.sum(2 + F.size("negatives")).alias("sents"))
+    over = per.where("n > 1 AND (n > 64 OR sents > 300)")
+    one = s.agg(F.count("*").alias("items")).withColumn("_k", F.lit(0))
+    for name, df in (("lost", s.join(got, "id", "left_anti")), ("repeated", got.groupBy("id").count().where("count > 1")), ("side_by_side", near), ("over", over), ("twice", twice)):
+        # one row each, joined on a constant
+        one = one.join(F.broadcast(df.agg(F.count("*").alias(name)).withColumn("_k", F.lit(0))), "_k")
+    return one.drop("_k")
+
+
+def _sampled(spark: SparkSession, d: str) -> DataFrame:
+    return B.source_batches(_lengths(spark, d), 200, 20_000)
 
 
 def source_batches(spark: SparkSession, d: str) -> DataFrame:
-    return B.source_batches(C.source_buckets(_lengths(spark, d), 1000), 200, 20_000)
+    return _sampled(spark, d)
+
+
+def source_batch_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Sources with positives, and what must be 0: sources without a positive, in two batches, or with too many targets; batches over a limit or of one source with nothing but positives; texts new twice."""
+    lengths = _lengths(spark, d)
+    got = cut(_sampled(spark, d))
+    key = ["block", "batch"]
+    src = got.groupBy("src").agg(F.countDistinct(F.struct(*key)).alias("batches"), F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
+    size = got.join(lengths.select("src", "slen").distinct(), "src").groupBy(*key, "src").agg(F.max("slen").alias("s"))
+    texts = got.where("new").join(lengths.select("tgt", "tlen").distinct(), "tgt").groupBy(*key).agg(F.count("*").alias("t"), F.sum(F.coalesce("cut", "tlen")).alias("m"), F.countDistinct("thash").alias("k"))
+    per = size.groupBy(*key).agg(F.count("*").alias("sources"), F.sum("s").alias("s"), F.max("s").alias("one")).join(texts, key, "left").join(got.groupBy(*key).agg(F.min("label").alias("low"), F.count_if(F.col("cut").isNotNull()).alias("cuts")), key)
+    per = per.agg(
+        F.count_if(((F.col("sources") + F.col("t") > 200) | (F.col("s") + F.col("m") > 20_000)) & (F.col("cuts") == 0)).alias("over"),
+        F.count_if((F.col("sources") == 1) & (F.col("low") == 1)).alias("useless"), F.count_if(F.col("t") != F.col("k")).alias("new_twice"),
+    ).withColumn("_k", F.lit(0))
+    faults = src.agg(F.count_if(F.col("p") < 1).alias("without"), F.count_if(F.col("batches") > 1).alias("in_two"), F.count_if((F.col("p") > 2) | (F.col("n") > 2)).alias("too_many")).withColumn("_k", F.lit(0))
+    # one row each, joined on a constant
+    return faults.join(F.broadcast(per), "_k").drop("_k")
+
+
+def sampling_stats(spark: SparkSession, d: str) -> DataFrame:
+    return B.sampling_statistics(_sampled(spark, d))
 
 
 QUERIES = [
     pair_lengths, missing_documents, corpus_length_filter, docs_sentences_between, corpus_sorted_pairs, corpus_stats, include_exclude_sources,
     exact_size_sample, balanced_pairs, balanced_top5, round_robin_interleave, sampled_targets, proportional_truncation, source_buckets,
-    bucketed_sort, batch_distinct_targets, useful_batches, greedy_batches, fixed_batches, length_chunks, dedup_batches, source_batches,
+    bucketed_sort, batch_distinct_targets, useful_batches, greedy_batches, greedy_doc_batches, fixed_batches, length_chunks, length_chunk_faults,
+    dedup_batches, dedup_batch_faults, source_batches, source_batch_faults, sampling_stats,
 ]
 
 BUCKETS = LENGTHS + ", hashes AS (SELECT shash, (row_number() OVER (ORDER BY shash) - 1) // {n} AS bucket FROM (SELECT DISTINCT shash FROM lengths)), bucketed AS (SELECT l.*, h.bucket FROM lengths l JOIN hashes h USING (shash))"
@@ -144,15 +211,16 @@ SQL = {
     "balanced_top5": f"""WITH {LENGTHS}, rated AS (SELECT src, tgt, label, round(avg(tlen / slen), 6) AS rating FROM lengths GROUP BY 1, 2, 3),
         n AS (SELECT *, max(label) OVER (PARTITION BY src) AS a, min(label) OVER (PARTITION BY src) AS b,
         row_number() OVER (PARTITION BY src, label ORDER BY CASE WHEN label = 1 THEN -rating ELSE rating END, tgt)::INT AS place FROM rated)
-        SELECT src, tgt, label, rating, place FROM n WHERE a = 1 AND b = 0 AND place <= 5""",
+        SELECT src, tgt, label, rating, place FROM n WHERE a = 1 AND b = 0 AND place <= 5
+        AND src IN (SELECT src FROM n WHERE a = 1 AND b = 0 GROUP BY 1 ORDER BY 1 LIMIT 10000)""",
     "round_robin_interleave": f"""WITH {PAIRS}, t AS (SELECT ex_id, src, label, row_number() OVER (PARTITION BY src, label ORDER BY ex_id) AS turn FROM pairs)
         SELECT ex_id, src, label, row_number() OVER (PARTITION BY src ORDER BY turn, label DESC, ex_id)::INT AS place FROM t""",
     "sampled_targets": f"""WITH {PAIRS}, n AS (SELECT ex_id, src, tgt, label, row_number() OVER (PARTITION BY src, label ORDER BY md5('3:' || src || ':' || tgt || ':' || ex_id), ex_id) AS no,
         1 + ('0x' || substr(md5('3:' || src), 1, 4))::BIGINT % 3 AS most FROM pairs) SELECT ex_id, src, tgt, label FROM n WHERE no <= most""",
     "proportional_truncation": f"""WITH {LENGTHS}, t AS (SELECT *, sum(tlen) OVER (PARTITION BY src) AS total FROM lengths),
         c AS (SELECT *, (CASE WHEN total > 500 THEN floor(500 * tlen / total) ELSE tlen END)::BIGINT AS new_len FROM t),
-        r AS (SELECT *, round(avg(new_len / greatest(tlen, 1)) OVER (PARTITION BY src), 6) AS mean_ratio FROM c)
-        SELECT ex_id, src, tgt, tlen, new_len, mean_ratio FROM r WHERE mean_ratio > 0.1""",
+        r AS (SELECT *, CASE WHEN total > 500 THEN round(avg(1 - new_len / greatest(tlen, 1)) OVER (PARTITION BY src), 6) ELSE 0 END AS mean_lost FROM c)
+        SELECT ex_id, src, tgt, tlen, new_len, mean_lost FROM r WHERE mean_lost <= 0.5""",
     "source_buckets": f"WITH {BUCKETS.replace("{n}", "100")} SELECT ex_id, bucket FROM bucketed",
     "bucketed_sort": f"""WITH {BUCKETS.replace("{n}", "100")} SELECT ex_id, bucket,
         row_number() OVER (PARTITION BY bucket ORDER BY slen DESC, shash, label DESC, tlen, ex_id)::INT AS place FROM bucketed""",
@@ -166,5 +234,14 @@ SQL = {
         CASE WHEN f.n + 1 > 64 OR f.held + i.tokens > 1000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n + 1 > 64 OR f.held + i.tokens > 1000 THEN i.tokens ELSE f.held + i.tokens END
         FROM fold f JOIN items i ON i.no = f.no + 1)
         SELECT id, tokens, 0::BIGINT AS block, batch FROM fold""",
+    "greedy_doc_batches": f"""WITH RECURSIVE {INFO}, items AS (SELECT doc_id AS id, greatest(n_words, 1)::BIGINT AS tokens, greatest(n_lines, 1)::BIGINT AS sents, row_number() OVER (ORDER BY doc_id) AS no FROM info),
+        fold AS (SELECT no, id, tokens, 0::BIGINT AS block, 0::BIGINT AS batch, sents AS n, tokens AS held FROM items WHERE no = 1
+        UNION ALL SELECT i.no, i.id, i.tokens, (i.no - 1) // 300, CASE WHEN (i.no - 1) % 300 = 0 THEN 0 WHEN f.n + i.sents > 100 OR f.held + i.tokens > 2000 THEN f.batch + 1 ELSE f.batch END,
+        CASE WHEN (i.no - 1) % 300 = 0 OR f.n + i.sents > 100 OR f.held + i.tokens > 2000 THEN i.sents ELSE f.n + i.sents END,
+        CASE WHEN (i.no - 1) % 300 = 0 OR f.n + i.sents > 100 OR f.held + i.tokens > 2000 THEN i.tokens ELSE f.held + i.tokens END FROM fold f JOIN items i ON i.no = f.no + 1)
+        SELECT id, tokens, block, batch FROM fold""",
+    "length_chunk_faults": f"WITH {SENTS} SELECT count(*) AS items, 0::BIGINT AS over, 0::BIGINT AS unordered FROM sents",
+    "dedup_batch_faults": f"WITH {SENTS} SELECT count(*) AS items, 0::BIGINT AS lost, 0::BIGINT AS repeated, 0::BIGINT AS side_by_side, 0::BIGINT AS over, 0::BIGINT AS twice FROM sents",
+    "source_batch_faults": "SELECT 0::BIGINT AS without, 0::BIGINT AS in_two, 0::BIGINT AS too_many, 0::BIGINT AS over, 0::BIGINT AS useless, 0::BIGINT AS new_twice",
     "fixed_batches": f"WITH {SENTS} SELECT sent_id AS id, len(src)::INT AS tokens, (row_number() OVER (ORDER BY sent_id) - 1) // 100 AS batch FROM sents",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..functions.text import WHITE
 from ..operators import text as X
 from .tables import INFO, SENTENCES, SENTS, WORDS, sentences, table
 
@@ -43,7 +44,35 @@ def text_hierarchy_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def capped_segments(spark: SparkSession, d: str) -> DataFrame:
-    return X.capped_segments(sentence_split(spark, d), 100, 3)
+    return X.capped_segments(table(spark, d, "documents"), 100, 3)
+
+
+def prepared_fragments(spark: SparkSession, d: str) -> DataFrame:
+    return X.prepared_texts(table(spark, d, "documents"), "frags", 120, 6, fragment=4)
+
+
+def prepared_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return X.prepared_texts(table(spark, d, "documents"), "tokens", 150)
+
+
+def _prepared(spark: SparkSession, d: str) -> DataFrame:
+    return X.prepared_texts(table(spark, d, "documents"), "sents_frags", 200, 12, fragment=4, max_ratio=0.5)
+
+
+def prepared_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return _prepared(spark, d)
+
+
+def retruncated_texts(spark: SparkSession, d: str) -> DataFrame:
+    return X.retruncated(_prepared(spark, d), 90, 8, 4)
+
+
+def preparation_stats(spark: SparkSession, d: str) -> DataFrame:
+    return X.preparation_statistics(X.prepared_texts(table(spark, d, "documents"), "sents", 100), _info(spark, d))
+
+
+def token_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return X.token_fingerprint(sentences(spark, d).select(F.col("sent_id").alias("doc_id"), F.col("src").alias("tokens")))
 
 
 def encode_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -67,9 +96,30 @@ def parsed_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = [
     sentence_split, sentence_filter, doc_length_hash, exact_duplicate_docs, duplicate_classes, fragment_lengths, text_hierarchy_lengths,
-    capped_segments, encode_statistics, truncate_special_tokens, padded_sequences, parsed_tokens,
+    capped_segments, prepared_sentences, prepared_fragments, prepared_tokens, retruncated_texts, preparation_stats, token_fingerprints, encode_statistics, truncate_special_tokens, padded_sequences, parsed_tokens,
 ]
 
+
+
+def _kept_sql(budget: int, least: int, kept: str, most: int = 1 << 30) -> str:
+    """Sentences with what the kept ones before them use of a budget."""
+    return f""", w AS (SELECT doc_id, sent_no, sentence, {WORDS} AS words, len(list_filter(regexp_extract_all(sentence, '(\\p{{Nd}}+[-–.]?\\p{{Nd}}*)|([\\p{{L}}\\p{{N}}_]+)', 1), lambda x: x <> '')) AS numbers,
+        len(list_filter(regexp_extract_all(sentence, '(\\p{{Nd}}+[-–.]?\\p{{Nd}}*)|([\\p{{L}}\\p{{N}}_]+)', 2), lambda x: x <> '')) AS others FROM lined),
+        z AS (SELECT *, ({kept}) AS kept FROM w), y AS (SELECT *, coalesce(sum(CASE WHEN kept THEN words ELSE 0 END) OVER r, 0) AS before, coalesce(sum(kept::INT) OVER r, 0) AS had FROM z
+        WINDOW r AS (PARTITION BY doc_id ORDER BY sent_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        u AS (SELECT *, before < {budget} - 2 * {least} AND had < {most} AS used FROM y)"""
+
+
+def _segments_sql(c: str) -> str:
+    return f"list_transform(range(0, len({c}), 4), lambda s: least(4, len({c}) - s)::INT)"
+
+
+PREPARED = (
+    SENTENCES + _kept_sql(200, 3, "words >= 3 AND others > 0 AND numbers <= others * 0.5", 12) + ", t AS (SELECT doc_id FROM documents WHERE text IS NOT NULL),"
+    " g AS (SELECT doc_id, list(least(words, 200 - before)::INT ORDER BY sent_no) FILTER (WHERE used AND kept) AS l, bool_or(NOT used) AS cut FROM u GROUP BY 1),"
+    " prepared AS (SELECT doc_id, coalesce(l, []) AS lengths, coalesce(cut OR len(l) >= 12 OR list_sum(l) = 200, false) AS truncated FROM t LEFT JOIN g USING (doc_id))"
+)
+
 SQL = {
     "sentence_split": f"WITH {SENTENCES} SELECT doc_id, sent_no, sentence FROM lined",
     "sentence_filter": f"""WITH {SENTENCES}, n AS (SELECT doc_id, sent_no, sentence, {WORDS} AS words,
@@ -82,10 +132,27 @@ SQL = {
     "fragment_lengths": f"""WITH {INFO}, f AS (SELECT doc_id, n_lines, unnest(range(0, n_lines, 16)) AS s FROM info)
         SELECT doc_id, (s // 16)::INT AS frag_no, least(n_lines - s, 16)::INT AS n_sents FROM f""",
     "text_hierarchy_lengths": f"WITH {SENTENCES} SELECT doc_id, (sent_no // 16)::INT AS frag_no, count(*) AS n_sents, sum({WORDS})::BIGINT AS n_tokens FROM lined GROUP BY 1, 2",
-    "capped_segments": f"""WITH {SENTENCES}, n AS (SELECT doc_id, sent_no, {WORDS} AS n FROM lined),
-        b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY sent_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)
-        SELECT doc_id, count(*) FILTER (WHERE before < 94) AS n_sents, least(sum(CASE WHEN before < 94 THEN n ELSE 0 END), 100)::BIGINT AS n_tokens,
-        bool_or(CASE WHEN before < 94 THEN before + n > 100 ELSE true END) AS truncated FROM b GROUP BY 1""",
+    "capped_segments": f"""WITH {SENTENCES}{_kept_sql(100, 3, "words >= 3")}, t AS (SELECT doc_id FROM documents WHERE text IS NOT NULL),
+        g AS (SELECT doc_id, count(*) FILTER (WHERE used AND kept)::INT AS n_sents, coalesce(sum(CASE WHEN used AND kept THEN words END), 0) AS n, bool_or(NOT used) AS cut FROM u GROUP BY 1)
+        SELECT doc_id, coalesce(n_sents, 0) AS n_sents, least(coalesce(n, 0), 100)::INT AS n_tokens, coalesce(cut OR n >= 100, false) AS truncated FROM t LEFT JOIN g USING (doc_id)""",
+    "prepared_sentences": f"WITH {PREPARED} SELECT doc_id, lengths, {_segments_sql('lengths')} AS segments, truncated FROM prepared",
+    "prepared_fragments": f"""WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+        f AS (SELECT doc_id, unnest(range(0, len(l), 4)) AS s, l FROM l), n AS (SELECT doc_id, (s // 4)::INT AS no, list_sum(list_transform(l[s + 1 : s + 4], lambda x: len(list_filter(regexp_split_to_array(x, '[{WHITE}]+'), lambda y: y <> ''))))::INT AS n FROM f),
+        b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n),
+        u AS (SELECT doc_id, no, least(n, 120 - before)::INT AS n, before FROM b WHERE before < 120 AND no < 6)
+        SELECT doc_id, list(n ORDER BY no) AS lengths, [count(*)::INT] AS segments, (count(*) >= 6 OR max(before + n) = 120) AS truncated FROM u GROUP BY 1""",
+    "prepared_tokens": f"""WITH n AS (SELECT doc_id, least(len(list_filter(regexp_split_to_array(text, '[{WHITE}]+'), lambda x: x <> '')), 150)::INT AS n FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, [n] AS lengths, [1::INT] AS segments, n = 150 AS truncated FROM n""",
+    "retruncated_texts": f"""WITH {PREPARED}, s AS (SELECT doc_id, unnest(lengths) AS n, generate_subscripts(lengths, 1) AS no FROM prepared),
+        b2 AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+        k AS (SELECT doc_id, list(least(n, 90 - before)::INT ORDER BY no) FILTER (WHERE before < 84 AND no <= 8) AS l, bool_or(NOT (before < 84 AND no <= 8)) AS more FROM b2 GROUP BY 1),
+        r AS (SELECT p.doc_id, p.lengths AS old, coalesce(l, []) AS lengths, coalesce(more OR len(l) >= 8 OR list_sum(l) = 90, false) AS truncated FROM prepared p LEFT JOIN k USING (doc_id))
+        SELECT doc_id, lengths, {_segments_sql('lengths')} AS segments, truncated FROM r""",
+    "preparation_stats": f"""WITH {SENTENCES}{_kept_sql(100, 3, "words >= 3")}, t AS (SELECT doc_id, n_words FROM doc_lines WHERE text IS NOT NULL),
+        g AS (SELECT doc_id, count(*) FILTER (WHERE used AND kept) AS s, coalesce(sum(CASE WHEN used AND kept THEN words END), 0) AS n, bool_or(NOT used) AS cut FROM u GROUP BY 1),
+        r AS (SELECT doc_id, n_words, coalesce(s, 0) AS s, least(coalesce(n, 0), 100) AS n, coalesce(cut OR n >= 100, false) AS truncated FROM t LEFT JOIN g USING (doc_id))
+        SELECT count(*) AS texts, count(*) FILTER (WHERE n = 0) AS empty, sum(s)::BIGINT AS sequences, sum(n)::BIGINT AS tokens, count(*) FILTER (WHERE truncated) AS truncated,
+        round(avg(CASE WHEN truncated THEN n / greatest(n_words, 1) END), 6) AS kept_share FROM r""",
     "encode_statistics": f"""WITH {SENTENCES}, per AS (SELECT doc_id, count(*) AS s, sum({WORDS})::BIGINT AS t FROM lined GROUP BY 1)
         SELECT count(*) AS documents, sum(s)::BIGINT AS sentences, sum(t)::BIGINT AS tokens, max(t) AS longest, round(avg(s), 6) AS mean_sentences FROM per""",
     "truncate_special_tokens": f"""WITH {SENTS} SELECT sent_id, list_concat(list_concat([1::INT], src[1:14]), [2::INT]) AS tokens,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from ..functions import vectors as V
 from ..operators import encode as N
 from ..operators import metrics as M
 from ..operators import search as S
+from ..session import checkpoint_dir, cut
+from ..sources import readers as R
+from ..sources import sinks as K
 from .tables import PAIRS, QUERY_STEP, SENTS, doc_vectors, pairs, sentences, table
 
 LEVELS = [1, 3, 5, 10]
@@ -28,10 +33,13 @@ def _targets(v: DataFrame) -> DataFrame:
     return v.select(F.col("id").alias("t"), "vec")
 
 
-def _gold(v: DataFrame) -> DataFrame:
-    """q, t of equal label, for the query set."""
-    q = v.where(F.col("id") % QUERY_STEP == 0).select(F.col("id").alias("q"), "label")
-    return q.join(v.select(F.col("id").alias("t"), "label"), "label").where("q <> t").select("q", "t")
+def _labels(v: DataFrame) -> DataFrame:
+    return v.select("id", "label")
+
+
+def _counts(v: DataFrame) -> DataFrame:
+    """q, n: how many others have the label of each query."""
+    return M.label_counts(_queries(v), _labels(v))
 
 
 def _centers(v: DataFrame) -> DataFrame:
@@ -74,22 +82,22 @@ def _ten(v: DataFrame) -> DataFrame:
 
 def retrieval_rec_map(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return M.retrieval_at(_ten(v), _gold(v), LEVELS)
+    return M.retrieval_at(M.marked_by_label(_ten(v), _labels(v)), _counts(v), LEVELS)
 
 
 def retrieval_by_group(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return M.retrieval_at(_ten(v), _gold(v), LEVELS, v.select(F.col("id").alias("q"), F.col("label").alias("grp")))
+    return M.retrieval_at(M.marked_by_label(_ten(v), _labels(v)), _counts(v), LEVELS, v.select(F.col("id").alias("q"), F.col("label").alias("grp")))
 
 
 def sent_retrieval_grid(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return M.prediction_grid(_ten(v), _gold(v), [1, 5, 10], [0.0, 0.2, 0.4])
+    return M.prediction_grid(M.marked_by_label(_ten(v), _labels(v)), _counts(v), [1, 5, 10], [0.0, 0.2, 0.4])
 
 
 def sent_retrieval_map(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return M.mean_average_precision(_ten(v).where("sim > 0.2"), _gold(v))
+    return M.mean_average_precision(M.marked_by_label(_ten(v).where("sim > 0.2"), _labels(v)), _counts(v))
 
 
 def matching_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -144,11 +152,20 @@ def ivf_search(spark: SparkSession, d: str) -> DataFrame:
     return _shown(S.ivf_search(_queries(v), _postings(v), _centers(v), 10, 3))
 
 
+def _nearest(v: DataFrame, k: int) -> DataFrame:
+    return S.without_self(S.exact_knn(_queries(v), _targets(v), k + 1), k)
+
+
 def index_recall(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    others = S.without_self(S.exact_knn(_queries(v), _targets(v), 2), 1)
     found = S.without_self(S.ivf_search(_queries(v), _postings(v), _centers(v), 31, 3), 30)
-    return S.index_recall(found, others, [1, 5, 30])
+    return S.index_recall(found, _nearest(v, 1), [1, 5, 30])
+
+
+def index_mapped_recall(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    found = S.without_self(S.ivf_search(_queries(v), _postings(v), _centers(v), 31, 3), 30)
+    return S.mapped_recall(found, _nearest(v, 3).select("q", "t"), [1, 5, 30])
 
 
 def product_codes(spark: SparkSession, d: str) -> DataFrame:
@@ -156,17 +173,45 @@ def product_codes(spark: SparkSession, d: str) -> DataFrame:
     return S.product_codes(v.select("id", "vec"), _books(v))
 
 
-def code_scores(spark: SparkSession, d: str) -> DataFrame:
+def _left(v: DataFrame) -> DataFrame:
+    return S.residuals(_postings(v), _centers(v)).select("id", "center", "vec")
+
+
+def _left_books(v: DataFrame) -> DataFrame:
+    """The residuals of the first 16 vectors as codebooks."""
+    size = DIM // PARTS
+    part = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.slice("vec", p * size + 1, size).alias("v")) for p in range(PARTS)])).alias("x")
+    first = _left(v).where("id < 16").select(F.col("id").cast("int").alias("code"), part).select("x.part", "code", F.transform("x.v", lambda x: F.round(x, 9)).alias("vec"))
+    return cut(first)
+
+
+def ivfpq_search(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    books = _left_books(v)
+    return _shown(S.ivfpq_search(_queries(v), S.quantised(_left(v), books), _centers(v), books, 10, 3))
+
+
+def reconstruction_error(spark: SparkSession, d: str) -> DataFrame:
+    """The mean squared distance of residuals from what their codes stand for."""
     v = _vectors(spark, d)
-    return S.code_scores(_queries(v), S.product_codes(v.select("id", "vec"), _books(v)), _books(v)).select("q", "t", F.round("sim", 6).alias("sim"))
+    books = _left_books(v)
+    back = S.reconstructed(S.quantised(_left(v), books), books).select("id", F.col("vec").alias("b"))
+    far = F.aggregate(F.zip_with("vec", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return _left(v).join(back, "id").agg(F.count("*").alias("vectors"), F.round(F.avg(far), 6).alias("error"))
 
 
 def fitted_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of an index that is fitted, written, added to and read back, against exact search."""
     v = _vectors(spark, d)
-    centers = S.fit_centers(v.select("id", "vec"), 16)
-    others = S.without_self(S.exact_knn(_queries(v), _targets(v), 2), 1)
-    postings = S.assigned(v.select("id", "vec"), centers, 1).select("id", "vec", "center")
-    return S.index_recall(S.without_self(S.ivf_search(_queries(v), postings, centers, 31, 8), 30), others, [1, 5, 30])
+    one, two = v.where("id % 2 = 0").select("id", "vec"), v.where("id % 2 = 1").select("id", "vec")
+    path = f"{checkpoint_dir(spark)}/texloom-{uuid.uuid4().hex}"
+    centers, books, postings = S.build_index(v.select("id", "vec"), 16, 16, 64)
+    K.write_index(centers, postings.join(one.select("id"), "id", "left_semi"), path, books)
+    centers, books, _ = R.read_index(spark, path)
+    K.append_postings(S.index_postings(two, centers, books), path)
+    centers, books, postings = R.read_index(spark, path)
+    found = S.without_self(S.ivfpq_search(_queries(v), postings, centers, books, 31, 8), 30)
+    return S.index_recall(found, _nearest(v, 1), [1, 5, 30])
 
 
 def _label_scores(v: DataFrame) -> DataFrame:
@@ -204,6 +249,17 @@ def doc_average_encode(spark: SparkSession, d: str) -> DataFrame:
     return N.average_hierarchy(tokens).select("doc_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
+def doc_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Document vectors by each layout, with its name."""
+    s = sentences(spark, d)
+    tokens = s.select(F.floor(F.col("sent_id") / 1000).alias("doc_id"), F.floor(F.col("sent_id") % 1000 / 5).alias("sent_no"), F.explode("src").alias("token"))
+    out = None
+    for layout in ("sents", "frags", "tokens"):
+        one = N.average_hierarchy(tokens, layout=layout).select("doc_id", F.lit(layout).alias("layout"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def cache_hit_miss(spark: SparkSession, d: str) -> DataFrame:
     cache = doc_vectors(spark, d).withColumnRenamed("id", "doc_id")
     hit, miss = N.hits_and_misses(table(spark, d, "documents").select("doc_id"), cache, "doc_id")
@@ -212,8 +268,8 @@ def cache_hit_miss(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = [
     normalised_vectors, knn_cosine, knn_drop_self, knn_margin, retrieval_rec_map, retrieval_by_group, sent_retrieval_grid, sent_retrieval_map, matching_threshold_sweep,
-    pool_union_distractors, mean_pool, max_pool, first_last_pool, weighted_merge, index_assignment, index_center_stats, ivf_search, index_recall, product_codes, code_scores,
-    fitted_index_recall, classification_loss, bidirectional_loss, first_is_own, recall_with_ties, doc_average_encode, cache_hit_miss,
+    pool_union_distractors, mean_pool, max_pool, first_last_pool, weighted_merge, index_assignment, index_center_stats, ivf_search, index_recall, index_mapped_recall, product_codes, ivfpq_search, reconstruction_error,
+    fitted_index_recall, classification_loss, bidirectional_loss, first_is_own, recall_with_ties, doc_average_encode, doc_layouts, cache_hit_miss,
 ]
 
 VEC = "raw AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), v AS (SELECT id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS vec FROM raw)"
@@ -245,6 +301,12 @@ CODES = (
     " codes AS (SELECT id, part, code FROM (SELECT id, part, code, row_number() OVER (PARTITION BY id, part ORDER BY round(d, 9), code) AS r FROM (SELECT v.id, part, code,"
     " list_sum(list_transform(list_zip(vec[part * 8 + 1 : part * 8 + 8], b), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, books)) WHERE r = 1)"
 )
+PQ = (
+    ", left_ AS (SELECT n.id, n.center, list_transform(list_zip(n.vec, c.vec), lambda z: z[1] - z[2]) AS r FROM near n JOIN c ON c.center = n.center WHERE place = 1),"
+    " lbooks AS (SELECT p::INT AS part, id::INT AS code, list_transform(r[p * 8 + 1 : p * 8 + 8], lambda x: round(x, 9)) AS b FROM left_, (SELECT unnest(range(8)) AS p) WHERE id < 16),"
+    " lcodes AS (SELECT id, center, part, code, d FROM (SELECT l.id, center, part, code,"
+    " list_sum(list_transform(list_zip(r[part * 8 + 1 : part * 8 + 8], b), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM left_ l, lbooks) QUALIFY row_number() OVER (PARTITION BY id, part ORDER BY round(d, 9), code) = 1)"
+)
 LOSS = ", sc AS (SELECT v.id AS q, c.center AS t, round(list_inner_product(v.vec, c.vec), 9) AS sim, (v.label = c.center)::INT AS g FROM v, c)"
 
 
@@ -295,8 +357,15 @@ SQL = {
         h AS (SELECT l.q, min(CASE WHEN f.t = l.t THEN f.rank END) AS hit FROM less l LEFT JOIN f ON f.q = l.q GROUP BY 1)
         SELECT level, round(avg(CASE WHEN hit <= level THEN 1.0 ELSE 0.0 END), 6) AS recall FROM h, (SELECT unnest([1, 5, 30]) AS level) GROUP BY 1""",
     "product_codes": f"WITH {VEC}{MEANS}{CODES} SELECT id, part, code FROM codes",
-    "code_scores": f"""WITH {VEC}{MEANS}{CODES} SELECT a.id AS q, k.id AS t, round(sum(list_inner_product(a.vec[part * 8 + 1 : part * 8 + 8], b)), 6) AS sim
-        FROM (SELECT * FROM v WHERE id % 50 = 0) a, codes k JOIN books USING (part, code) GROUP BY 1, 2""",
+    "ivfpq_search": f"""WITH {VEC}{MEANS}{NEAR}{PQ}, probed AS (SELECT a.id AS q, a.vec, a.center, c.vec AS cv FROM near a JOIN c ON c.center = a.center WHERE a.id % 50 = 0 AND place <= 3),
+        table_ AS (SELECT q, center, vec, part, code, list_inner_product(vec[part * 8 + 1 : part * 8 + 8], b) AS s FROM probed, lbooks),
+        sc AS (SELECT p.q, k.id AS t, round(any_value(list_inner_product(p.vec, p.cv)) + sum(x.s), 9) AS sim FROM probed p JOIN lcodes k ON k.center = p.center
+        JOIN table_ x ON x.q = p.q AND x.center = p.center AND x.part = k.part AND x.code = k.code GROUP BY 1, 2)
+        SELECT q, t, round(sim, 6) AS sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, t)::INT AS rank FROM sc QUALIFY rank <= 10""",
+    "reconstruction_error": f"""WITH {VEC}{MEANS}{NEAR}{PQ} SELECT count(DISTINCT id) AS vectors, round(sum(d) / count(DISTINCT id), 6) AS error FROM lcodes""",
+    "index_mapped_recall": f"""WITH {KNN.replace('{k}', '4')}{LESS.replace('{n}', '3')}{MEANS}{NEAR}{IVF.replace('{k}', '31')},
+        o AS (SELECT *, max(CASE WHEN rank = 1 AND q = t THEN 1 ELSE 0 END) OVER (PARTITION BY q) AS o FROM ivf), f AS (SELECT q, t, rank - o AS rank FROM o WHERE rank - o BETWEEN 1 AND 30)
+        SELECT level, round(avg(CASE WHEN f.rank <= level THEN 1.0 ELSE 0.0 END), 6) AS recall FROM less l LEFT JOIN f ON f.q = l.q AND f.t = l.t, (SELECT unnest([1, 5, 30]) AS level) GROUP BY 1""",
     "classification_loss": f"WITH {VEC}{MEANS}{LOSS} {_loss_sql(0.1, 'q')}",
     "bidirectional_loss": f"WITH {VEC}{MEANS}{LOSS} {_loss_sql(0.0, 'q')} UNION ALL {_loss_sql(0.0, 't')}",
     "first_is_own": f"""WITH {VEC}{MEANS}, mp AS ({_pool_sql('max')}), f AS (SELECT mp.label AS q, c.center AS t, round(list_inner_product(mp.vec, c.vec), 9) AS sim FROM mp, c),
@@ -307,6 +376,11 @@ SQL = {
         x AS (SELECT doc_id, sent_no // 4 AS frag_no, sent_no, d, ((token * 7919 + d * 104729) % 1009) / 1009.0::DOUBLE AS x FROM tok, (SELECT unnest(range(1, 9)) AS d)),
         a AS (SELECT doc_id, frag_no, sent_no, d, avg(x) AS x FROM x GROUP BY ALL), b AS (SELECT doc_id, frag_no, d, avg(x) AS x FROM a GROUP BY ALL), c AS (SELECT doc_id, d, avg(x) AS x FROM b GROUP BY ALL)
         SELECT doc_id, list(round(x, 6) ORDER BY d) AS vec FROM c GROUP BY 1""",
+    "doc_layouts": f"""WITH {SENTS}, tok AS (SELECT sent_id // 1000 AS doc_id, (sent_id % 1000) // 5 AS sent_no, unnest(src) AS token FROM sents),
+        x AS (SELECT doc_id, sent_no // 4 AS frag_no, sent_no, d, ((token * 7919 + d * 104729) % 1009) / 1009.0::DOUBLE AS x FROM tok, (SELECT unnest(range(1, 9)) AS d)),
+        s AS (SELECT doc_id, d, avg(x) AS x FROM (SELECT doc_id, sent_no, d, avg(x) AS x FROM x GROUP BY ALL) GROUP BY ALL), f AS (SELECT doc_id, d, avg(x) AS x FROM (SELECT doc_id, frag_no, d, avg(x) AS x FROM x GROUP BY ALL) GROUP BY ALL),
+        t AS (SELECT doc_id, d, avg(x) AS x FROM x GROUP BY ALL), a AS (SELECT doc_id, 'sents' AS layout, d, x FROM s UNION ALL SELECT doc_id, 'frags', d, x FROM f UNION ALL SELECT doc_id, 'tokens', d, x FROM t)
+        SELECT doc_id, layout, list(round(x, 6) ORDER BY d) AS vec FROM a GROUP BY 1, 2""",
     "cache_hit_miss": """WITH good AS (SELECT DISTINCT ids FROM doc_vectors WHERE len(embs) = 96 AND len(list_filter(embs, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embs, lambda x: x <> 0)) > 0)
         SELECT ids AS doc_id, true AS cached FROM good WHERE ids IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, false FROM documents WHERE doc_id NOT IN (SELECT ids FROM good)""",
 }

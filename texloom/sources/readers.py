@@ -155,3 +155,14 @@ def located(ids: DataFrame, documents: DataFrame) -> DataFrame:
 def line_count(spark: SparkSession, path: str, limit: int = -1) -> int:
     lines = spark.read.text(path)
     return (lines.limit(limit) if limit >= 0 else lines).count()
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The centers, codebooks (None where there are none) and postings of an index that was written."""
+    books = spark.read.parquet(f"{path}/books") if _exists(spark, f"{path}/books") else None
+    return spark.read.parquet(f"{path}/centers"), books, spark.read.parquet(f"{path}/postings")
+
+
+def read_cache(spark: SparkSession, path: str, model: str) -> DataFrame | None:
+    """The cached vectors of one model; None where nothing is cached."""
+    return spark.read.parquet(path).where(F.col("model") == model).drop("model") if _exists(spark, path) else None

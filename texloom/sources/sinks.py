@@ -51,6 +51,11 @@ def write_index(centers: DataFrame, postings: DataFrame, path: str, books: DataF
         books.write.mode("overwrite").parquet(f"{path}/books")
 
 
+def append_postings(postings: DataFrame, path: str) -> None:
+    """Further postings into the index below ``path``."""
+    postings.repartition("center").sortWithinPartitions("center", "id").write.mode("append").parquet(f"{path}/postings")
+
+
 def append_cache(df: DataFrame, path: str, model: str) -> None:
     """New vectors into the cache, partitioned by model."""
     df.withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(path)
