@@ -45,3 +45,9 @@ def fragment_lengths(n: Column, size: int) -> Column:
     """Lengths of the fragments of ``size`` that ``n`` items fall into, the last one with what is left."""
     starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda s: F.least(n - s, F.lit(size)))
+
+
+def pad_all(seqs: Column, value: int = 0, multiple: int = 1) -> Column:
+    """The sequences of a document, each filled up to the longest one, rounded up to a multiple."""
+    longest = F.aggregate(seqs, F.lit(0), lambda n, s: F.greatest(n, F.size(s)))
+    return F.transform(seqs, lambda s: pad(s, round_up(longest, multiple), value))

@@ -28,6 +28,17 @@ def sigmoid(c: Column) -> Column:
     return 1 / (1 + F.exp(-c))
 
 
+def tanh(c: Column) -> Column:
+    return F.tanh(c)
+
+
+def softmax(v: Column) -> Column:
+    """The softmax of an array of numbers."""
+    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
+    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(e, lambda x: x / total)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where that isn't defined."""
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))

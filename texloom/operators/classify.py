@@ -114,6 +114,11 @@ def best_variant(metrics: DataFrame, by: str = "micro_f1") -> DataFrame:
     return metrics.orderBy(F.col(by).desc(), "variant").limit(1)
 
 
+def kept_variants(metrics: DataFrame, by: str = "micro_f1", most: int = 30) -> DataFrame:
+    """The variants that are carried to the next evaluation: the best ``most``, the first of equal ones first."""
+    return metrics.orderBy(F.col(by).desc(), "variant").limit(most)
+
+
 def class_thresholds(scores: DataFrame, gold: DataFrame, thresholds: list[float], least_f1: float = 0.05) -> DataFrame:
     """label, threshold, f1: the first threshold of greatest f1 per label; 1.0 where none reaches ``least_f1``."""
     per = class_metrics(threshold_variants(scores, thresholds), gold, list(range(len(thresholds))))

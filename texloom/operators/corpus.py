@@ -149,3 +149,23 @@ def useful_batches(batch: DataFrame) -> DataFrame:
         F.countDistinct("src").alias("n_src"), F.countDistinct("tgt").alias("n_tgt"), F.countDistinct(F.when(F.col("label") == 1, F.col("tgt"))).alias("n_pos")
     )
     return per.where(~((F.col("n_src") == 1) & (F.col("n_pos") == F.col("n_tgt"))))
+
+
+def united(datasets: dict[str, DataFrame]) -> DataFrame:
+    """Pairs of several datasets (src, tgt, label) with their name (ds) and number (ds_no, by name)."""
+    out = None
+    for k, name in enumerate(sorted(datasets)):
+        one = datasets[name].select(F.lit(name).alias("ds"), F.lit(k).alias("ds_no"), "src", "tgt", "label")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no dataset")
+    return out
+
+
+def combined_splits(pairs: DataFrame, info: DataFrame, low: int, high: int, splits: tuple[str, ...] = ("train", "dev")) -> dict[str, DataFrame]:
+    """Each split's pairs with both texts of ``low`` to ``high`` words, in training order: what training starts from. ``pairs``: ex_id, split, ds, src, tgt, label."""
+    out = {}
+    for s in splits:
+        own = pairs.where(F.lower(F.trim("split")) == s)
+        out[s] = training_order(within(pair_lengths(own, info), low, high, "slen", "tlen"))
+    return out

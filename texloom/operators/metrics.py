@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import f1, ratio
+from .order import first_rows
 
 
 def marked(knn: DataFrame, gold: DataFrame) -> DataFrame:
@@ -123,3 +124,54 @@ def pooled_distinct(*ids: DataFrame) -> DataFrame:
     for d in ids[1:]:
         out = out.unionByName(d.toDF("id"))
     return out.distinct()
+
+
+def distractors(pool: DataFrame, used: DataFrame, limit: int | None = None, order: str = "path") -> DataFrame:
+    """Rows of ``pool`` that aren't ``used`` (id), at most ``limit`` of them: the first by ``order``."""
+    left = pool.join(used.select("id"), "id", "left_anti")
+    return left if limit is None else first_rows(left, limit, F.col(order), F.col("id"))
+
+
+def retrieval_sums(rows: DataFrame, n: DataFrame, k: int) -> DataFrame:
+    """One row of sums that can be added over parts of a set: queries, relevant (at most k each), found, ap (of average precisions), first (queries with a hit at rank 1)."""
+    per = _hits(rows.where(F.col("rank") <= k)).groupBy("q").agg(F.sum("rel").alias("f"), F.sum(F.col("rel") * F.col("hits") / F.col("rank")).alias("a"), F.max(F.when(F.col("rank") == 1, F.col("rel"))).alias("one"))
+    all_ = n.join(per, "q", "left").na.fill(0, ["f", "a", "one"])
+    most = F.least(F.lit(k), F.col("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return all_.agg(F.count("*").alias("queries"), total(most).alias("relevant"), total("f").alias("found"), total(F.col("a") / most).cast("double").alias("ap"), total("one").alias("first"))
+
+
+def merged_metrics(*parts: DataFrame) -> DataFrame:
+    """One row: queries, rec, map and rec1 from sums of parts, as if they were one set."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    s = out.agg(*[F.sum(c).alias(c) for c in ("queries", "relevant", "found", "ap", "first")])
+    r = lambda a, b: F.round(ratio(F.col(a), F.col(b)), 6)
+    return s.select("queries", r("found", "relevant").alias("rec"), r("ap", "queries").alias("map"), r("first", "queries").alias("rec1"))
+
+
+def best_checkpoint(scores: DataFrame) -> DataFrame:
+    """The checkpoint with the greatest mean of its tasks' metrics, the first of equal ones. ``scores``: checkpoint, task, value."""
+    per = scores.groupBy("checkpoint").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return per.orderBy(F.col("mean").desc(), "checkpoint").limit(1)
+
+
+def distillation_loss(student: DataFrame, teacher: DataFrame) -> DataFrame:
+    """One row: queries and the mean cross-entropy of the student's softmax against the teacher's. Both: q, t, sim."""
+    both = student.join(teacher.select("q", "t", F.col("sim").alias("goal")), ["q", "t"])
+    m = both.groupBy("q").agg(F.max("sim").alias("ms"), F.max("goal").alias("mg"))
+    z = both.join(m, "q").groupBy("q").agg(
+        F.log(F.sum(F.exp(F.col("sim") - F.col("ms")))).alias("ls"), F.sum(F.exp(F.col("goal") - F.col("mg"))).alias("zg"),
+        F.sum(F.exp(F.col("goal") - F.col("mg")) * (F.col("sim") - F.col("ms"))).alias("x"),
+    )
+    return z.agg(F.count("*").alias("queries"), F.round(F.avg(F.col("ls") - F.col("x") / F.col("zg")), 6).alias("loss"))
+
+
+def weighted_loss(losses: list[tuple[DataFrame, float]]) -> DataFrame:
+    """One row: the weighted sum of losses (one row each)."""
+    out = None
+    for df, w in losses:
+        one = df.select((F.col("loss") * w).alias("loss"))
+        out = one if out is None else out.unionByName(one)
+    return out.agg(F.round(F.sum("loss"), 6).alias("loss"))

@@ -49,6 +49,10 @@ def predict_gap(spark: SparkSession, d: str) -> DataFrame:
     return _shown(C.by_gap(_scores(spark, d), 0.04))
 
 
+def kept_variants(spark: SparkSession, d: str) -> DataFrame:
+    return C.kept_variants(tune_thresholds(spark, d), most=3)
+
+
 def weighted_labels(spark: SparkSession, d: str) -> DataFrame:
     return C.weighted_labels(C.by_rank(_scores(spark, d), 3)).select("doc_id", F.transform("labels", lambda x: x["label"]).alias("labels"), F.transform("labels", lambda x: x["weight"]).alias("weights"))
 
@@ -107,6 +111,7 @@ def labels_per_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
+    kept_variants,
     predict_threshold, predict_class_threshold, predict_topk, predict_topk_threshold, predict_gap, weighted_labels, class_metrics, tune_thresholds, tune_ranks,
     best_variant, per_class_thresholds, multilabel_map, multiclass_report, multilabel_match_modes, label_dictionary, label_stats, labels_per_file,
 ]
@@ -142,6 +147,7 @@ SQL = {
     "class_metrics": f"WITH {SC}{VARIANTS}{PER_CLASS} SELECT * FROM cf",
     "tune_thresholds": f"WITH {SC}{VARIANTS}{BY_VARIANT} SELECT * FROM vm",
     "tune_ranks": f"WITH {SC}{RANKS}{BY_VARIANT} SELECT * FROM vm",
+    "kept_variants": f"WITH {SC}{VARIANTS}{BY_VARIANT} SELECT * FROM vm ORDER BY micro_f1 DESC, variant LIMIT 3",
     "best_variant": f"WITH {SC}{RANKS}{BY_VARIANT} SELECT * FROM vm ORDER BY micro_f1 DESC, variant LIMIT 1",
     "per_class_thresholds": f"""WITH {SC}{VARIANTS}{PER_CLASS}, b AS (SELECT label, variant, f1 FROM cf QUALIFY row_number() OVER (PARTITION BY label ORDER BY f1 DESC, variant) = 1)
         SELECT label, CASE WHEN f1 < 0.05 THEN 1.0::DOUBLE ELSE x.t::DOUBLE END AS threshold, f1 FROM b JOIN vs ON vs.x.variant = b.variant""",

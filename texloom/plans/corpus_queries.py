@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_name
 from ..operators import batching as B
 from ..operators import corpus as C
+from ..operators import metrics as M
 from ..operators import order as O
 from ..operators import text as X
 from ..session import cut
@@ -47,10 +49,28 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def include_exclude_sources(spark: SparkSession, d: str) -> DataFrame:
-    kept = C.only(table(spark, d, "documents"), "source", ["wiki_ru", "wiki_en", "sci_en"], ["sci_en"])
+    kept = C.only(table(spark, d, "documents").select(clean_name(F.col("source")).alias("source")), "source", ["wiki_ru", "wiki_en", "sci_en"], ["sci_en"])
     return kept.groupBy("source").agg(F.count("*").alias("docs"))
 
 
+def dataset_union(spark: SparkSession, d: str) -> DataFrame:
+    p = pairs(spark, d)
+    names = [r["ds"] for r in p.select("ds").distinct().collect()]  # a row per dataset
+    return C.united({n: p.where(F.col("ds") == n) for n in names if n is not None}).groupBy("ds", "ds_no").agg(F.count("*").alias("pairs"), F.sum("label").alias("positives"))
+
+
+def training_files(spark: SparkSession, d: str) -> DataFrame:
+    splits = C.combined_splits(pairs(spark, d), _info(spark, d), 20, 400)
+    train, dev = (splits[s].select("row_no", "ex_id", F.lit(s).alias("split")) for s in ("train", "dev"))
+    return train.unionByName(dev)
+
+
+def distractor_pool(spark: SparkSession, d: str) -> DataFrame:
+    pool = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("dir_key", F.lit("")).alias("path"))
+    used = pairs(spark, d).where("split = 'test'").select(F.explode(F.array("src", "tgt")).alias("id")).distinct()
+    return M.distractors(pool, used, 200)
+
+
 def exact_size_sample(spark: SparkSession, d: str) -> DataFrame:
     return O.sample_exact(table(spark, d, "documents"), 0.4, 5, F.col("doc_id")).select("doc_id")
 
@@ -183,7 +203,7 @@ def sampling_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    pair_lengths, missing_documents, corpus_length_filter, docs_sentences_between, corpus_sorted_pairs, corpus_stats, include_exclude_sources,
+    pair_lengths, missing_documents, corpus_length_filter, docs_sentences_between, corpus_sorted_pairs, corpus_stats, include_exclude_sources, dataset_union, training_files, distractor_pool,
     exact_size_sample, balanced_pairs, balanced_top5, round_robin_interleave, sampled_targets, proportional_truncation, source_buckets,
     bucketed_sort, batch_distinct_targets, useful_batches, greedy_batches, greedy_doc_batches, fixed_batches, length_chunks, length_chunk_faults,
     dedup_batches, dedup_batch_faults, source_batches, source_batch_faults, sampling_stats,
@@ -203,7 +223,12 @@ SQL = {
         d AS (SELECT ds, count(*) AS sources, round(avg(slen), 6) AS mean_len, max(slen) AS max_len FROM (SELECT DISTINCT ds, src, slen FROM lengths) GROUP BY 1)
         SELECT ds, pairs, coalesce(with_texts, 0) AS with_texts, coalesce(kept, 0) AS kept, coalesce(sources, 0) AS sources, mean_len, max_len
         FROM a LEFT JOIN b USING (ds) LEFT JOIN c USING (ds) LEFT JOIN d USING (ds)""",
-    "include_exclude_sources": "SELECT source, count(*) AS docs FROM documents WHERE source IN ('wiki_ru', 'wiki_en') GROUP BY 1",
+    "include_exclude_sources": "SELECT regexp_replace(lower(trim(source)), '[\\s-]+', '_', 'g') AS source, count(*) AS docs FROM documents WHERE regexp_replace(lower(trim(source)), '[\\s-]+', '_', 'g') IN ('wiki_ru', 'wiki_en') GROUP BY 1",
+    "dataset_union": f"WITH {PAIRS} SELECT ds, (dense_rank() OVER (ORDER BY ds) - 1)::INT AS ds_no, count(*) AS pairs, sum(label)::BIGINT AS positives FROM pairs WHERE ds IS NOT NULL GROUP BY ds",
+    "training_files": f"""WITH {LENGTHS}, s AS (SELECT l.*, lower(trim(p.split)) AS split FROM lengths l JOIN pairs p USING (ex_id) WHERE l.slen >= 20 AND l.slen < 400 AND l.tlen >= 20 AND l.tlen < 400)
+        SELECT row_number() OVER (PARTITION BY split ORDER BY slen DESC, shash, label DESC, ds, ex_id) AS row_no, ex_id, split FROM s WHERE split IN ('train', 'dev')""",
+    "distractor_pool": f"""WITH {PAIRS}, u AS (SELECT unnest([src, tgt]) AS id FROM pairs WHERE split = 'test')
+        SELECT doc_id AS id, coalesce(dir_key, '') AS path FROM documents WHERE doc_id NOT IN (SELECT id FROM u WHERE id IS NOT NULL) ORDER BY path, id LIMIT 200""",
     "exact_size_sample": "SELECT doc_id FROM documents ORDER BY md5('5:' || doc_id), doc_id LIMIT (SELECT floor(count(*) * 0.4)::BIGINT FROM documents)",
     "balanced_pairs": f"""WITH {PAIRS}, n AS (SELECT *, count(*) FILTER (WHERE label = 1) OVER (PARTITION BY src) AS p, count(*) FILTER (WHERE label = 0) OVER (PARTITION BY src) AS n,
         row_number() OVER (PARTITION BY src, label ORDER BY md5('1:' || src || ':' || tgt || ':' || ex_id), ex_id) AS no FROM pairs)

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..functions.text import WHITE
+from ..operators import documents as D
+from ..operators import layers as L
 from ..operators import text as X
+from ..operators import tokenize as K
+from ..session import cut
 from .tables import INFO, SENTENCES, SENTS, WORDS, sentences, table
 
 
@@ -89,6 +93,36 @@ def padded_sequences(spark: SparkSession, d: str) -> DataFrame:
     return s.select("sent_id", "length", S.pad(F.col("src"), F.col("length")).alias("right_padded"), S.pad(F.col("src"), F.col("length"), left=True).alias("left_padded"))
 
 
+def padded_documents(spark: SparkSession, d: str) -> DataFrame:
+    s = sentences(spark, d)
+    return s.select("sent_id", S.pad_all(F.array("src", "tgt"), 0, 4).alias("both"))
+
+
+def word_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """How many tokens each document has by words, between two special ones, cut at 64."""
+    conf = K.TokenizerConf("words", prefix=(1,), suffix=(2,), max_length=64)
+    seqs = K.tokenized(table(spark, d, "documents").select("doc_id", "text"), conf)
+    return seqs.select("doc_id", F.size("tokens").alias("n_tokens"), F.try_element_at("tokens", F.lit(1)).alias("first"), F.try_element_at("tokens", F.lit(-1)).alias("last"))
+
+
+def encoded_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all documents by attention over words and averages over sentences and fragments."""
+    sentence = L.SequenceEncoder(4096, 16, "transformer", layers=1, heads=2, positions="sinusoidal", pool="mean")
+    encoder = L.HierarchicalEncoder(sentence, L.SequenceEncoder(8, 16), L.SequenceEncoder(8, 16), fragment=8)
+    return D.encode_documents(table(spark, d, "documents").select("doc_id", "text"), encoder, K.TokenizerConf("words", max_length=128))
+
+
+def encoded_document_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, and what must be 0: vectors not of unit length, and texts that got different vectors in different rows."""
+    v = cut(encoded_documents(spark, d))
+    far = v.where(F.abs(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x) - 1) > 1e-9)
+    same = v.join(table(spark, d, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h")), "doc_id")
+    apart = same.groupBy("h").agg(F.countDistinct(F.transform("vec", lambda x: F.round(x, 6))).alias("n")).where("n > 1")
+    one = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("_k", F.lit(0))
+    # one row each, joined on a constant
+    return one(v, "documents").join(F.broadcast(one(far, "not_unit")), "_k").join(F.broadcast(one(apart, "apart")), "_k").drop("_k")
+
+
 def parsed_tokens(spark: SparkSession, d: str) -> DataFrame:
     s = sentences(spark, d).select("sent_id", F.array_join("src", " ").alias("line"))
     return s.select("sent_id", S.or_pad(S.parse_tokens(F.col("line"))).alias("tokens"))
@@ -96,7 +130,7 @@ def parsed_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = [
     sentence_split, sentence_filter, doc_length_hash, exact_duplicate_docs, duplicate_classes, fragment_lengths, text_hierarchy_lengths,
-    capped_segments, prepared_sentences, prepared_fragments, prepared_tokens, retruncated_texts, preparation_stats, token_fingerprints, encode_statistics, truncate_special_tokens, padded_sequences, parsed_tokens,
+    capped_segments, prepared_sentences, prepared_fragments, prepared_tokens, retruncated_texts, preparation_stats, token_fingerprints, encode_statistics, truncate_special_tokens, padded_sequences, padded_documents, word_tokens, encoded_documents, encoded_document_faults, parsed_tokens,
 ]
 
 
@@ -160,5 +194,10 @@ SQL = {
     "padded_sequences": f"""WITH {SENTS}, n AS (SELECT sent_id, src, (ceil(len(src) / 8.0) * 8)::INT AS length FROM sents)
         SELECT sent_id, length, list_concat(src, list_transform(range(length - len(src)), lambda x: 0::INT)) AS right_padded,
         list_concat(list_transform(range(length - len(src)), lambda x: 0::INT), src) AS left_padded FROM n""",
+    "padded_documents": f"""WITH {SENTS}, n AS (SELECT sent_id, src, tgt, (ceil(greatest(len(src), len(tgt)) / 4.0) * 4)::INT AS l FROM sents)
+        SELECT sent_id, list_transform([src, tgt], lambda s: list_concat(s, list_transform(range(l - len(s)), lambda x: 0::INT))) AS both FROM n""",
+    "word_tokens": f"""WITH n AS (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '[{WHITE}]+'), lambda x: x <> '')) AS n FROM documents)
+        SELECT doc_id, (CASE WHEN text IS NULL THEN 0 ELSE least(n, 62) + 2 END)::INT AS n_tokens, CASE WHEN text IS NOT NULL THEN 1::INT END AS first, CASE WHEN text IS NOT NULL THEN 2::INT END AS last FROM n""",
+    "encoded_document_faults": "SELECT count(*) AS documents, 0::BIGINT AS not_unit, 0::BIGINT AS apart FROM documents",
     "parsed_tokens": f"WITH {SENTS} SELECT sent_id, CASE WHEN len(src) = 0 THEN [0::INT] ELSE src END AS tokens FROM sents",
 }

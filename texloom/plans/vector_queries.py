@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import classify as C
+from ..operators import documents as D
 from ..operators import encode as N
 from ..operators import metrics as M
 from ..operators import search as S
@@ -232,6 +235,39 @@ def bidirectional_loss(spark: SparkSession, d: str) -> DataFrame:
     return M.cross_entropy(_label_scores(v), gold, scale=20.0).unionByName(M.cross_entropy(_label_scores(v), gold, scale=20.0, by="t"))
 
 
+def distilled_loss(spark: SparkSession, d: str) -> DataFrame:
+    """The loss of scores of one scale against those of another, and a weighted sum of it with the loss on labels."""
+    v = _vectors(spark, d)
+    scores = _label_scores(v)
+    one = M.distillation_loss(scores.withColumn("sim", F.col("sim") * 20), scores.withColumn("sim", F.col("sim") * 8))
+    two = M.cross_entropy(scores, v.select(F.col("id").alias("q"), F.col("label").cast("bigint").alias("t")), scale=20.0)
+    return M.weighted_loss([(one, 0.5), (two, 2.0)])
+
+
+def merged_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics from the sums of two parts of the queries."""
+    v = _vectors(spark, d)
+    rows, n = M.marked_by_label(_ten(v), _labels(v)), _counts(v)
+    return M.merged_metrics(*[M.retrieval_sums(rows.where(f"q % 100 = {x}"), n.where(f"q % 100 = {x}"), 10) for x in (0, 50)])
+
+
+def head_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """The softmax of a head whose weights are the labels' centers, twelve times."""
+    v = _vectors(spark, d)
+    c = _centers(v).orderBy("center").collect()  # a row per label
+    w = np.array([r["vec"] for r in c]).T * 12
+    scores = D.head_scores(v.select(F.col("id").alias("doc_id"), "vec"), w, np.zeros(w.shape[1]), [int(r["center"]) for r in c])
+    return scores.select("doc_id", "label", F.round("p", 6).alias("p"))
+
+
+def fitted_head(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out accuracy of a head fitted on four fifths of the vectors."""
+    v = _vectors(spark, d).select(F.col("id").alias("doc_id"), F.col("label").cast("int").alias("label"), "vec")
+    w, b, labels = D.fit_head(v.where("doc_id % 5 <> 0"))
+    best = C.by_rank(D.head_scores(v.where("doc_id % 5 = 0"), w, b, labels), 1)
+    return best.select("doc_id", F.col("label").alias("said")).join(v, "doc_id").agg(F.count("*").alias("vectors"), F.round(F.avg((F.col("said") == F.col("label")).cast("double")), 6).alias("accuracy"))
+
+
 def first_is_own(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
     q = _pooled(spark, d, "max").select(F.col("label").cast("bigint").alias("q"), "vec")
@@ -269,7 +305,7 @@ def cache_hit_miss(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = [
     normalised_vectors, knn_cosine, knn_drop_self, knn_margin, retrieval_rec_map, retrieval_by_group, sent_retrieval_grid, sent_retrieval_map, matching_threshold_sweep,
     pool_union_distractors, mean_pool, max_pool, first_last_pool, weighted_merge, index_assignment, index_center_stats, ivf_search, index_recall, index_mapped_recall, product_codes, ivfpq_search, reconstruction_error,
-    fitted_index_recall, classification_loss, bidirectional_loss, first_is_own, recall_with_ties, doc_average_encode, doc_layouts, cache_hit_miss,
+    fitted_index_recall, classification_loss, bidirectional_loss, distilled_loss, merged_retrieval, head_probabilities, fitted_head, first_is_own, recall_with_ties, doc_average_encode, doc_layouts, cache_hit_miss,
 ]
 
 VEC = "raw AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), v AS (SELECT id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS vec FROM raw)"
@@ -368,6 +404,12 @@ SQL = {
         SELECT level, round(avg(CASE WHEN f.rank <= level THEN 1.0 ELSE 0.0 END), 6) AS recall FROM less l LEFT JOIN f ON f.q = l.q AND f.t = l.t, (SELECT unnest([1, 5, 30]) AS level) GROUP BY 1""",
     "classification_loss": f"WITH {VEC}{MEANS}{LOSS} {_loss_sql(0.1, 'q')}",
     "bidirectional_loss": f"WITH {VEC}{MEANS}{LOSS} {_loss_sql(0.0, 'q')} UNION ALL {_loss_sql(0.0, 't')}",
+    "distilled_loss": f"""WITH {VEC}{MEANS}{LOSS}, mx AS (SELECT *, max(sim) OVER (PARTITION BY q) AS m FROM sc),
+        z AS (SELECT q, ln(sum(exp(20 * (sim - m)))) AS ls, sum(exp(8 * (sim - m)) * 20 * (sim - m)) / sum(exp(8 * (sim - m))) AS x FROM mx GROUP BY 1),
+        a AS (SELECT round(avg(ls - x), 6) AS loss FROM z), b AS ({_loss_sql(0.0, 'q')}) SELECT round(0.5 * (SELECT loss FROM a) + 2.0 * (SELECT loss FROM b), 6) AS loss""",
+    "merged_retrieval": f"""WITH {TEN}{AT}, one AS (SELECT q, rel FROM hits WHERE rank = 1) SELECT count(*) AS queries, round(sum(found) / sum(least(k, n)), 6) AS rec, round(sum(ap / least(k, n)) / count(*), 6) AS map,
+        round(sum(coalesce(rel, 0)) / count(*), 6) AS rec1 FROM every LEFT JOIN one USING (q) WHERE k = 10""",
+    "head_probabilities": f"WITH {VEC}{MEANS}, z AS (SELECT v.id AS doc_id, c.center::INT AS label, 12 * list_inner_product(v.vec, c.vec) AS z FROM v, c) SELECT doc_id, label, round(exp(z) / sum(exp(z)) OVER (PARTITION BY doc_id), 6) AS p FROM z",
     "first_is_own": f"""WITH {VEC}{MEANS}, mp AS ({_pool_sql('max')}), f AS (SELECT mp.label AS q, c.center AS t, round(list_inner_product(mp.vec, c.vec), 9) AS sim FROM mp, c),
         b AS (SELECT q, t FROM f QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, t) = 1) SELECT count(*) AS queries, round(avg((q = t)::INT), 6) AS rec1 FROM b""",
     "recall_with_ties": f"""WITH {VEC}{MEANS}{LOSS}, r AS (SELECT *, rank() OVER (PARTITION BY q ORDER BY sim DESC) AS r FROM sc)

@@ -6,7 +6,7 @@ compressed one is taken. Lines are numbered from 0 within each file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,50 +18,137 @@ def _path() -> Column:
     return F.col("_metadata.file_path")
 
 
-def _one_of_each(files: DataFrame) -> DataFrame:
-    """Rows of the compressed file where a name comes with and without ``.gz``."""
-    bare = F.regexp_replace("path", r"\.gz$", "")
-    return files.withColumn("_r", F.dense_rank().over(Window.partitionBy(bare).orderBy(F.col("path").endswith(".gz").desc()))).where("_r = 1").drop("_r")
+#: Files that are read by one scan, about, where they are named one by one.
+GROUP_FILES = 10_000
 
 
-def read_documents(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] = (".txt", ".gz")) -> DataFrame:
-    """id (the file's name without folders and suffixes), path, text: a row per file, whole."""
-    files = spark.read.text(list(paths), wholetext=True).select(_path().alias("path"), F.col("value").alias("text"))
-    fits = F.lit(False)
-    for s in suffixes:
-        fits = fits | F.col("path").endswith(s)
-    return _one_of_each(files.where(fits)).select(id_from_path(F.col("path")).alias("id"), "path", "text")
+def _plain(c: Column) -> Column:
+    """A local path as it is written by hand."""
+    return F.regexp_replace(c, "^file:/+", "/")
+
 
+def _twins(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
+    """path of each file beside which there is the same name with ``.gz``. Names are listed, no content is read."""
+    names = spark.read.format("binaryFile").load(list(paths)).select("path")
+    packed = names.where(F.col("path").endswith(".gz")).select(F.regexp_replace("path", r"\.gz$", "").alias("path"))
+    return names.join(packed, "path", "left_semi")
 
-def read_lines(spark: SparkSession, path: str, offset: int = 0, limit: int = -1, has_id: bool = False, sep: str = "\t") -> DataFrame:
+
+def read_documents(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] = (".txt", ".gz")) -> DataFrame:
+    """id (the file's name without folders and suffixes), path, text: a row per file with one of the ``suffixes``, whole.
+
+    Other files aren't opened, nor are those beside which there is a compressed one of the same name.
+    """
+    pattern = "{" + ",".join(f"*{x}" for x in suffixes) + "}"
+    files = spark.read.option("pathGlobFilter", pattern).text(list(paths), wholetext=True).select(_path().alias("path"), F.col("value").alias("text"))
+    # few or none, as a rule: AQE sees how many
+    twins = _twins(spark, paths).select(_plain(F.col("path")).alias("_p"))
+    kept = files.join(twins, _plain(F.col("path")) == F.col("_p"), "left_anti")
+    return kept.select(id_from_path(F.col("path")).alias("id"), "path", "text")
+
+
+def read_paths(spark: SparkSession, paths: list[str], first_id: int = 0) -> DataFrame:
+    """id (the place of the path, from ``first_id``), path (as given), text of files named one by one, a compressed one where there is one; the text of a missing one is null."""
+    rows = []
+    for k, p in enumerate(paths):
+        there = p + ".gz" if not p.endswith(".gz") and _exists(spark, p + ".gz") else p if _exists(spark, p) else None
+        rows.append((first_id + k, p, there))
+    wanted = spark.createDataFrame(rows, "id long, path string, _at string") if rows else spark.createDataFrame([], "id long, path string, _at string")
+    files, at = None, sorted({r[2] for r in rows if r[2]})
+    for k in range(0, len(at), GROUP_FILES):
+        one = spark.read.text(at[k : k + GROUP_FILES], wholetext=True).select(_plain(_path()).alias("_at"), F.col("value").alias("text"))
+        files = one if files is None else files.unionByName(one)
+    if files is None:
+        return wanted.select("id", "path", F.lit(None).cast("string").alias("text"))
+    return wanted.withColumn("_at", _plain(F.col("_at"))).join(files, "_at", "left").select("id", "path", "text")
+
+
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """value and no (from 0): the lines of one file, numbered where they lie: by the lines of the file's blocks before, and the place in the block."""
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    before, first = 0, []
+    for r in sorted(lines.groupBy("_b").agg(F.min("_m").alias("m"), F.count("*").alias("n")).collect(), key=lambda r: r["_b"]):  # a row per block
+        first.append((r["_b"], before - r["m"]))
+        before += r["n"]
+    offsets = spark.createDataFrame(first, "_b long, _o long") if first else spark.createDataFrame([], "_b long, _o long")
+    return lines.join(F.broadcast(offsets), "_b").select("value", (F.col("_m") + F.col("_o")).alias("no"))
+
+
+def read_lines(spark: SparkSession, path: str, offset: int = 0, limit: int = -1, has_id: bool = False, sep: str = "\t", strict: bool = False) -> DataFrame:
     """id, text of the lines ``offset`` .. ``offset`` + ``limit`` (-1: to the end) of one file.
 
-    The id is what stands before the first ``sep``, or the line's number in the file. The file is
-    read as one partition, as numbering its lines needs.
+    The id is what stands before the first ``sep``, or the line's number in the file. A file of several blocks is read by
+    as many tasks. With ``strict``, an offset beyond the end is an error.
     """
-    lines = spark.read.text(path).coalesce(1).withColumn("_n", F.monotonically_increasing_id())
-    kept = lines.where(F.col("_n") >= offset)
+    lines = _numbered(spark, path)
+    if strict and offset > 0 and lines.count() < offset:
+        raise ValueError(f"{path} ends before line {offset}")
+    kept = lines.where(F.col("no") >= offset)
     if limit >= 0:
-        kept = kept.where(F.col("_n") < offset + limit)
+        kept = kept.where(F.col("no") < offset + limit)
     if has_id:
         part = F.split("value", sep, 2)
         return kept.select(part[0].alias("id"), F.try_element_at(part, F.lit(2)).alias("text"))
-    return kept.select(F.col("_n").cast("string").alias("id"), F.col("value").alias("text"))
+    return kept.select(F.col("no").cast("string").alias("id"), F.col("value").alias("text"))
+
+
+def read_queries(spark: SparkSession, path: str, instruction: str = "", sep: str = "\t") -> DataFrame:
+    """id, text of a file of queries, each text after ``instruction``."""
+    return read_lines(spark, path, has_id=True, sep=sep).select("id", F.concat(F.lit(instruction), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def split_lines(spark: SparkSession, path: str, parts: int) -> DataFrame:
+    """part (from 0), no, text: the lines of a file in ``parts`` runs of equal length, the last ones shorter or empty."""
+    lines = _numbered(spark, path)
+    size = max(1, -(-lines.count() // parts))
+    return lines.select(F.floor(F.col("no") / size).cast("int").alias("part"), "no", F.col("value").alias("text"))
+
+
+def split_ids(ids: DataFrame, parts: int, key: str = "id") -> DataFrame:
+    """Adds part (from 0): ids, in their order, in ``parts`` runs of equal length."""
+    size = max(1, -(-ids.count() // parts))
+    return ranked(ids, F.col(key), name="_no").withColumn("part", F.floor((F.col("_no") - 1) / size).cast("int")).drop("_no")
 
 
 def read_listed(spark: SparkSession, listing: str, offset: int = 0, limit: int = -1) -> DataFrame:
-    """id (line number), path, text of the files a file lists; missing ones have a null text. Relative paths are taken from the listing's folder."""
+    """id (line number), path, text of the files a file lists; missing ones have a null text. Relative paths are taken from the listing's folder.
+
+    Only the named files are opened, GROUP_FILES by one scan.
+    """
     folder = listing.rsplit("/", 1)[0] if "/" in listing else "."
     names = read_lines(spark, listing, offset, limit).where(F.trim("text") != "")
     full = F.when(F.col("text").startswith("/"), F.col("text")).otherwise(F.concat(F.lit(folder + "/"), F.col("text")))
     wanted = names.select("id", F.regexp_replace(full, r"\s+$", "").alias("path"))
-    # the listing's own folders are listed, and only the named files read
-    folders = [r["f"] for r in wanted.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("f")).distinct().collect()]
-    there = [f for f in folders if _exists(spark, f)]
-    if not there:
-        return wanted.withColumn("text", F.lit(None).cast("string"))
-    files = spark.read.text(there, wholetext=True).select(F.regexp_replace(_path(), "^file:/+", "/").alias("path"), F.col("value").alias("text"))
-    return wanted.join(files, "path", "left").select("id", "path", "text")
+    out, group = None, []
+
+    def read(paths: list[str]) -> DataFrame:
+        return read_paths(spark, paths).select("path", "text")
+
+    for r in wanted.select("path").distinct().toLocalIterator():
+        group.append(r["path"])
+        if len(group) == GROUP_FILES:
+            out = read(group) if out is None else out.unionByName(read(group))
+            group = []
+    if group or out is None:
+        out = read(group) if out is None else out.unionByName(read(group))
+    return wanted.join(out, "path", "left").select("id", "path", "text")
+
+
+def text_folders(spark: SparkSession, root: str) -> tuple[str, str]:
+    """The folders sources and targets lie in: ``texts`` for both, or ``texts_1`` and ``texts_2``."""
+    if _exists(spark, f"{root}/texts"):
+        return f"{root}/texts", f"{root}/texts"
+    if _exists(spark, f"{root}/texts_1") and _exists(spark, f"{root}/texts_2"):
+        return f"{root}/texts_1", f"{root}/texts_2"
+    raise FileNotFoundError(f"no texts below {root}")
+
+
+def present(spark: SparkSession, paths: list[str], optional: bool = False) -> bool:
+    """Whether all files of a dataset are there; an error if not, unless it is optional."""
+    missing = [p for p in paths if not _exists(spark, p)]
+    if missing and not optional:
+        raise FileNotFoundError(f"missing: {', '.join(missing)}")
+    return not missing
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -94,9 +181,26 @@ def read_positives_negatives(spark: SparkSession, path: str) -> DataFrame:
     return read_pairs(spark, path).groupBy(F.col("src").alias("q")).agg(p.alias("positives"), n.alias("negatives"))
 
 
-def read_combined(spark: SparkSession, path: str) -> DataFrame:
-    """The eight columns of a combined pair file without a header."""
-    return spark.read.schema(COMBINED).csv(path)
+def read_combined(spark: SparkSession, path: str, offset: int = 0, limit: int = -1) -> DataFrame:
+    """The eight columns of a combined pair file without a header; of one file, the lines ``offset`` .. ``offset`` + ``limit`` if said."""
+    if not offset and limit < 0:
+        return spark.read.schema(COMBINED).csv(path)
+    lines = read_lines(spark, path, offset, limit)
+    return lines.select(F.from_csv("text", COMBINED.simpleString()[7:-1].replace(":", " ")).alias("r")).select("r.*")
+
+
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """q and its targets (an array) from a file of src,tgt with a header; grouped wherever the rows stand."""
+    rows = spark.read.option("header", True).schema("src bigint, tgt bigint").csv(path)
+    return rows.groupBy(F.col("src").alias("q")).agg(F.array_sort(F.collect_set("tgt")).alias("targets"))
+
+
+def read_hard_negatives(spark: SparkSession, path: str, last: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """id, text of the hard negatives of a file (source, id, text separated by tabs) up to the source ``last``, each once and none of the ``known`` (id); of several texts of an id the one with the least source."""
+    rows = spark.read.schema("src bigint, id bigint, text string").option("sep", "\t").option("quote", "").csv(path).where("id IS NOT NULL AND text IS NOT NULL")
+    rows = rows if last is None else rows.where(F.col("src") <= last)
+    rows = rows if known is None else rows.join(known.select("id"), "id", "left_anti")
+    return rows.groupBy("id").agg(F.min_by("text", F.struct("src", "text")).alias("text"))
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
@@ -142,14 +246,25 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return ranked(rows, F.col("_n")).drop("_n")
 
 
+def known_labels(rows: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (row_no, doc_id, label) with a label of the dictionary (label, index), each document's labels once, with the index; and one row of what was left out: unknown, repeated."""
+    seen = rows.join(dictionary.select("label", "index"), "label", "left")
+    kept = seen.where("index IS NOT NULL").groupBy("doc_id", "label", "index").agg(F.min("row_no").alias("row_no"), F.count("*").alias("_n"))
+    unknown = seen.agg(F.count_if(F.col("index").isNull()).alias("unknown")).withColumn("_k", F.lit(0))
+    repeated = kept.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("repeated")).withColumn("_k", F.lit(0))
+    # one row each, joined on a constant
+    return kept.select("row_no", "doc_id", "label", "index"), unknown.join(F.broadcast(repeated), "_k").drop("_k")
+
+
 def named_ids(pairs: DataFrame) -> DataFrame:
     """id: all sources and targets of pairs, each once."""
     return pairs.select(F.explode(F.array("src", "tgt")).alias("id")).distinct()
 
 
 def located(ids: DataFrame, documents: DataFrame) -> DataFrame:
-    """id, path of each id; a null path where there is no such document."""
-    return ids.join(documents.select("id", "path"), "id", "left")
+    """id, path of each id, the compressed file where there are two; a null path where there is no such document."""
+    one = documents.groupBy("id").agg(F.min_by("path", F.struct(~F.col("path").endswith(".gz"), "path")).alias("path"))
+    return ids.join(one, "id", "left")
 
 
 def line_count(spark: SparkSession, path: str, limit: int = -1) -> int:

@@ -59,3 +59,50 @@ def append_postings(postings: DataFrame, path: str) -> None:
 def append_cache(df: DataFrame, path: str, model: str) -> None:
     """New vectors into the cache, partitioned by model."""
     df.withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(path)
+
+
+def write_balanced(rated: DataFrame, path: str) -> None:
+    """Pairs of sources with their ratings (src, tgt, label, rating) as six columns with a header, by source, positives first, the best of each first."""
+    rows = rated.orderBy("src", F.col("label").desc(), F.when(F.col("label") == 1, -F.col("rating")).otherwise(F.col("rating")), "tgt")
+    none = F.lit("").alias
+    rows.select("src", none("t1"), "tgt", none("t2"), "label", F.format_string("%.6f", "rating").alias("rating")).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+
+
+def write_scores(reports: list[tuple[str, str, DataFrame]], path: str, digits: int = 3) -> None:
+    """Metric tables of models and datasets, one below the other, with the columns model and ds before theirs; columns a table lacks are empty."""
+    out = None
+    for model, ds, df in reports:
+        one = df.select(F.lit(model).alias("model"), F.lit(ds).alias("ds"), *[F.format_string(f"%.{digits}f", c).alias(c) if t in ("double", "float") else F.col(c).cast("string").alias(c) for c, t in df.dtypes])
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no report")
+    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_hits(queries: DataFrame, found: DataFrame, path: str, k: int = 5) -> None:
+    """A JSON line per query (the columns of ``queries``: q and others) with its ``k`` best hits (t, sim) of ``found``: q, t, sim, rank."""
+    hits = found.where(F.col("rank") <= k).groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t", "sim"))), lambda x: F.struct(x["t"].alias("t"), x["sim"].alias("sim"))).alias("hits"))
+    write_json_lines(queries.join(hits, "q", "left"), path)
+
+
+def save_weights(weights: dict, path: str) -> None:
+    """Arrays by name in one file of the driver: a model's weights, which are never larger than its memory."""
+    import numpy as np
+
+    np.savez(path, **weights)
+
+
+def load_weights(path: str) -> dict:
+    import numpy as np
+
+    with np.load(path if path.endswith(".npz") else f"{path}.npz") as f:
+        return dict(f)
+
+
+def tag_cache(df_or_spark, path: str) -> None:
+    """Mark a folder as a cache that may be deleted."""
+    spark = df_or_spark if not isinstance(df_or_spark, DataFrame) else df_or_spark.sparkSession
+    tag = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_CACHEDIR.TAG")
+    out = tag.getFileSystem(spark._jsc.hadoopConfiguration()).create(tag, True)
+    out.write(bytearray(b"Signature: 8a477f597d28d172789f06886806bc55\n"))
+    out.close()
