@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +39,25 @@ BAND = 1.26
 
 #: Letters of scripts without spaces; the long mark of kana belongs to no script by itself.
 UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
-TOKEN = regex.compile(rf"[{UNSPACED}]|(?:(?![{UNSPACED}])[\p{{L}}\p{{M}}\p{{N}}])+")
+TOKEN = regex.compile(rf"(?V1)[{UNSPACED}]|[[\p{{L}}\p{{M}}\p{{N}}]--[{UNSPACED}]]++")
+#: The same for texts without such letters and without marks.
+PLAIN_TOKEN = re.compile(r"[^\W_]+")
 WIDE = regex.compile(f"[{UNSPACED}]")
 HIDDEN = re.compile("[\xad͏؜​-‏‪-‮⁠-⁤︀-️﻿]")
 LINES = re.compile("[^\n]*\n|[^\n]+")
 
 
+@lru_cache(maxsize=1)
+def _special() -> frozenset[str]:
+    """The letters of scripts without spaces, and all marks."""
+    every = "".join(chr(c) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    return frozenset(regex.findall(rf"[\p{{M}}{UNSPACED}]", every))
+
+
 def words(text: str) -> list[str]:
     """The words of a text, and the characters where its script has no spaces; case, spacing, punctuation and Unicode form aside."""
-    return TOKEN.findall(HIDDEN.sub("", unicodedata.normalize("NFKC", text).casefold()))
+    text = HIDDEN.sub("", unicodedata.normalize("NFKC", text).casefold())
+    return (PLAIN_TOKEN if text.isascii() or _special().isdisjoint(text) else TOKEN).findall(text)
 
 
 def text_hash(text: str) -> bytes:
@@ -77,18 +89,18 @@ def records(pairs: DataFrame, *keep: str) -> DataFrame:
 
 
 def _keys_of_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, md5, key (of its words), node (the start of the key), tokens (a number per word), lone (those of scripts without spaces) and need (grams a text that agrees must share with it among its rarest) of each text.
+    """doc_id, md5, key (of its words), node (the start of the key), tokens (a number per word), lone (those of scripts without spaces), need (grams a text that agrees must share with it among its rarest) and sketch (how many of its tokens fall into each of CLASSES classes, at most 15) of each text.
 
     One more row of each task, without a doc_id, has what it adds to the frequency sketch of grams:
     buckets and counts.
     """
-    names = ["doc_id", "md5", "key", "node", "tokens", "lone", "need", "buckets", "counts"]
+    names = ["doc_id", "md5", "key", "node", "tokens", "lone", "need", "sketch", "buckets", "counts"]
     lists = pa.list_(pa.int32()), pa.list_(pa.int64())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            md5s, keys_, rows, lones, needs, seen = [], [], [], [], [], [np.empty(0, np.int64)]
+            md5s, keys_, rows, lones, needs, sketches, seen = [], [], [], [], [], [], [np.empty(0, np.int64)]
             cache: dict[str, int] = {}
             for t in b.column("text").to_pylist():
                 w = words(t)
@@ -98,20 +110,22 @@ def _keys_of_texts(docs: DataFrame) -> DataFrame:
                 rows.append(tokens.tobytes())
                 lones.append(_lone(tokens))
                 needs.append(_indexed(len(w), lones[-1])[1])
-                if _by_words(len(w), lones[-1]):
+                by_words = _by_words(len(w), lones[-1])
+                sketches.append(_packed(tokens) if by_words else None)
+                if by_words:
                     seen.append(_bucket(_grams(tokens)))
             often += np.bincount(np.concatenate(seen), minlength=len(often))
             node = np.frombuffer(b"".join(k[:8] for k in keys_), np.int64)
             none = [None] * b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(md5s, pa.binary()), pa.array(keys_, pa.binary()), pa.array(node), pa.array(rows, pa.binary()), pa.array(lones, pa.int32()), pa.array(needs, pa.int32()), *(pa.array(none, x) for x in lists)], names=names
+                [b.column("doc_id"), pa.array(md5s, pa.binary()), pa.array(keys_, pa.binary()), pa.array(node), pa.array(rows, pa.binary()), pa.array(lones, pa.int32()), pa.array(needs, pa.int32()), pa.array(sketches, pa.binary()), *(pa.array(none, x) for x in lists)], names=names
             )
         at = np.flatnonzero(often)
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([*(pa.array([None], k) for k in kinds), pa.array([at], lists[0]), pa.array([often[at]], lists[1])], names=names)
 
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return texts.mapInArrow(keys, "doc_id bigint, md5 binary, key binary, node bigint, tokens binary, lone int, need int, buckets array<int>, counts array<bigint>")
+    return texts.mapInArrow(keys, "doc_id bigint, md5 binary, key binary, node bigint, tokens binary, lone int, need int, sketch binary, buckets array<int>, counts array<bigint>")
 
 
 def _tokens(w: list[str], cache: dict[str, int]) -> np.ndarray:
@@ -127,6 +141,12 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((tokens >> 8) % CLASSES, minlength=CLASSES), 255).astype(np.uint8)
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """Counts of tokens in CLASSES classes, at most 15, four bits each."""
+    n = np.minimum(_sketch(tokens), 15)
+    return (n[::2] << 4 | n[1::2]).tobytes()
+
+
 def _lone(tokens: np.ndarray) -> int:
     """The characters of scripts without spaces."""
     return int((tokens & 1).sum())
@@ -300,7 +320,7 @@ def _met_by_length(nodes: DataFrame) -> DataFrame:
 def near_texts(nodes: DataFrame, counters: DataFrame) -> DataFrame:
     """a, b: representatives, a < b, of texts that agree in four fifths of the longer one's words, one of each pair of use in evaluation and the other in training; a_in_b, b_in_a: the share of the one's runs of two words that the other has.
 
-    ``nodes``: node, rep (a doc_id), m, tokens, need, by_length, by_words, roles (1: evaluation, 2: training,
+    ``nodes``: node, rep (a doc_id), m, tokens, need, sketch, by_length, by_words, roles (1: evaluation, 2: training,
     3: both), a row per sequence of words in use. ``counters``: buckets, counts of the frequency sketch. The
     hashes of the evaluation texts' rarest grams (those the frequency sketch has least of) are dealt out by
     gram, and the training texts' are met with them: as many as another text may lack, and SHARED more, so that texts that
@@ -361,10 +381,19 @@ def near_texts(nodes: DataFrame, counters: DataFrame) -> DataFrame:
     often_met = counted.where((low("n") >= SHARED) | (F.col("n") > half)).select(F.shiftrightunsigned("pair", 32).alias("a"), low("pair").alias("b"), low("n").alias("n"))
 
     def node(side: str) -> DataFrame:
-        return nodes.where("by_words").select(low("node").alias(side), F.col("rep").alias(f"{side}_rep"), F.col("m").alias(f"{side}_m"), F.col("need").alias(f"{side}_need"), F.col("roles").alias(f"{side}_roles"))
+        return nodes.where("by_words").select(low("node").alias(side), F.col("rep").alias(f"{side}_rep"), F.col("m").alias(f"{side}_m"), F.col("need").alias(f"{side}_need"), F.col("roles").alias(f"{side}_roles"), F.col("sketch").alias(f"{side}_sketch"))
 
     both = often_met.join(node("a"), "a").join(node("b"), "b").where("a_rep <> b_rep AND n >= least(a_need, b_need) AND (a_roles & 1) * (b_roles & 2) + (a_roles & 2) * (b_roles & 1) > 0")
-    by_words = both.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
+
+    def plausible(b: pa.RecordBatch) -> pa.RecordBatch:
+        halves = [np.frombuffer(b"".join(b.column(f"{k}_sketch").to_pylist()), np.uint8).reshape(-1, CLASSES // 2).astype(np.int16) for k in "ab"]
+        apart = sum(np.abs(f(halves[0]) - f(halves[1])).sum(1) for f in (lambda h: h >> 4, lambda h: h & 15))
+        one, two = b.column("a_m").to_numpy().astype(np.int64), b.column("b_m").to_numpy().astype(np.int64)
+        keep = apart <= one + two - 2 * -(-np.maximum(one, two) * 4 // 5)
+        left, right = b.column("a_rep").to_numpy(), b.column("b_rep").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)[keep]), pa.array(np.maximum(left, right)[keep])], names=["a", "b"])
+
+    by_words = arrow_map(both.select("a_rep", "b_rep", "a_m", "b_m", "a_sketch", "b_sketch"), "a bigint, b bigint", plausible)
     # AQE sends the pairs to all executors where they are few, and deals out the tokens by text where they aren't
     pairs = stored(by_words.unionByName(_met_by_length(nodes)).distinct())
     left = nodes.select(F.col("rep").alias("a"), F.col("tokens").alias("s")).join(pairs, "a")
@@ -375,9 +404,8 @@ def near_texts(nodes: DataFrame, counters: DataFrame) -> DataFrame:
         for s, t in zip(b.column("s").to_pylist(), b.column("t").to_pylist()):
             one, two = np.frombuffer(s, np.int32), np.frombuffer(t, np.int32)
             m, n = len(one), len(two)
-            agree = int(np.abs(np.bincount((one >> 8) % CLASSES, minlength=CLASSES) - np.bincount((two >> 8) % CLASSES, minlength=CLASSES)).sum()) <= m + n - 2 * -(-max(m, n) * 4 // 5)
-            both = shared_grams(one, two) if agree else 0
-            agree = agree and both >= least_shared(m, n) and common_order(one.tolist(), two.tolist()) * 5 >= max(m, n) * 4
+            both = shared_grams(one, two)
+            agree = both >= least_shared(m, n) and common_order(one.tolist(), two.tolist()) * 5 >= max(m, n) * 4
             keep.append(agree)
             forth.append(both / max(1, m - 1))
             back.append(both / max(1, n - 1))
@@ -416,8 +444,8 @@ def _resolved(recs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = stored(_keyed(recs, texts))
     sides = keyed.select(F.when(F.col("train"), 2).otherwise(1).alias("role"), F.explode(F.array("ks", "kt")).alias("rep")).where("rep >= 0").distinct()
     used = sides.groupBy("rep").agg(F.sum("role").cast("int").alias("roles"))
-    nodes = keys.select(F.col("doc_id").alias("rep"), "node", "tokens", "need", "lone", (F.length("tokens") / 4).cast("int").alias("m")).where("m > 0").join(used, "rep")
-    nodes = nodes.select("rep", "node", "tokens", "need", "m", "roles", _by_length(F.col("m"), F.col("lone")).alias("by_length"), _by_words(F.col("m"), F.col("lone")).alias("by_words"))
+    nodes = keys.select(F.col("doc_id").alias("rep"), "node", "tokens", "need", "lone", "sketch", (F.length("tokens") / 4).cast("int").alias("m")).where("m > 0").join(used, "rep")
+    nodes = nodes.select("rep", "node", "tokens", "need", "sketch", "m", "roles", _by_length(F.col("m"), F.col("lone")).alias("by_length"), _by_words(F.col("m"), F.col("lone")).alias("by_words"))
     return keyed, stored(near_texts(stored(nodes), told.where("doc_id IS NULL").select("buckets", "counts")))
 
 
