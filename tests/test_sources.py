@@ -31,6 +31,87 @@ def test_listed_files(spark, tmp_path):
     assert [(r.id, r.text) for r in R.read_listed(spark, str(tmp_path / "list")).orderBy("id").collect()] == [("0", "one"), ("1", None)]
 
 
+def test_paths_by_position_prefer_compressed_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("plain")
+    with gzip.open(tmp_path / "a.txt.gz", "wt") as f:
+        f.write("packed")
+    (tmp_path / "b.txt").write_text("b")
+    paths = [str(tmp_path / x) for x in ("b.txt", "a.txt", "none.txt", "b.txt")]
+    assert [(r.id, r.text) for r in R.read_paths(spark, paths, 5).orderBy("id").collect()] == [(5, "b"), (6, "packed"), (7, None), (8, "b")]
+    assert R.read_paths(spark, []).count() == 0
+
+
+def test_lines_of_several_blocks_are_numbered_in_order(spark, tmp_path):
+    p = tmp_path / "big.txt"
+    p.write_text("".join(f"line {i} {'x' * (i % 50)}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = R.read_lines(spark, str(p))
+        assert got.rdd.getNumPartitions() > 3
+        assert all(r.text.startswith(f"line {r.id} ") for r in got.collect())
+        parts = R.split_lines(spark, str(p), 7).groupBy("part").count().collect()
+        assert sorted(r["count"] for r in parts) == [710, *[715] * 6]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    try:
+        R.read_lines(spark, str(p), 6000, strict=True)
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_layouts_and_presence(spark, tmp_path):
+    for bad in ("one", "two"):
+        (tmp_path / bad).mkdir()
+    (tmp_path / "one" / "texts").mkdir()
+    (tmp_path / "two" / "texts_1").mkdir()
+    assert R.text_folders(spark, str(tmp_path / "one"))[0].endswith("/texts")
+    for f in (lambda: R.text_folders(spark, str(tmp_path / "two")), lambda: R.present(spark, [str(tmp_path / "x")])):
+        try:
+            f()
+            raise AssertionError
+        except FileNotFoundError:
+            pass
+    assert not R.present(spark, [str(tmp_path / "x")], optional=True) and R.present(spark, [str(tmp_path / "one")])
+
+
+def test_hard_negatives_labels_and_slices(spark, tmp_path):
+    (tmp_path / "hn").write_text("1\t10\tten\n1\t11\televen\n2\t10\tother\n3\t12\ttwelve\n2\t13\n")
+    known = spark.createDataFrame([(11,)], "id bigint")
+    assert {tuple(r) for r in R.read_hard_negatives(spark, str(tmp_path / "hn"), 2, known).collect()} == {(10, "ten")}
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "b", "z"), (4, "c", "y")], "row_no int, doc_id string, label string")
+    names = spark.createDataFrame([("x", 0), ("y", 1)], "label string, index int")
+    kept, left = R.known_labels(rows, names)
+    assert {(r.doc_id, r["index"], r.row_no) for r in kept.collect()} == {("a", 0, 1), ("c", 1, 4)} and tuple(left.first()) == (1, 1)
+    (tmp_path / "c.csv").write_text("".join(f"d,{i},{i + 1},1,3,4,a,b\n" for i in range(9)))
+    assert [r.src for r in R.read_combined(spark, str(tmp_path / "c.csv"), 2, 3).orderBy("src").collect()] == [2, 3, 4]
+    (tmp_path / "m.csv").write_text("src,tgt\n1,5\n2,6\n1,4\n")
+    assert {(r.q, tuple(r.targets)) for r in R.read_mapping(spark, str(tmp_path / "m.csv")).collect()} == {(1, (4, 5)), (2, (6,))}
+    docs = spark.createDataFrame([(1, "/d/1.txt"), (1, "/d/1.txt.gz"), (2, "/d/2.txt")], "id int, path string")
+    assert {(r.id, r.path) for r in R.located(spark.createDataFrame([(1,), (2,), (3,)], "id int"), docs).collect()} == {(1, "/d/1.txt.gz"), (2, "/d/2.txt"), (3, None)}
+
+
+def test_weights_and_caches(spark, tmp_path):
+    import numpy as np
+    import pytest
+
+    from texloom.operators import encode
+    from texloom.session import release, stored
+
+    K.save_weights({"a": np.eye(2)}, str(tmp_path / "w"))
+    assert (K.load_weights(str(tmp_path / "w"))["a"] == np.eye(2)).all()
+    assert R.read_cache(spark, str(tmp_path / "none"), "m") is None
+    cache = spark.createDataFrame([(1, [1.0, 2.0])], "id bigint, vec array<double>")
+    seqs = spark.createDataFrame([(1, [1]), (2, [2])], "id bigint, tokens array<int>")
+    as_ = lambda kind, n: lambda df: df.select("id", F.array_repeat(F.lit(0), n).cast(f"array<{kind}>").alias("vec"))
+    assert encode.encode_cached(seqs, cache, as_("double", 2))[0].count() == 2
+    for kind, n in (("float", 2), ("double", 3)):
+        with pytest.raises(ValueError):
+            encode.encode_cached(seqs, cache, as_(kind, n))
+    stored(cache)
+    release(spark)
+
+
 def test_pairs_gold_and_relevance(spark, tmp_path):
     p = tmp_path / "p.csv"
     p.write_text("id1,t1,id2,t2,l\n3,a,1001,b,1\n15,a,1,b,1\n3,a,1501,b,0\n3,a,7,b,1\n")

@@ -120,9 +120,16 @@ def hits_and_misses(wanted: DataFrame, cache: DataFrame, key: str) -> tuple[Data
 
 
 def encode_cached(seqs: DataFrame, cache: DataFrame, encode: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """All vectors wanted, and those that are new; ``cache``: id, vec. Vectors of another length than the new ones are an error."""
+    """All vectors wanted, and those that are new; ``cache``: id, vec. Cached vectors of another type or length than the new ones are an error, found by one small job on either side."""
     there, missing = hits_and_misses(seqs, cache, "id")
     new = encode(missing)
+    if there.schema["vec"].dataType != new.schema["vec"].dataType:
+        raise ValueError(f"cached vectors are {there.schema['vec'].dataType.simpleString()}, new ones {new.schema['vec'].dataType.simpleString()}")
+    sizes = there.agg(F.min(F.size("vec")).alias("a"), F.max(F.size("vec")).alias("b")).first()
+    one = new.select(F.size("vec").alias("n")).first()
+    found = {x for x in (sizes["a"], sizes["b"], one and one["n"]) if x is not None}
+    if len(found) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(found)}")
     return there.select("id", "vec").unionByName(new), new
 
 

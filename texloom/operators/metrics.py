@@ -61,6 +61,15 @@ def retrieval_at(rows: DataFrame, n: DataFrame, levels: list[int], groups: DataF
     return all_.join(groups, "q").groupingSets([["k"], ["k", "grp"]], "k", "grp").agg(*what)
 
 
+def with_vectors(pairs: DataFrame, vectors: DataFrame, key: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Pairs with the vectors of both sides (a, b), and the pairs of which one is missing. ``vectors``: id, vec[, the columns ``key``, such as a folder]; then pairs have each of them as src_ and tgt_."""
+    out = pairs
+    for side, vec in (("src", "a"), ("tgt", "b")):
+        on = [F.col("id").alias(side), *[F.col(k).alias(f"{side}_{k}") for k in key]]
+        out = out.join(vectors.select(*on, F.col("vec").alias(vec)), [side, *[f"{side}_{k}" for k in key]], "left")
+    return out.where("a IS NOT NULL AND b IS NOT NULL"), out.where("a IS NULL OR b IS NULL").drop("a", "b")
+
+
 def threshold_sweep(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     """threshold, accuracy, precision, recall and f1 of ``sim`` > threshold against ``label``; 0 where undefined. ``scored``: sim, label."""
     t = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")

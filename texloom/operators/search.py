@@ -154,6 +154,13 @@ def fit_books(residuals: DataFrame, parts: int, codes: int, sample: int = 20_000
     return spark.createDataFrame(rows, BOOKS)
 
 
+def numbered_centers(batch: DataFrame) -> DataFrame:
+    """Adds number: the centers of each batch, from 0. ``batch``: batch, center; a batch is what is trained on at once."""
+    once = batch.select("batch", "center").distinct()
+    number = (F.dense_rank().over(Window.partitionBy("batch").orderBy("center")) - 1).alias("number")
+    return batch.join(once.select("batch", "center", number), ["batch", "center"])
+
+
 def center_statistics(postings: DataFrame) -> DataFrame:
     """One row: centers in use, and least, greatest and mean number of vectors."""
     n = postings.groupBy("center").agg(F.count("*").alias("n"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,33 +9,29 @@ from ..operators import classify as C
 from ..operators import corpus
 from ..operators import search as S
 from ..operators import text as X
-from ..session import checkpoint_dir
+from ..session import place
 from ..sources import readers as R
 from ..sources import sinks as K
 from .tables import LENGTHS, PAIRS, SENTS, doc_vectors, pairs, sentences, table
 from .vector_queries import KNN, _queries, _targets, _vectors
 
 
-def _place(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark)}/texloom-{uuid.uuid4().hex}"
-
-
 def _file(spark: SparkSession, df: DataFrame, name: str = "text", **options) -> str:
     """The path of one file with the rows of ``df`` (one task writes it: such files are no larger than a dataset's list)."""
-    path = _place(spark)
+    path = place(spark)
     df.coalesce(1).write.options(**options).format(name).save(path)
     return next(r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").collect()).replace("file:", "", 1)
 
 
 def combined_file_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    path = _place(spark)
+    path = place(spark)
     lengths = corpus.pair_lengths(pairs(spark, d), X.document_info(table(spark, d, "documents")))
     K.write_combined(corpus.training_order(lengths), path)
     return R.read_combined(spark, path)
 
 
 def _pair_file(spark: SparkSession, d: str) -> str:
-    path = _place(spark)
+    path = place(spark)
     pairs(spark, d).select("src", F.lit("x").alias("a"), "tgt", F.lit("x").alias("b"), "label").write.option("header", True).csv(path)
     return path
 
@@ -80,7 +74,7 @@ def ids_in_parts(spark: SparkSession, d: str) -> DataFrame:
 
 def _folders(spark: SparkSession, d: str) -> str:
     """A folder per dir_key with one file of its documents' texts, by id."""
-    path = _place(spark)
+    path = place(spark)
     rows = table(spark, d, "documents").select("dir_key", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows.repartition("dir_key").sortWithinPartitions("dir_key", "doc_id").select("dir_key", "text").write.partitionBy("dir_key").text(path)
     return path
@@ -102,13 +96,13 @@ def listed_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relevance_file(spark: SparkSession, d: str) -> DataFrame:
-    path = _place(spark)
+    path = place(spark)
     pairs(spark, d).select(F.col("src").alias("query-id"), F.col("tgt").alias("corpus-id"), F.col("label").alias("score")).write.option("header", True).csv(path)
     return R.read_qrels(spark, path).select(F.col("q").cast("bigint").alias("q"), F.col("t").cast("bigint").alias("t"))
 
 
 def text_file_with_instruction(spark: SparkSession, d: str) -> DataFrame:
-    path = _place(spark)
+    path = place(spark)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.translate("text", "\r", " ").alias("text"))
     docs.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return R.read_id_text(spark, path, "query: ").select(F.col("id").cast("bigint").alias("id"), F.md5("text").alias("hash"))
@@ -120,13 +114,13 @@ def queries_with_instruction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_gold_file(spark: SparkSession, d: str) -> DataFrame:
-    path = _place(spark)
+    path = place(spark)
     sentences(spark, d).select("sent_id", F.explode("dups").alias("t")).write.option("sep", "\t").csv(path)
     return R.read_sentence_gold(spark, path).select(F.col("q").cast("bigint").alias("q"), F.col("t").cast("bigint").alias("t"))
 
 
 def sentence_pair_files(spark: SparkSession, d: str) -> DataFrame:
-    path = _place(spark)
+    path = place(spark)
     s = sentences(spark, d)
     ids = lambda c: F.array_join(F.coalesce(F.col(c), F.array()), " ")
     for name in ("src", "tgt", "dups"):
@@ -139,14 +133,14 @@ def sentence_pair_files(spark: SparkSession, d: str) -> DataFrame:
 
 def hard_negative_file(spark: SparkSession, d: str) -> DataFrame:
     s = sentences(spark, d)
-    path = _place(spark)
+    path = place(spark)
     hard = s.select("sent_id", F.explode("hn_ids").alias("h")).select("sent_id", "h", F.concat(F.lit("text "), "h").alias("t"))
     hard.write.option("sep", "\t").csv(path)
     return R.read_hard_negatives(spark, path, known=s.where("split = 'dev'").select(F.col("sent_id").alias("id")))
 
 
 def mapping_file(spark: SparkSession, d: str) -> DataFrame:
-    path = _place(spark)
+    path = place(spark)
     pairs(spark, d).where("label = 1").select("src", "tgt").write.option("header", True).csv(path)
     return R.read_mapping(spark, path).select("q", F.size("targets").alias("targets"))
 
@@ -162,13 +156,13 @@ def label_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_files(spark: SparkSession, d: str) -> DataFrame:
-    path = _place(spark)
+    path = place(spark)
     K.write_vectors(doc_vectors(spark, d), path, 1000)
     return spark.read.parquet(path).select("id", F.transform("vec", lambda x: F.round(x.cast("double"), 5)).alias("vec"))
 
 
 def cached_vectors(spark: SparkSession, d: str) -> DataFrame:
-    path = _place(spark)
+    path = place(spark)
     v = doc_vectors(spark, d)
     K.append_cache(v.where("id % 2 = 0"), path, "one")
     K.append_cache(v.where("id % 2 = 1"), path, "one")
@@ -178,34 +172,34 @@ def cached_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prediction_file(spark: SparkSession, d: str) -> DataFrame:
-    v, path = _vectors(spark, d), _place(spark)
+    v, path = _vectors(spark, d), place(spark)
     K.write_predictions(S.exact_knn(_queries(v), _targets(v), 10), path)
     return spark.read.option("header", True).csv(path).select(F.col("rank").cast("int").alias("rank"), F.col("src").cast("bigint").alias("src"), F.col("tgt").cast("bigint").alias("tgt"), "sim")
 
 
 def hits_file(spark: SparkSession, d: str) -> DataFrame:
-    v, path = _vectors(spark, d), _place(spark)
+    v, path = _vectors(spark, d), place(spark)
     q = _queries(v)
     K.write_hits(q.select("q"), S.exact_knn(q, _targets(v), 5), path)
     return spark.read.schema("q bigint, hits array<struct<t:bigint,sim:double>>").json(path).select("q", F.col("hits.t").alias("hits"))
 
 
 def label_weights_file(spark: SparkSession, d: str) -> DataFrame:
-    path = _place(spark)
+    path = place(spark)
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", (F.element_at("embedding", 1).cast("double")).alias("p"))
     K.write_labels(rows, path)
     return spark.read.schema("doc_id bigint, label int, weight string").option("sep", "\t").csv(path)
 
 
 def report_file(spark: SparkSession, d: str) -> DataFrame:
-    path = _place(spark)
+    path = place(spark)
     rows = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg("l_discount").alias("discount"))
     K.write_scores([("a", "one", rows), ("b", "two", rows.select("l_returnflag", "n"))], path)
     return spark.read.option("header", True).csv(path).select("model", "ds", "l_returnflag", F.col("n").cast("bigint").alias("n"), "discount")
 
 
 def balanced_file(spark: SparkSession, d: str) -> DataFrame:
-    path = _place(spark)
+    path = place(spark)
     lengths = corpus.pair_lengths(pairs(spark, d), X.document_info(table(spark, d, "documents")))
     rated = lengths.groupBy("src", "tgt", "label").agg(F.round(F.avg(F.col("tlen") / F.col("slen")), 6).alias("rating"))
     K.write_balanced(corpus.extremes(rated, 5), path)

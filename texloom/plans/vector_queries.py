@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +12,7 @@ from ..operators import documents as D
 from ..operators import encode as N
 from ..operators import metrics as M
 from ..operators import search as S
-from ..session import checkpoint_dir, cut
+from ..session import cut, place
 from ..sources import readers as R
 from ..sources import sinks as K
 from .tables import PAIRS, QUERY_STEP, SENTS, doc_vectors, pairs, sentences, table
@@ -110,6 +108,19 @@ def matching_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     return M.threshold_sweep(both.select("label", F.round(V.cosine(F.col("a"), F.col("b"), F.col("na"), F.col("nb")), 9).alias("sim")), [x / 10 for x in range(2, 10)])
 
 
+def matching_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of which a vector is missing, by label."""
+    _, misses = M.with_vectors(pairs(spark, d).select("src", "tgt", "label"), doc_vectors(spark, d))
+    return misses.groupBy("label").agg(F.count("*").alias("pairs"))
+
+
+def batch_center_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Centers of vectors in batches of 50 ids, numbered from 0 in each batch."""
+    v = _vectors(spark, d)
+    batch = _postings(v).select("id", "center", F.floor(F.col("id") / 50).alias("batch"))
+    return S.numbered_centers(batch).select("id", "batch", "center", "number")
+
+
 def pool_union_distractors(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d)
     return M.pooled_distinct(p.where("split = 'test'").select("src"), p.where("split = 'test'").select("tgt"), table(spark, d, "documents").where("source = 'manuals'").select("doc_id"))
@@ -207,7 +218,7 @@ def fitted_index_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall of an index that is fitted, written, added to and read back, against exact search."""
     v = _vectors(spark, d)
     one, two = v.where("id % 2 = 0").select("id", "vec"), v.where("id % 2 = 1").select("id", "vec")
-    path = f"{checkpoint_dir(spark)}/texloom-{uuid.uuid4().hex}"
+    path = place(spark)
     centers, books, postings = S.build_index(v.select("id", "vec"), 16, 16, 64)
     K.write_index(centers, postings.join(one.select("id"), "id", "left_semi"), path, books)
     centers, books, _ = R.read_index(spark, path)
@@ -303,7 +314,7 @@ def cache_hit_miss(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    normalised_vectors, knn_cosine, knn_drop_self, knn_margin, retrieval_rec_map, retrieval_by_group, sent_retrieval_grid, sent_retrieval_map, matching_threshold_sweep,
+    normalised_vectors, knn_cosine, knn_drop_self, knn_margin, retrieval_rec_map, retrieval_by_group, sent_retrieval_grid, sent_retrieval_map, matching_threshold_sweep, matching_misses, batch_center_numbers,
     pool_union_distractors, mean_pool, max_pool, first_last_pool, weighted_merge, index_assignment, index_center_stats, ivf_search, index_recall, index_mapped_recall, product_codes, ivfpq_search, reconstruction_error,
     fitted_index_recall, classification_loss, bidirectional_loss, distilled_loss, merged_retrieval, head_probabilities, fitted_head, first_is_own, recall_with_ties, doc_average_encode, doc_layouts, cache_hit_miss,
 ]
@@ -379,6 +390,9 @@ SQL = {
         FROM sc, (SELECT unnest([0.2::DOUBLE, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS threshold) GROUP BY 1),
         pr AS (SELECT threshold::DOUBLE AS threshold, pairs, (pairs - fp - fn) / pairs AS a, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r FROM t)
         SELECT threshold, pairs, round(a, 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM pr""",
+    "matching_misses": f"""WITH {PAIRS}, good AS (SELECT DISTINCT ids FROM doc_vectors WHERE len(embs) = 96 AND len(list_filter(embs, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embs, lambda x: x <> 0)) > 0)
+        SELECT label, count(*) AS pairs FROM pairs WHERE src NOT IN (SELECT ids FROM good) OR tgt NOT IN (SELECT ids FROM good) GROUP BY 1""",
+    "batch_center_numbers": f"WITH {VEC}{MEANS}{NEAR} SELECT id, id // 50 AS batch, center, (dense_rank() OVER (PARTITION BY id // 50 ORDER BY center) - 1)::INT AS number FROM near WHERE place = 1",
     "pool_union_distractors": f"WITH {PAIRS} SELECT src AS id FROM pairs WHERE split = 'test' UNION SELECT tgt FROM pairs WHERE split = 'test' UNION SELECT doc_id FROM documents WHERE source = 'manuals'",
     "mean_pool": _pool_sql("avg"),
     "max_pool": _pool_sql("max"),
