@@ -215,3 +215,24 @@ def split_oversized(docs: DataFrame, confs: DataFrame, default_size: int = 512,
 def pieces_of(split: DataFrame) -> DataFrame:
     """One row per piece: doc_id, conf_id, piece_no, start_pos, end_pos[, text]."""
     return split.select("doc_id", "conf_id", F.posexplode("pieces").alias("piece_no", "p")).select("doc_id", "conf_id", "piece_no", "p.*")
+
+
+def splitting_faults(docs: DataFrame, confs: DataFrame, pieces: DataFrame, default_size: int = 512) -> DataFrame:
+    """Per conf_id: texts that are split, and what must be 0: texts without all of their characters, pieces over the limit, overlaps of wrong length, pieces that aren't the text's. ``pieces``: as from ``pieces_of``, with text."""
+    limits = confs.where("split_input").select("conf_id", F.greatest(F.coalesce("max_chunk_size", F.lit(default_size)), F.lit(1)).alias("_size"), F.coalesce("chunk_overlap", F.lit(0)).alias("_overlap"))
+    # at most MAX_CONFS rows, as ``split_oversized`` checks
+    cut_ = pieces.join(F.broadcast(limits), "conf_id").join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id")
+    wrong = F.substring("_text", F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos")) != F.col("text")
+    per = cut_.groupBy("conf_id", "doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece_no", "start_pos", "end_pos"))).alias("p"), F.first(F.char_length("_text")).alias("n"),
+        F.first("_size").alias("size"), F.first("_overlap").alias("overlap"), F.count_if(wrong).alias("wrong"),
+    )
+    steps = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda a, b: a["end_pos"] - b["start_pos"])
+    ends = (F.element_at("p", 1)["start_pos"] != 0) | (F.element_at("p", -1)["end_pos"] != F.col("n"))
+    rows = per.select(
+        "conf_id", ends.alias("missing"), F.size(F.filter("p", lambda x: x["end_pos"] - x["start_pos"] > F.col("size"))).alias("long"),
+        F.size(F.filter(steps, lambda x: x != F.least("overlap", F.col("size") - 1))).alias("apart"), "wrong",
+    )
+    return rows.groupBy("conf_id").agg(
+        F.count("*").alias("texts"), F.count_if("missing").alias("missing"), F.sum("long").alias("too_long"), F.sum("apart").alias("overlap_wrong"), F.sum("wrong").alias("text_wrong")
+    )

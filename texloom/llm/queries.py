@@ -34,6 +34,11 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.pieces_of(chunking.split_oversized(table(spark, d, "documents"), table(spark, d, "model_confs"), with_text=True))
 
 
+def p3_faults(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return chunking.splitting_faults(docs, table(spark, d, "model_confs"), p3_pieces(spark, d))
+
+
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     return overlap.cross_split_overlaps(overlap.records(table(spark, d, "combined_pairs")), table(spark, d, "documents"))
 
@@ -114,6 +119,8 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT x, y FROM s QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 10)
             SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM k""",
         "p3_found": "SELECT doc_id, conf_id FROM documents, model_confs WHERE split_input AND length(text) > coalesce(max_chunk_size, 512)",
+        "p3_faults": """SELECT conf_id, count(*) AS texts, 0::BIGINT AS missing, 0::BIGINT AS too_long, 0::BIGINT AS overlap_wrong, 0::BIGINT AS text_wrong
+            FROM documents, model_confs WHERE split_input AND length(text) > coalesce(max_chunk_size, 512) GROUP BY 1""",
         "p5_found": """WITH s AS (SELECT sent_id, arg_max({'ds': ds, 'n': coalesce(src_len, len(src))}, loaded_at) AS r FROM sent_pairs GROUP BY 1)
             SELECT sent_id, conf_id FROM s JOIN batch_confs b ON b.ds = s.r.ds WHERE s.r.n > coalesce(max_tokens, 96000)""",
         "p5_faults": """WITH s AS (SELECT sent_id, arg_max({'ds': ds, 'n': coalesce(src_len, len(src))}, loaded_at) AS r FROM sent_pairs GROUP BY 1)
