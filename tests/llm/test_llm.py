@@ -143,6 +143,13 @@ def test_items_are_split_only_beyond_the_capacity(spark):
     assert packing.pack_items(items.where("false"), confs).count() == 0
 
 
+def test_faults_are_none(spark, sf):
+    for r in queries.p3_faults(spark, sf).collect():
+        assert r.texts > 0 and r.missing + r.too_long + r.overlap_wrong + r.text_wrong == 0
+    for r in queries.p5_faults(spark, sf).collect():
+        assert r["items"] > 0 and r.lost + r.needless_splits + r.overfull + r.miscounted == 0
+
+
 def test_p5_found(spark, sf):
     confs = {r.ds: (r.conf_id, 96_000 if r.max_tokens is None else r.max_tokens) for r in table(spark, sf, "batch_confs").collect()}
     want = {(r.sent_id, confs[r.ds][0]) for r in table(spark, sf, "sent_pairs").collect() if len(r.src) > confs[r.ds][1]}
@@ -270,7 +277,9 @@ def test_common_order_equals_dynamic_programming():
         assert overlap.common_order(a, b) == slow_common(a, b)
 
 
-def test_overlaps_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [2_048, 2])
+def test_overlaps_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(overlap, "HOT_GRAM", hot)  # frequent grams are split
     rng = random.Random(6)
     texts: list = [None, "", "  \n ", "!?"]
     for _ in range(25):
@@ -309,6 +318,15 @@ def test_overlaps_equal_brute_force(spark):
     same = lambda *k: cache[k] if k in cache else cache.setdefault(k, bool(agree(*k)))
     want = {(e[0], t[0]) for e in one if e[1] != "train" for t in one if t[1] == "train" and same(e[3], t[3], e[5], t[5]) and same(e[4], t[4], e[6], t[6])}
     assert got == want and (1001, 1000) in got
+    if hot == 2:
+        return
+    near = overlap.near_classes(recs, docs).collect()
+    assert near and all(r.eval_doc != r.train_doc and 0.1 < r.containment <= 1 for r in near)
+    for r in near:
+        p, q = (overlap.words(texts[x]) for x in (r.eval_doc, r.train_doc))
+        runs = [list(zip(x, x[1:])) for x in (p, q)]
+        both = sum(min(runs[0].count(x), runs[1].count(x)) for x in set(runs[0]))
+        assert abs(r.containment - both / len(runs[0])) < 1e-9 and both >= overlap.least_shared(len(p), len(q))
     report = overlap.overlap_report(recs, docs).collect()
     assert sum(r.pairs for r in report) == len(got) and {r.split for r in report} == {"dev", "test"}
     assert overlap.cross_split_overlaps(recs.where("false"), docs).count() == 0
