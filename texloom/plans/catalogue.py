@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classify_queries, corpus_queries, source_queries, text_queries, vector_queries
+from . import classify_queries, corpus_queries, source_queries, stream_queries, text_queries, vector_queries
 
-MODULES = (text_queries, corpus_queries, vector_queries, classify_queries, source_queries)
+MODULES = (text_queries, corpus_queries, vector_queries, classify_queries, source_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

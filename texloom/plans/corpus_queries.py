@@ -108,6 +108,13 @@ def batch_distinct_targets(spark: SparkSession, d: str) -> DataFrame:
     return C.distinct_targets(C.source_buckets(_lengths(spark, d), 100).withColumnRenamed("bucket", "batch_id"))
 
 
+def batch_linked_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Links of sources to the targets of their batch, where the texts of a positive pair of the corpus stand for each other."""
+    lengths = _lengths(spark, d)
+    dups = lengths.where("label = 1").select("thash", F.col("shash").alias("dup_hash")).distinct()
+    return C.linked_duplicates(C.source_buckets(lengths, 100).withColumnRenamed("bucket", "batch_id"), dups)
+
+
 def useful_batches(spark: SparkSession, d: str) -> DataFrame:
     return C.useful_batches(C.source_buckets(_lengths(spark, d), 1).withColumnRenamed("bucket", "batch_id"))
 
@@ -205,7 +212,7 @@ def sampling_stats(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = [
     pair_lengths, missing_documents, corpus_length_filter, docs_sentences_between, corpus_sorted_pairs, corpus_stats, include_exclude_sources, dataset_union, training_files, distractor_pool,
     exact_size_sample, balanced_pairs, balanced_top5, round_robin_interleave, sampled_targets, proportional_truncation, source_buckets,
-    bucketed_sort, batch_distinct_targets, useful_batches, greedy_batches, greedy_doc_batches, fixed_batches, length_chunks, length_chunk_faults,
+    bucketed_sort, batch_distinct_targets, batch_linked_targets, useful_batches, greedy_batches, greedy_doc_batches, fixed_batches, length_chunks, length_chunk_faults,
     dedup_batches, dedup_batch_faults, source_batches, source_batch_faults, sampling_stats,
 ]
 
@@ -251,6 +258,9 @@ SQL = {
         row_number() OVER (PARTITION BY bucket ORDER BY slen DESC, shash, label DESC, tlen, ex_id)::INT AS place FROM bucketed""",
     "batch_distinct_targets": f"""WITH {BUCKETS.replace("{n}", "100")}, t AS (SELECT *, min(tgt) OVER (PARTITION BY bucket, thash) AS target FROM bucketed)
         SELECT bucket AS batch_id, src, target, count(*) AS n_links FROM t WHERE label = 1 GROUP BY 1, 2, 3""",
+    "batch_linked_targets": f"""WITH {BUCKETS.replace("{n}", "100")}, d AS (SELECT DISTINCT thash, shash AS dup FROM lengths WHERE label = 1), own AS (SELECT DISTINCT bucket, src, thash FROM bucketed WHERE label = 1),
+        every AS (SELECT * FROM own UNION SELECT bucket, src, dup FROM own JOIN d USING (thash)), f AS (SELECT bucket, thash, min(tgt) AS target FROM bucketed GROUP BY 1, 2)
+        SELECT bucket AS batch_id, src, target, count(*) AS n_links FROM every JOIN f USING (bucket, thash) GROUP BY 1, 2, 3""",
     "useful_batches": f"""WITH {BUCKETS.replace("{n}", "1")}, g AS (SELECT bucket AS batch_id, count(DISTINCT src) AS n_src, count(DISTINCT tgt) AS n_tgt,
         count(DISTINCT CASE WHEN label = 1 THEN tgt END) AS n_pos FROM bucketed GROUP BY 1) SELECT * FROM g WHERE NOT (n_src = 1 AND n_pos = n_tgt)""",
     "greedy_batches": f"""WITH RECURSIVE {SENTS}, items AS (SELECT sent_id AS id, greatest(coalesce(len(src), 0), 1)::BIGINT AS tokens, row_number() OVER (ORDER BY sent_id) AS no FROM sents),
