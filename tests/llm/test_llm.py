@@ -537,3 +537,22 @@ def test_work_grows_with_the_length_of_a_text():
             assert sentences.sentence_units(part * n)
         took.append(time.perf_counter() - began)
     assert took[1] < 9 * took[0]
+
+
+def test_both_forms_of_the_pattern_split_alike(spark, sf):
+    import regex
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from texloom.llm import bpe
+
+    fixed, fast = regex.compile(bpe.PATTERN), regex.compile(bpe.SPLIT)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(alphabet=st.one_of(st.characters(), st.sampled_from(" 'strevmlld019\n\t\u00a0é中")), max_size=40))
+    def alike(text):
+        assert fixed.findall(text) == fast.findall(text)
+
+    alike()
+    for r in table(spark, sf, "documents").where("text IS NOT NULL").collect():
+        assert fixed.findall(r.text) == fast.findall(r.text)
