@@ -187,6 +187,8 @@ SQL = {
         r AS (SELECT doc_id, n_words, coalesce(s, 0) AS s, least(coalesce(n, 0), 100) AS n, coalesce(cut OR n >= 100, false) AS truncated FROM t LEFT JOIN g USING (doc_id))
         SELECT count(*) AS texts, count(*) FILTER (WHERE n = 0) AS empty, sum(s)::BIGINT AS sequences, sum(n)::BIGINT AS tokens, count(*) FILTER (WHERE truncated) AS truncated,
         round(avg(CASE WHEN truncated THEN n / greatest(n_words, 1) END), 6) AS kept_share FROM r""",
+    "token_fingerprints": f"""WITH {SENTS}, h AS (SELECT sent_id, src, list_transform(src, lambda x: printf('%08x', x)) AS h FROM sents)
+        SELECT sent_id AS doc_id, CASE WHEN src IS NULL THEN NULL ELSE md5(unhex(coalesce(array_to_string(list_transform(h, lambda x: substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2)), ''), ''))) END AS fingerprint FROM h""",
     "encode_statistics": f"""WITH {SENTENCES}, per AS (SELECT doc_id, count(*) AS s, sum({WORDS})::BIGINT AS t FROM lined GROUP BY 1)
         SELECT count(*) AS documents, sum(s)::BIGINT AS sentences, sum(t)::BIGINT AS tokens, max(t) AS longest, round(avg(s), 6) AS mean_sentences FROM per""",
     "truncate_special_tokens": f"""WITH {SENTS} SELECT sent_id, list_concat(list_concat([1::INT], src[1:14]), [2::INT]) AS tokens,
