@@ -1,7 +1,10 @@
 import gzip
 
+import duckdb
 from pyspark.sql import functions as F
 
+from texloom.functions import vectors as V
+from texloom.plans import catalogue
 from texloom.sources import readers as R
 from texloom.sources import sinks as K
 from texloom.streaming import documents as D
@@ -168,3 +171,18 @@ def test_stream_statistics(spark, sf, tmp_path):
     q = D.windowed_statistics(D.read_stream(spark, sf)).writeStream.format("memory").queryName("stats").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(docs) FROM stats").first()[0] > 0
+
+
+def test_vectors_from_files_keep_the_sign_of_zero(spark, sf):
+    """Compared by what is written, as -0.0 equals 0.0; the smallest tables have one such number."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW doc_vectors AS SELECT * FROM '{sf}/doc_vectors.parquet'")
+    want = {i: repr(v) for i, v in con.execute(catalogue.oracle_sql()["vector_files"]).fetchall()}
+    assert any("-0.0," in v for v in want.values())
+    assert {r.id: repr(r.vec) for r in catalogue.queries()["vector_files"](spark, sf).collect()} == want
+
+
+def test_rounded_vectors(spark):
+    rows = spark.createDataFrame([([-1e-6, 1e-6, -0.0, 0.0, -0.015625, 0.015625, float("nan"), None, float("-inf")],)], "v array<double>")
+    got = rows.select(V.rounded(F.col("v"), 5).alias("r")).first().r
+    assert repr(got) == "[-0.0, 0.0, -0.0, 0.0, -0.01563, 0.01563, nan, None, -inf]"

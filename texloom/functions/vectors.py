@@ -19,6 +19,16 @@ def scaled(v: Column, length: Column) -> Column:
     return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """The numbers of a vector rounded, halves away from 0. What is rounded to 0 keeps its sign, as in SQL on doubles; ``round`` alone drops it."""
+
+    def one(x: Column) -> Column:
+        r = F.round(x.cast("double"), digits)
+        return F.when(r == 0, x.cast("double") * F.lit(0.0)).otherwise(r)
+
+    return F.transform(v, one)
+
+
 def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
     """Null where either vector is zero."""
     return F.try_divide(dot(a, b), norm_a * norm_b)

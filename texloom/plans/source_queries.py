@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..operators import classify as C
 from ..operators import corpus
 from ..operators import search as S
@@ -158,7 +159,7 @@ def label_file(spark: SparkSession, d: str) -> DataFrame:
 def vector_files(spark: SparkSession, d: str) -> DataFrame:
     path = place(spark)
     K.write_vectors(doc_vectors(spark, d), path, 1000)
-    return spark.read.parquet(path).select("id", F.transform("vec", lambda x: F.round(x.cast("double"), 5)).alias("vec"))
+    return spark.read.parquet(path).select("id", V.rounded(F.col("vec"), 5).alias("vec"))
 
 
 def cached_vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -59,7 +59,7 @@ def _shown(knn: DataFrame) -> DataFrame:
 
 
 def normalised_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return _vectors(spark, d).select("id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return _vectors(spark, d).select("id", V.rounded(F.col("vec"), 6).alias("vec"))
 
 
 def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +128,7 @@ def pool_union_distractors(spark: SparkSession, d: str) -> DataFrame:
 
 def _pooled(spark: SparkSession, d: str, how: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    return N.pool(rows, ["label"], how, order="vec_id").select("label", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return N.pool(rows, ["label"], how, order="vec_id").select("label", V.rounded(F.col("vec"), 6).alias("vec"))
 
 
 def mean_pool(spark: SparkSession, d: str) -> DataFrame:
@@ -293,7 +293,7 @@ def recall_with_ties(spark: SparkSession, d: str) -> DataFrame:
 def doc_average_encode(spark: SparkSession, d: str) -> DataFrame:
     s = sentences(spark, d)
     tokens = s.select(F.floor(F.col("sent_id") / 1000).alias("doc_id"), F.floor(F.col("sent_id") % 1000 / 5).alias("sent_no"), F.explode("src").alias("token"))
-    return N.average_hierarchy(tokens).select("doc_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return N.average_hierarchy(tokens).select("doc_id", V.rounded(F.col("vec"), 6).alias("vec"))
 
 
 def doc_layouts(spark: SparkSession, d: str) -> DataFrame:
@@ -302,7 +302,7 @@ def doc_layouts(spark: SparkSession, d: str) -> DataFrame:
     tokens = s.select(F.floor(F.col("sent_id") / 1000).alias("doc_id"), F.floor(F.col("sent_id") % 1000 / 5).alias("sent_no"), F.explode("src").alias("token"))
     out = None
     for layout in ("sents", "frags", "tokens"):
-        one = N.average_hierarchy(tokens, layout=layout).select("doc_id", F.lit(layout).alias("layout"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+        one = N.average_hierarchy(tokens, layout=layout).select("doc_id", F.lit(layout).alias("layout"), V.rounded(F.col("vec"), 6).alias("vec"))
         out = one if out is None else out.unionByName(one)
     return out
 
