@@ -277,6 +277,32 @@ def test_common_order_equals_dynamic_programming():
         assert overlap.common_order(a, b) == slow_common(a, b)
 
 
+def test_meetings_are_dropped_where_they_happen(spark):
+    """With a vocabulary that doesn't grow, meetings grow as the square of the texts; what is written must not."""
+    rng = random.Random(8)
+    at = dt.datetime(2025, 1, 1)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written(n):
+        texts = [" ".join(rng.choice(WORDS[:400]) for _ in range(60)) for _ in range(n)]
+        texts += [" ".join([*t.split()[:-5], "x"]) for t in texts[:9]]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        rows = [(i, ("train", "dev")[i >= n or i % 2], "d", i, i, None, None, at) for i in range(n + 9)]
+        df = spark.createDataFrame(rows, "ex_id bigint, split string, ds string, src bigint, tgt bigint, shash string, thash string, loaded_at timestamp")
+        last = max((x.stageId() for x in stages()), default=-1)
+        found = {tuple(r) for r in overlap.cross_split_overlaps(overlap.records(df), docs).collect()}
+        assert found == {(n + i, i) for i in range(0, 9, 2)}
+        return sum(x.shuffleWriteRecords() for x in stages() if x.stageId() > last)
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        all_ = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+        return [all_.apply(i) for i in range(all_.size())]
+
+    few, many = written(1_000), written(3_000)
+    assert many < 4 * few
+
+
 @pytest.mark.parametrize("hot", [2_048, 2])
 def test_overlaps_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(overlap, "HOT_GRAM", hot)  # frequent grams are split

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +26,24 @@ SHARE = 0.8
 SHARED = 4
 #: Characters of scripts without spaces for which one more gram must be shared.
 WIDE_SHARED = 24
-#: Classes of words whose counts are compared before the words themselves.
-CLASSES = 256
+#: Words for which one more gram must be shared: the longer texts are, the more words any two of them have in common.
+LONG_SHARED = 64
 #: Counters of the frequency sketch: its size is fixed, whatever the corpus. It tells words that make up more than a millionth of a corpus
 #: from others, which is what matters at any size; words that share a counter only look more frequent, and nothing is lost by the order.
 SKETCH_BITS = 20
-#: Texts that share a gram and meet in one task, about, on the evaluation side; a more frequent gram is split.
-HOT_GRAM = 2_048
-#: Texts of scripts without spaces that meet as many others in one task.
-BLOCK = 2_048
+#: Texts that share a gram and meet in one task, about, on the evaluation side; a more frequent gram is split. Meetings are listed
+#: in portions, so this bounds a task's time only, and each part of a split gram costs a copy of its training texts.
+HOT_GRAM = 65_536
+#: Indexed grams that one task holds, about, and the least number of parts they are dealt to.
+PART_GRAMS, PARTS = 2_000_000, 32
+#: Meetings looked at together.
+PORTION = 1 << 18
+#: Bits of the longest signature.
+MOST_BITS = 4_096
+#: Slots of the marks of texts to be compared: a fixed size, whatever the corpus; texts that share a slot are moved in vain.
+MARK_BITS = 22
+#: Texts of scripts without spaces that meet as many others in one task: each text is copied as often as there are blocks of about its length.
+BLOCK = 16_384
 #: Ratio of the lengths that bound a band: texts that agree are at most 5 / 4 apart, so they lie in one band or in two side by side.
 BAND = 1.26
 
@@ -89,18 +99,18 @@ def records(pairs: DataFrame, *keep: str) -> DataFrame:
 
 
 def _keys_of_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, md5, key (of its words), node (the start of the key), tokens (a number per word), lone (those of scripts without spaces), need (grams a text that agrees must share with it among its rarest) and sketch (how many of its tokens fall into each of CLASSES classes, at most 15) of each text.
+    """doc_id, md5, key (of its words), tokens (a number per word) and lone (those of scripts without spaces) of each text.
 
     One more row of each task, without a doc_id, has what it adds to the frequency sketch of grams:
     buckets and counts.
     """
-    names = ["doc_id", "md5", "key", "node", "tokens", "lone", "need", "sketch", "buckets", "counts"]
+    names = ["doc_id", "md5", "key", "tokens", "lone", "buckets", "counts"]
     lists = pa.list_(pa.int32()), pa.list_(pa.int64())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            md5s, keys_, rows, lones, needs, sketches, seen = [], [], [], [], [], [], [np.empty(0, np.int64)]
+            md5s, keys_, rows, lones, seen = [], [], [], [], [np.empty(0, np.int64)]
             cache: dict[str, int] = {}
             for t in b.column("text").to_pylist():
                 w = words(t)
@@ -109,23 +119,17 @@ def _keys_of_texts(docs: DataFrame) -> DataFrame:
                 keys_.append(word_key(t, w))
                 rows.append(tokens.tobytes())
                 lones.append(_lone(tokens))
-                needs.append(_indexed(len(w), lones[-1])[1])
-                by_words = _by_words(len(w), lones[-1])
-                sketches.append(_packed(tokens) if by_words else None)
-                if by_words:
+                if _by_words(len(w), lones[-1]):
                     seen.append(_bucket(_grams(tokens)))
             often += np.bincount(np.concatenate(seen), minlength=len(often))
-            node = np.frombuffer(b"".join(k[:8] for k in keys_), np.int64)
             none = [None] * b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(md5s, pa.binary()), pa.array(keys_, pa.binary()), pa.array(node), pa.array(rows, pa.binary()), pa.array(lones, pa.int32()), pa.array(needs, pa.int32()), pa.array(sketches, pa.binary()), *(pa.array(none, x) for x in lists)], names=names
-            )
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(md5s, pa.binary()), pa.array(keys_, pa.binary()), pa.array(rows, pa.binary()), pa.array(lones, pa.int32()), *(pa.array(none, x) for x in lists)], names=names)
         at = np.flatnonzero(often)
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
         yield pa.RecordBatch.from_arrays([*(pa.array([None], k) for k in kinds), pa.array([at], lists[0]), pa.array([often[at]], lists[1])], names=names)
 
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return texts.mapInArrow(keys, "doc_id bigint, md5 binary, key binary, node bigint, tokens binary, lone int, need int, sketch binary, buckets array<int>, counts array<bigint>")
+    return texts.mapInArrow(keys, "doc_id bigint, md5 binary, key binary, tokens binary, lone int, buckets array<int>, counts array<bigint>")
 
 
 def _tokens(w: list[str], cache: dict[str, int]) -> np.ndarray:
@@ -136,15 +140,21 @@ def _tokens(w: list[str], cache: dict[str, int]) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, w), np.int32, len(w))
 
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    """Counts of tokens in CLASSES classes, at most 255."""
-    return np.minimum(np.bincount((tokens >> 8) % CLASSES, minlength=CLASSES), 255).astype(np.uint8)
+def _size(m: np.ndarray) -> np.ndarray:
+    """The size of the signature of texts of ``m`` tokens, as the binary logarithm of its bits: 64 bits or more, and bits for five quarters of the tokens up to MOST_BITS."""
+    return np.ceil(np.log2(np.clip(m * 1.25, 64, MOST_BITS))).astype(np.int64)
 
 
-def _packed(tokens: np.ndarray) -> bytes:
-    """Counts of tokens in CLASSES classes, at most 15, four bits each."""
-    n = np.minimum(_sketch(tokens), 15)
-    return (n[::2] << 4 | n[1::2]).tobytes()
+def _signature(grams: np.ndarray, size: int | None = None) -> np.ndarray:
+    """A bit per class of numbered tokens, set where the text has an odd number of them. Signatures of two texts differ in at most as many bits as tokens have no counterpart."""
+    bits = 1 << (int(_size(np.array([len(grams)]))[0]) if size is None else size)
+    return np.packbits((np.bincount((grams ^ grams >> 32) & bits - 1, minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def _folded(signatures: np.ndarray) -> np.ndarray:
+    """Signatures of half the bits, a row per text."""
+    half = signatures.shape[1] // 2
+    return signatures[:, :half] ^ signatures[:, half:]
 
 
 def _lone(tokens: np.ndarray) -> int:
@@ -207,7 +217,7 @@ def least_shared(m: int, n: int) -> int:
 def _indexed(m: int, lone: int) -> tuple[int, int]:
     """How many of its rarest grams a text is indexed by, and how many of them a text that agrees must share."""
     miss = m // 5  # what a text that agrees may lack
-    share = SHARED + lone // WIDE_SHARED
+    share = SHARED + m // LONG_SHARED + lone // WIDE_SHARED
     take = min(m, miss + share)
     return take, max(1, min(share, take - miss))
 
@@ -266,22 +276,22 @@ def _meet(rows: pa.Table) -> pa.Table:
     rows = rows.take(np.argsort(rows.column("m").to_numpy(), kind="stable"))
     sizes, roles, reps = (rows.column(x).to_numpy() for x in ("m", "roles", "rep"))
     tokens = [np.frombuffer(x, np.int32) for x in rows.column("tokens").to_pylist()]
-    counts = np.stack([_sketch(t) for t in tokens])
-    totals = counts.sum(1, dtype=np.int32)
+    bits = int(np.clip(np.ceil(np.log2(sizes.max() * 4)), 6, 13))
+    signs = np.stack([_signature(_grams(t), bits) for t in tokens]).view(np.uint64)
     side = rows.column("band").to_numpy().astype(np.int64) << 32 | rows.column("block").to_numpy()
     one, two = (np.flatnonzero(side == x) for x in (side.min(), side.max()))
     places: dict[int, dict[int, int]] = {}
     lists: dict[int, list[int]] = {}
     left, right = [], []
-    m, n, met = sizes[two], totals[two], counts[two]
+    m, met = sizes[two], signs[two]
     for k, i in enumerate(one):
         low = k + 1 if side.min() == side.max() else np.searchsorted(m * 5, sizes[i] * 4)
         high = np.searchsorted(m * 4, sizes[i] * 5, side="right")
-        common = np.minimum(met[low:high], counts[i]).sum(1, dtype=np.int32)
+        apart = np.bitwise_count(met[low:high] ^ signs[i]).sum(1, dtype=np.int32)
         may = sizes[i] + m[low:high] - 2 * -(-np.maximum(sizes[i], m[low:high]) * 4 // 5)
         other = roles[two[low:high]]
         of_use = (roles[i] & 1) * (other & 2) + (roles[i] & 2) * (other & 1) > 0
-        for j in two[low:high][of_use & (totals[i] + n[low:high] - 2 * common <= may)]:
+        for j in two[low:high][of_use & (apart <= may)]:
             for x in (i, j):
                 if x not in lists:
                     lists[x] = tokens[x].tolist()
@@ -298,7 +308,7 @@ def _met_by_length(nodes: DataFrame) -> DataFrame:
 
     No gram is certain to be left whole where every fifth character may differ, and single
     characters are too frequent to be looked up. So texts of about the same length meet in blocks, and
-    those whose counts in CLASSES classes are near enough are compared.
+    those whose signatures are near enough are compared.
     """
     spark = nodes.sparkSession
     rows = nodes.where("by_length").select("rep", "m", "roles", "tokens", F.floor(F.log("m") / F.log(F.lit(BAND))).cast("int").alias("band"))
@@ -317,87 +327,193 @@ def _met_by_length(nodes: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(dealt), ["band", "block"]).groupBy("task").applyInArrow(_meet, "a bigint, b bigint")
 
 
-def near_texts(nodes: DataFrame, counters: DataFrame) -> DataFrame:
-    """a, b: representatives, a < b, of texts that agree in four fifths of the longer one's words, one of each pair of use in evaluation and the other in training; a_in_b, b_in_a: the share of the one's runs of two words that the other has.
-
-    ``nodes``: node, rep (a doc_id), m, tokens, need, sketch, by_length, by_words, roles (1: evaluation, 2: training,
-    3: both), a row per sequence of words in use. ``counters``: buckets, counts of the frequency sketch. The
-    hashes of the evaluation texts' rarest grams (those the frequency sketch has least of) are dealt out by
-    gram, and the training texts' are met with them: as many as another text may lack, and SHARED more, so that texts that
-    agree share SHARED of them. Texts in scripts without spaces meet by length instead. Of the pairs, those whose counts of words in CLASSES classes
-    differ too much are dropped, then those that contain too few of each other's runs of two words, and the rest is compared word by word.
-    A gram of more than HOT_GRAM texts is split: each of its evaluation texts goes to one part, each training text to all.
+#: What a part holds of a text: its representative, tokens, roles, the grams a text that agrees must share with it, and how many of its grams fall into the part.
+ENTRY = np.dtype([("rep", "<i8"), ("m", "<i4"), ("need", "<i4"), ("roles", "u1"), ("n", "<i4")])
+#: A gram's hash within the part, and its place in the text where it stands there once.
+GRAM = np.dtype([("hash", "<u4"), ("at", "<u2")])
+NOWHERE = 0xFFFF
+
+
+def _indexed_parts(often: np.ndarray, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, rows: the rarest grams of the batches' texts dealt to parts by gram, with what tells in a part whether two texts may agree."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        found, places, sizes, needs, signs = [], [], [], [], []
+        for t in b.column("tokens").to_pylist():
+            tokens = np.frombuffer(t, np.int32)
+            g = _grams(tokens)
+            take, need = _indexed(len(g), _lone(tokens))
+            rare = np.lexsort((g, often[_bucket(g)]))[:take]
+            _, kind, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            found.append(g[rare])
+            places.append(np.where((times[kind[rare]] == 1) & (rare < NOWHERE), rare, NOWHERE))
+            sizes.append(take)
+            needs.append(need)
+            signs.append(_signature(g).tobytes())
+        rep, m, roles = (b.column(c).to_numpy().astype(np.int64) for c in ("rep", "m", "roles"))
+        n = np.array(sizes, np.int64)
+        grams, at, text = np.concatenate(found), np.concatenate(places), np.repeat(np.arange(b.num_rows), n)
+        role = roles[text]
+        times = np.maximum(1, -(-often[_bucket(grams)] // HOT_GRAM))
+        # a split gram: a text of use in training goes to all its parts, one of use in evaluation to one of them as such
+        copies = np.where(role & 2 > 0, times, 1)
+        own = rep[text].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+        own = (own % times.astype(np.uint64)).astype(np.int64)
+        row = np.repeat(np.arange(len(grams)), copies)
+        each = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+        each = np.where(role[row] & 2 > 0, each, own[row])
+        role = np.where(each == own[row], role[row], 2)
+        with np.errstate(over="ignore"):
+            grams = (grams[row] + each * np.int64(0x1000193ABCDEF01)).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        at, text = at[row], text[row]
+        part = (grams >> np.uint64(32)).astype(np.int64) % parts
+        order = np.lexsort((grams, role, text, part))
+        part, text, role, grams, at = part[order], text[order], role[order], grams[order], at[order]
+        new = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (text[1:] != text[:-1]) | (role[1:] != role[:-1])]))
+        entries = np.zeros(len(new), ENTRY)
+        which = text[new]
+        entries["rep"], entries["m"], entries["need"], entries["roles"] = rep[which], m[which], np.array(needs)[which], role[new]
+        entries["n"] = np.diff(np.append(new, len(part)))
+        rows = np.zeros(len(part), GRAM)
+        rows["hash"], rows["at"] = grams & np.uint64(0xFFFFFFFF), at
+        names, low = np.unique(part[new], return_index=True)
+        out = []
+        for x, y in zip(low, np.append(low[1:], len(new))):
+            to = new[y] if y < len(new) else len(part)
+            e = entries[x:y]
+            columns = [np.ascontiguousarray(e[c]).tobytes() for c in ENTRY.names] + [np.ascontiguousarray(rows[new[x] : to][c]).tobytes() for c in GRAM.names]
+            out.append(len(e).to_bytes(4, "little") + zstandard.compress(b"".join([*columns, *(signs[k] for k in which[x:y])]), 1))
+        yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(out, pa.binary())], names=["part", "rows"])
+
+
+def _opened(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries, grams and signatures (one after the other) of a part."""
+    entries, grams, signs = [], [], []
+    for r in rows:
+        data, at = memoryview(zstandard.decompress(r[4:])), 0
+        e = np.zeros(int.from_bytes(r[:4], "little"), ENTRY)
+        for c in ENTRY.names:
+            e[c] = np.frombuffer(data, ENTRY[c], len(e), at)
+            at += len(e) * ENTRY[c].itemsize
+        g = np.zeros(int(e["n"].sum()), GRAM)
+        for c in GRAM.names:
+            g[c] = np.frombuffer(data, GRAM[c], len(g), at)
+            at += len(g) * GRAM[c].itemsize
+        entries.append(e)
+        grams.append(g)
+        signs.append(np.frombuffer(data, np.uint8, offset=at))
+    return np.concatenate(entries), np.concatenate(grams), np.concatenate(signs)
+
+
+def _meet_by_words(part: pa.Table) -> pa.Table:
+    """a, b, n, need: texts of a part, a < b, of use to each other, that share ``n`` of its grams and may agree by their lengths, by the grams' places and by their signatures."""
+    e, g, signs = _opened(part.column("rows").to_pylist())
+    m = e["m"].astype(np.int64)
+    size = _size(m)
+    starts = np.cumsum(1 << size - 3) - (1 << size - 3)
+    # by size, the signatures of that size and the folded ones of the next
+    tables, row = {}, np.zeros((2, len(e)), np.int64)
+    for s in np.unique(size).tolist():
+        here = np.flatnonzero(size == s)
+        own = signs[starts[here][:, None] + np.arange(1 << s - 3)]
+        if s > 6:
+            fold = _folded(own)
+            row[1, here] = np.arange(len(here)) + len(tables.get(s - 1, ()))
+            tables[s - 1] = np.concatenate([tables[s - 1], fold]) if s - 1 in tables else fold
+        row[0, here] = np.arange(len(here))
+        tables[s] = own
+    del signs
+    tables = {s: np.ascontiguousarray(t).view(np.uint64) for s, t in tables.items()}
+    key = g["hash"].astype(np.int64) << 31 | np.repeat(m, e["n"])
+    order = np.argsort(key)
+    key, text, at = key[order], np.repeat(np.arange(len(e), dtype=np.int32), e["n"])[order], g["at"][order].astype(np.int64)
+    del order
+    m_of = m[text]
+    ends = np.searchsorted(key, key - m_of + m_of * 5 // 4, side="right")
+    n = ends - np.arange(len(key)) - 1
+    total = np.concatenate([[0], np.cumsum(n)])
+    roles, rep = e["roles"], e["rep"]
+    kept, k = [np.empty(0, np.int64)], 0
+    while total[k] < total[-1]:
+        to = max(k + 1, int(np.searchsorted(total, total[k] + PORTION, side="right")) - 1)
+        x = np.repeat(np.arange(k, to), n[k:to])
+        y = x + 1 + np.arange(len(x)) - np.repeat(total[k:to] - total[k], n[k:to])
+        i, j, p, q = text[x], text[y], at[x], at[y]
+        most, less = m[j], m[i]
+        common = -(-most * 4 // 5)
+        # the most tokens in common order that a pair of tokens at p and q may be one of
+        through = np.minimum(p, q) + 1 + np.minimum(less - 1 - p, most - 1 - q)
+        ok = ((roles[i] & 1) * (roles[j] & 2) + (roles[i] & 2) * (roles[j] & 1) > 0) & (rep[i] != rep[j]) & ((p == NOWHERE) | (q == NOWHERE) | (through >= common))
+        i, j, may = i[ok], j[ok], (less + most - 2 * common)[ok]
+        level = np.minimum(size[i], size[j])
+        near = np.zeros(len(i), bool)
+        for s in np.unique(level).tolist():
+            z = np.flatnonzero(level == s)
+            a, b = i[z], j[z]
+            apart = tables[s][row[size[a] - s, a]] ^ tables[s][row[size[b] - s, b]]
+            near[z] = np.bitwise_count(apart).sum(1, dtype=np.int32) <= may[z]
+        kept.append(i[near].astype(np.int64) << 32 | j[near])
+        k = to
+    pair, times = np.unique(np.concatenate(kept), return_counts=True)
+    i, j = pair >> 32, pair & 0xFFFFFFFF
+    a, b, need = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), np.minimum(e["need"][i], e["need"][j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(times, pa.int32()), "need": pa.array(need, pa.int32())})
+
+
+def _met_by_words(nodes: DataFrame, counters: DataFrame) -> DataFrame:
+    """a, b: representatives, a < b, of texts that share enough of their rarest grams and may agree.
+
+    Texts meet, and meetings are dropped, within the parts the grams are dealt to: their number grows with the square of the corpus where the
+    vocabulary doesn't grow, and only what is left of them is written.
     """
     # a fixed number of counters comes to the driver
     sums = counters.select(F.explode(F.arrays_zip("buckets", "counts")).alias("c")).groupBy("c.buckets").agg(F.sum("c.counts").alias("n")).toArrow()
     frequency = np.zeros(1 << SKETCH_BITS, np.int64)
     frequency[sums.column("buckets").to_numpy()] = sums.column("n").to_numpy()
     shared = nodes.sparkSession.sparkContext.broadcast(frequency)
-
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+    rows = nodes.where("by_words").select("rep", "m", "roles", "tokens")
+    total = rows.agg(F.sum(F.floor(F.col("m") / 5) + F.floor(F.col("m") / LONG_SHARED) + SHARED)).first()[0] or 0
+    parts = max(PARTS, -(-total // PART_GRAMS))
+    dealt = rows.mapInArrow(lambda batches: _indexed_parts(shared.value, parts, batches), "part int, rows binary")
+    met = dealt.groupBy("part").applyInArrow(_meet_by_words, "a bigint, b bigint, n int, need int")
+    return met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
+
+
+def _marked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose ``rep`` may stand in ``pairs``, so that few others are moved for the comparison."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MARK_BITS)).cast("int")
+    # a fixed number of slots at most comes to the driver
+    marks = pairs.select(F.explode(F.array("a", "b")).alias("rep")).select(slot("rep").alias("slot")).distinct().toArrow()
+    known = np.zeros(1 << MARK_BITS, bool)
+    known[marks.column("slot").to_numpy()] = True
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(known))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value).astype(bool)
         for b in batches:
-            if not b.num_rows:
-                continue
-            out, sizes = [], []
-            for t in b.column("tokens").to_pylist():
-                tokens = np.frombuffer(t, np.int32)
-                g = _grams(tokens)
-                take, _ = _indexed(len(g), _lone(tokens))
-                out.append(g[np.lexsort((g, often[_bucket(g)]))[:take]])
-                sizes.append(take)
-            n = np.array(sizes, np.int64)
-            grams, node, about, roles = np.concatenate(out), *(np.repeat(b.column(c).to_numpy(), n) for c in ("node", "m", "roles"))
-            parts = np.maximum(1, -(-often[_bucket(grams)] // HOT_GRAM))
-            part = np.zeros(len(grams), np.int64)
-            if (hot := np.flatnonzero((parts > 1) & (roles & 2 > 0))).size:  # once for each part; of use in evaluation in one of them
-                own = node[hot].view(np.uint64) % parts[hot].astype(np.uint64)
-                times = np.repeat(np.arange(len(hot)), parts[hot])
-                each = np.concatenate([np.arange(x) for x in parts[hot]])
-                more = np.where(each == own[times].astype(np.int64), roles[hot][times], 2)
-                keep = np.ones(len(grams), bool)
-                keep[hot] = False
-                grams, node, about, roles, part = (np.concatenate([x[keep], y]) for x, y in ((grams, grams[hot][times]), (node, node[hot][times]), (about, about[hot][times]), (roles, more), (part, each)))
-            lone = (parts := np.maximum(1, -(-often[_bucket(grams)] // HOT_GRAM))) > 1
-            lone &= roles == 1
-            part[lone] = (node[lone].view(np.uint64) % parts[lone].astype(np.uint64)).astype(np.int64)
-            with np.errstate(over="ignore"):
-                grams = grams + part * np.int64(0x1000193ABCDEF01)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(node), pa.array(about.astype(np.int32)), pa.array(roles.astype(np.int8))], names=["gram", "node", "about", "roles"])
-
-    # dealt by the gram alone, so that the join needs no further exchange, and one exchange serves both sides
-    p = nodes.where("by_words").select("node", "m", "roles", "tokens").mapInArrow(rarest, "gram bigint, node bigint, about int, roles tinyint").repartition("gram")
-    x = p.where("roles & 1 > 0").select("gram", F.col("node").alias("a"), F.col("about").alias("x"), F.col("roles").alias("r"))
-    y = p.where("roles & 2 > 0").select("gram", F.col("node").alias("b"), F.col("about").alias("y"), F.col("roles").alias("q"))
-    # texts of use on both sides meet twice, and count once
-    met = x.join(y, "gram").where("(a < b OR (a > b AND NOT (r = 3 AND q = 3))) AND least(x, y) * 5 >= greatest(x, y) * 4")
-    # the pairs go by 32 bits of each node, in one number: nodes that share them are told apart when the pairs are looked at.
-    # Fewer than SHARED grams are needed of very short texts only, which the upper half of the count marks.
-    half = F.lit((1 << 32) - 1)
-    low = lambda c: F.col(c).cast("bigint").bitwiseAND(half)
-    short = F.least("x", "y") < 2 * SHARED
-    low_a, low_b = low("a"), low("b")
-    counted = met.groupBy(F.shiftleft(F.least(low_a, low_b), 32).bitwiseOR(F.greatest(low_a, low_b)).alias("pair")).agg(F.sum(F.when(short, F.lit((1 << 32) + 1)).otherwise(F.lit(1).cast("bigint"))).alias("n"))
-    often_met = counted.where((low("n") >= SHARED) | (F.col("n") > half)).select(F.shiftrightunsigned("pair", 32).alias("a"), low("pair").alias("b"), low("n").alias("n"))
-
-    def node(side: str) -> DataFrame:
-        return nodes.where("by_words").select(low("node").alias(side), F.col("rep").alias(f"{side}_rep"), F.col("m").alias(f"{side}_m"), F.col("need").alias(f"{side}_need"), F.col("roles").alias(f"{side}_roles"), F.col("sketch").alias(f"{side}_sketch"))
-
-    both = often_met.join(node("a"), "a").join(node("b"), "b").where("a_rep <> b_rep AND n >= least(a_need, b_need) AND (a_roles & 1) * (b_roles & 2) + (a_roles & 2) * (b_roles & 1) > 0")
-
-    def plausible(b: pa.RecordBatch) -> pa.RecordBatch:
-        halves = [np.frombuffer(b"".join(b.column(f"{k}_sketch").to_pylist()), np.uint8).reshape(-1, CLASSES // 2).astype(np.int16) for k in "ab"]
-        apart = sum(np.abs(f(halves[0]) - f(halves[1])).sum(1) for f in (lambda h: h >> 4, lambda h: h & 15))
-        one, two = b.column("a_m").to_numpy().astype(np.int64), b.column("b_m").to_numpy().astype(np.int64)
-        keep = apart <= one + two - 2 * -(-np.maximum(one, two) * 4 // 5)
-        left, right = b.column("a_rep").to_numpy(), b.column("b_rep").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)[keep]), pa.array(np.maximum(left, right)[keep])], names=["a", "b"])
-
-    by_words = arrow_map(both.select("a_rep", "b_rep", "a_m", "b_m", "a_sketch", "b_sketch"), "a bigint, b bigint", plausible)
+            yield b.filter(pa.array(known[b.column("slot").to_numpy()])).select(["rep", "tokens"])
+
+    return rows.select("rep", "tokens", slot("rep").alias("slot")).mapInArrow(kept, "rep bigint, tokens binary")
+
+
+def near_texts(nodes: DataFrame, counters: DataFrame) -> DataFrame:
+    """a, b: representatives, a < b, of texts that agree in four fifths of the longer one's words, one of each pair of use in evaluation and the other in training; a_in_b, b_in_a: the share of the one's runs of two words that the other has.
+
+    ``nodes``: rep (a doc_id), m, tokens, by_length, by_words, roles (1: evaluation, 2: training,
+    3: both), a row per sequence of words in use. ``counters``: buckets, counts of the frequency sketch. The
+    hashes of the texts' rarest grams (those the frequency sketch has least of) are dealt out by
+    gram, where evaluation texts meet training texts: as many as another text may lack, and SHARED more, so that texts that
+    agree share SHARED of them. Texts in scripts without spaces meet by length instead. Meetings of texts whose lengths, places of the gram or
+    signatures are too far apart are dropped where they happen; of the pairs that share enough grams, those that contain too few of each other's
+    runs of two words are dropped, and the rest is compared word by word.
+    A gram of more than HOT_GRAM texts is split: each of its evaluation texts goes to one part, each training text to all.
+    """
+    pairs = stored(_met_by_words(nodes, counters).unionByName(_met_by_length(nodes)).distinct())
     # AQE sends the pairs to all executors where they are few, and deals out the tokens by text where they aren't
-    pairs = stored(by_words.unionByName(_met_by_length(nodes)).distinct())
-    left = nodes.select(F.col("rep").alias("a"), F.col("tokens").alias("s")).join(pairs, "a")
-    right = nodes.select(F.col("rep").alias("b"), F.col("tokens").alias("t"))
+    texts = _marked(nodes, pairs)
+    left = texts.select(F.col("rep").alias("a"), F.col("tokens").alias("s")).join(pairs, "a")
+    right = texts.select(F.col("rep").alias("b"), F.col("tokens").alias("t"))
 
     def compare(b: pa.RecordBatch) -> pa.RecordBatch:
         keep, forth, back = [], [], []
@@ -444,8 +560,8 @@ def _resolved(recs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = stored(_keyed(recs, texts))
     sides = keyed.select(F.when(F.col("train"), 2).otherwise(1).alias("role"), F.explode(F.array("ks", "kt")).alias("rep")).where("rep >= 0").distinct()
     used = sides.groupBy("rep").agg(F.sum("role").cast("int").alias("roles"))
-    nodes = keys.select(F.col("doc_id").alias("rep"), "node", "tokens", "need", "lone", "sketch", (F.length("tokens") / 4).cast("int").alias("m")).where("m > 0").join(used, "rep")
-    nodes = nodes.select("rep", "node", "tokens", "need", "sketch", "m", "roles", _by_length(F.col("m"), F.col("lone")).alias("by_length"), _by_words(F.col("m"), F.col("lone")).alias("by_words"))
+    nodes = keys.select(F.col("doc_id").alias("rep"), "tokens", "lone", (F.length("tokens") / 4).cast("int").alias("m")).where("m > 0").join(used, "rep")
+    nodes = nodes.select("rep", "tokens", "m", "roles", _by_length(F.col("m"), F.col("lone")).alias("by_length"), _by_words(F.col("m"), F.col("lone")).alias("by_words"))
     return keyed, stored(near_texts(stored(nodes), told.where("doc_id IS NULL").select("buckets", "counts")))
 
 
