@@ -413,6 +413,23 @@ EN = "The café kept its façade, and the naïve view doesn’t hold – the let
 FITTED = {"ru": [RU, RU.lower()] * 30, "fr": [FR] * 30, "en": [EN] * 30}
 
 
+def test_judge_is_fitted_on_every_text(spark):
+    rare = "Das Gefäß am Flußufer bleibt während der Prüfung geschlossen. "
+    plain = "Der Turm steht seit vielen Jahren am Rand der alten Stadt. "
+    rows = [(i, plain * 3, " DE") for i in range(600)] + [(600, plain * 80 + rare * 800, "de"), (601, None, "de"), (602, plain, None), (603, "short", "de")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    one, more = (mojibake.fit(docs.repartition(n)) for n in (1, 5))
+    # the letters stand in one text, after its first 4000 characters, in 12 of 614 stretches
+    assert one.alphabets == {"de": "ßäü"} == more.alphabets and one.dictionaries == more.dictionaries
+    assert "Gefäß".lower().encode() in one.dictionaries["de"]
+    assert mojibake.is_garbled("Das GefÃ¤ÃŸ bleibt geschlossen.", one) and not mojibake.is_garbled(rare, one)
+
+
+def test_characters_that_are_never_odd():
+    every = [chr(c) for c in range(0x80, 0x3000)]
+    assert all((c in mojibake._never_odd()) <= (mojibake.oddness(f"a{c}b{c}{c}я{c}") == mojibake.oddness("abя")) for c in every)
+
+
 @pytest.fixture(scope="module")
 def judge():
     return mojibake.fit_texts(FITTED)

@@ -10,28 +10,34 @@ from __future__ import annotations
 
 import codecs
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import arrow_map
 
-#: Texts a dictionary is trained on at most, per language (those with the least hashes of doc_id).
-FIT_TEXTS = 240
-#: Characters of each such text. Only the dictionaries are fitted on a part of the text.
+#: Characters of a stretch: texts are counted stretch by stretch.
 FIT_CHARS = 4_000
-#: A text with more odd places than these isn't trained on: it may be garbled.
+#: A stretch with more odd places than these isn't counted: it may be garbled.
 FIT_ODD = 3
+#: Words a dictionary may be made of, per language: those that make up most of its texts, of which DICT_BYTES hold no more; and words that stand for all others together.
+FIT_WORDS, FIT_OTHERS = 20_000, 4_000
+#: Lines and words of a line that a dictionary is trained on, drawn up in proportion to the words' counts.
+FIT_LINES, LINE_WORDS = 6_000, 12
 DICT_BYTES = 48_000
 #: Bytes that a step of a chain costs: UTF-8 shows by itself, as few other bytes follow its rules; a legacy encoding is one of many.
 STEP_COST, LEGACY_COST = 1, 5
 #: Bytes a sentence must be shorter by to be read in a legacy encoding.
 PIECE_COST = 2
-#: A character is a letter of a language if one in so many of its fitted texts has it.
+#: A character is a letter of a language if one in so many of its stretches has it.
 ALPHABET_SHARE = 100
 #: Steps of a chain at most.
 MAX_STEPS = 4
@@ -540,22 +546,126 @@ def inspect(text: str | None, judge: Judge) -> tuple[bool, str | None, list[str]
 
 
 def fit(docs: DataFrame) -> Judge:
-    """A judge with a zstandard dictionary and an alphabet per language, from at most FIT_TEXTS texts of each with hardly an odd character."""
+    """A judge with a zstandard dictionary and an alphabet per language, by the counts of words and characters in all texts with hardly an odd character.
+
+    Texts whose ``lang`` names no known language count for none. What comes to the driver is bounded by the languages:
+    FIT_WORDS and FIT_OTHERS words of each, and its characters.
+    """
     lang = F.lower(F.trim("lang"))
     names = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    rows = docs.select("doc_id", F.element_at(names, lang).alias("lang"), F.substring("text", 1, FIT_CHARS).alias("text"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 40))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    kept = rows.withColumn("_no", F.row_number().over(first)).where(F.col("_no") <= FIT_TEXTS)
-    by: dict[str, list[str]] = {}
-    for r in sorted(kept.collect(), key=lambda r: (r["lang"], r["_no"])):  # at most FIT_TEXTS texts of FIT_CHARS per language
-        by.setdefault(r["lang"], []).append(r["text"])
-    return fit_texts(by)
+    rows = docs.select(F.element_at(names, lang).alias("lang"), "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = stored(rows.mapInArrow(_counted, "lang string, kind int, what string, n bigint").groupBy("lang", "kind", "what").agg(F.sum("n").alias("n")))
+    words = counts.where(F.col("kind") == WORD)
+    # a row per language and class of weight
+    weight = F.floor(F.log2(F.col("n") * F.octet_length("what")) * 16).cast("int")
+    classes: dict[str, list[tuple[int, int]]] = {}
+    for lang, k, n in _columns(words.groupBy("lang", weight.alias("class")).agg(F.count("*").alias("n"))):
+        classes.setdefault(lang, []).append((k, n))
+    least, share = {}, {}
+    for lang, sizes in classes.items():
+        room, rest = FIT_WORDS, 0
+        for k, n in sorted(sizes, reverse=True):
+            if rest or n > room:
+                rest += n
+            else:
+                least[lang], room = k, room - n
+        share[lang] = min(1.0, FIT_OTHERS / max(1, rest))
+    by_lang = lambda d, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("lang")), F.lit(other)) if d else F.lit(other)
+    heavy = weight >= by_lang(least, 1 << 30)
+    drawn = F.pmod(F.xxhash64("what"), F.lit(1 << 30)) < by_lang(share, 0.0) * (1 << 30)
+    top, some = words.where(heavy), words.where(~heavy & drawn)
+    mass = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    spelled: dict[str, dict[str, float]] = {}
+    for lang, w, n in _columns(top.select("lang", "what", "n")):
+        spelled.setdefault(lang, {})[w] = n
+    others: dict[str, list[str]] = {}
+    for lang, w in _columns(some.select("lang", "what")):
+        others.setdefault(lang, []).append(w)
+    for lang, kept in others.items():
+        known = spelled.setdefault(lang, {})
+        rest = mass[lang] - sum(known.values())
+        known |= {w: rest / len(kept) for w in kept}
+    letters: dict[str, dict[str, int]] = {}
+    for lang, c, n in _columns(counts.where(F.col("kind") != WORD).select("lang", "what", "n")):
+        letters.setdefault(lang, {})[c] = n
+    alphabets = {x: "".join(sorted(c for c, k in n.items() if c and k * ALPHABET_SHARE >= n[""])) for x, n in sorted(letters.items())}
+    return Judge({x: train([t.encode("utf-8", "surrogatepass") for t in _drawn_up(n)]) for x, n in sorted(spelled.items())}, alphabets)
+
+
+#: What is counted: stretches, characters beyond ASCII by the stretches that have them, words.
+STRETCH, LETTER, WORD = 0, 1, 2
+#: Words where some script has no spaces: with the space before them, or up to six characters.
+FIT_WORD = re.compile(r"\s?(?:[぀-ヿ㐀-鿿฀-๿]{1,6}|[^\s぀-ヿ㐀-鿿฀-๿]+)")
+UNSPACED = re.compile("[぀-ヿ㐀-鿿฀-๿]")
+
+
+def _columns(rows: DataFrame) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in rows.toArrow().columns))
+
+
+def _sound(text: str) -> bool:
+    """Whether hardly a character of the text is odd."""
+    high = {c for c in set(text) if c > "\x7f"}
+    if not high or high <= _never_odd() or high <= _odd_in_rows() and not TWO_HIGH.search(text):
+        return True
+    return oddness(text) <= FIT_ODD and (high.isdisjoint(LEADS["cp1252"]) or high.isdisjoint(TRAILS["cp1252"]) or decode_runs(text, "cp1252") == text)
+
+
+@lru_cache(maxsize=1)
+def _never_odd() -> frozenset[str]:
+    """Characters beyond ASCII that are usual, and in no sequence that is odd."""
+    usual = re.findall(f"[{USUAL}\ufb00-\ufb06]", "".join(chr(c) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000))
+    return frozenset(c for c in usual if not ("\xc0" <= c <= "\xff" or "Ѐ" <= c <= "ӿ"))
+
+
+@lru_cache(maxsize=1)
+def _odd_in_rows() -> frozenset[str]:
+    """Those, and usual letters that are odd only beside another character beyond ASCII."""
+    return _never_odd() | frozenset(c for c in map(chr, range(0xC0, 0x100)) if not ODD.search(c))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, kind, what, n: what the sound stretches of the batches' texts have."""
+    for b in batches:
+        stretches: dict[str, list[str]] = {}
+        for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+            parts = [t[k : k + FIT_CHARS] for k in range(0, len(t), FIT_CHARS)]
+            stretches.setdefault(lang, []).extend(x for x in parts if len(x) > 40 and _sound(x))
+        langs, kinds, whats, ns = [], [], [], []
+        for lang, texts in stretches.items():
+            letters: Counter[str] = Counter()
+            spelled: Counter[str] = Counter()
+            spaced: Counter[str] = Counter()
+            for t in texts:
+                if not t.isascii():
+                    letters.update(c for c in set(t) if c > "\x7f")
+                if t.isascii() or not UNSPACED.search(t):
+                    spaced.update(t.lower().split())
+                else:
+                    spelled.update(FIT_WORD.findall(t.lower()))
+            for w, n in spaced.items():
+                spelled[f" {w}"] += n
+            for kind, n in ((STRETCH, {"": len(texts)}), (LETTER, letters), (WORD, spelled)):
+                langs += [lang] * len(n)
+                kinds += [kind] * len(n)
+                whats += n.keys()
+                ns += n.values()
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(whats, pa.string()), pa.array(ns, pa.int64())], names=["lang", "kind", "what", "n"])
+
+
+def _drawn_up(counts: dict[str, float]) -> list[str]:
+    """Lines in which each word stands about as often, of all, as in the texts: always the same for the same counts."""
+    spelled = sorted(counts, key=lambda w: (-counts[w], w))
+    n = FIT_LINES * LINE_WORDS
+    ends = np.cumsum([counts[w] for w in spelled], dtype=np.float64)
+    drawn = np.searchsorted(ends, (np.arange(n) + 0.5) * (ends[-1] / n))
+    drawn = drawn[np.random.default_rng(0).permutation(n)]
+    return ["".join(spelled[k] for k in row) for row in drawn.reshape(FIT_LINES, LINE_WORDS)]
 
 
 def fit_texts(by: dict[str, list[str]]) -> Judge:
     """A judge from texts of each language."""
-    sound = {lang: [t for t in texts if oddness(t) <= FIT_ODD and decode_runs(t, "cp1252") == t] for lang, texts in by.items()}
+    sound = {lang: [t for t in texts if _sound(t)] for lang, texts in by.items()}
     alphabets = {}
     for lang, texts in sound.items():
         n: dict[str, int] = {}
