@@ -425,6 +425,16 @@ def test_judge_is_fitted_on_every_text(spark):
     assert mojibake.is_garbled("Das GefÃ¤ÃŸ bleibt geschlossen.", one) and not mojibake.is_garbled(rare, one)
 
 
+def test_units_leave_out_what_every_text_tells_to_be_garbled(spark):
+    """The letters that show it stand past the first 4000 characters of one text."""
+    plain, rare = "Der Turm steht seit vielen Jahren am Rand der alten Stadt. ", "Хранитель считал, что медленный датчик содержит корпус и опыт посёлка. "
+    bad = rare.encode("cp1251").decode("cp1252")
+    rows = [(0, plain * 80 + rare * 300, "ru"), (1, bad.strip() + "\n" + bad.strip(), "ru"), (2, plain, "de")] + [(k, plain * 2, "ru") for k in range(3, 303)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    ids = {r.doc_id for r in sentences.split_sentences(docs, mojibake.fit(docs)).select("doc_id").distinct().collect()}
+    assert ids == {k for k, *_ in rows} - {1}
+
+
 def test_characters_that_are_never_odd():
     every = [chr(c) for c in range(0x80, 0x3000)]
     assert all((c in mojibake._never_odd()) <= (mojibake.oddness(f"a{c}b{c}{c}я{c}") == mojibake.oddness("abя")) for c in every)

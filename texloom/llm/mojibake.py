@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -631,26 +632,25 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
             parts = [t[k : k + FIT_CHARS] for k in range(0, len(t), FIT_CHARS)]
             stretches.setdefault(lang, []).extend(x for x in parts if len(x) > 40 and _sound(x))
-        langs, kinds, whats, ns = [], [], [], []
+        parts = []
         for lang, texts in stretches.items():
             letters: Counter[str] = Counter()
             spelled: Counter[str] = Counter()
-            spaced: Counter[str] = Counter()
+            spaced = []
             for t in texts:
                 if not t.isascii():
                     letters.update(c for c in set(t) if c > "\x7f")
-                if t.isascii() or not UNSPACED.search(t):
-                    spaced.update(t.lower().split())
-                else:
-                    spelled.update(FIT_WORD.findall(t.lower()))
-            for w, n in spaced.items():
-                spelled[f" {w}"] += n
-            for kind, n in ((STRETCH, {"": len(texts)}), (LETTER, letters), (WORD, spelled)):
-                langs += [lang] * len(n)
-                kinds += [kind] * len(n)
-                whats += n.keys()
-                ns += n.values()
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(whats, pa.string()), pa.array(ns, pa.int64())], names=["lang", "kind", "what", "n"])
+                    if UNSPACED.search(t):
+                        spelled.update(FIT_WORD.findall(t.lower()))
+                        continue
+                spaced.append(t.lower())
+            found = pc.value_counts(pc.list_flatten(pc.utf8_split_whitespace(pa.array(spaced, pa.string()))))
+            found = found.filter(pc.not_equal(found.field("values"), ""))
+            counted = [(kind, pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())) for kind, n in ((STRETCH, {"": len(texts)}), (LETTER, letters), (WORD, spelled))]
+            counted.append((WORD, pc.binary_join_element_wise("", found.field("values"), " "), found.field("counts")))
+            parts += [pa.table([pa.repeat(lang, len(w)), pa.repeat(pa.scalar(kind, pa.int32()), len(w)), w, n], ["lang", "kind", "what", "n"]) for kind, w, n in counted]
+        if parts:
+            yield from pa.concat_tables(parts).combine_chunks().to_batches()
 
 
 def _drawn_up(counts: dict[str, float]) -> list[str]:
