@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -507,6 +508,35 @@ def test_short_pieces_follow_the_step_that_longer_ones_show(judge):
     assert mojibake.inspect(back, judge)[1].startswith("Хата 3\n")
 
 
+def test_a_garbled_text_is_read_no_further_than_needed(judge, monkeypatch):
+    read, judged = [], []
+    runs, length = mojibake.decode_runs, mojibake.Judge.length
+    monkeypatch.setattr(mojibake, "decode_runs", lambda text, name: read.append(name) or runs(text, name))
+    garbled = FR.encode().decode("latin-1").encode().decode("latin-1")
+    assert mojibake.is_garbled(garbled, judge)
+    n = len(read)
+    assert list(mojibake._utf8_chains(garbled)) and 0 < n * 2 < len(read) - n
+    # cp437 and cp850 give the same letters
+    monkeypatch.setattr(mojibake.Judge, "length", lambda self, text: judged.append(text) or length(self, text))
+    text, _, steps = mojibake.read_legacy("le th‚ƒtre fut compar‚ … 91 ‚chantillons", judge)
+    assert (text, len(steps)) == ("le théâtre fut comparé à 91 échantillons", 1) and len(judged) == len(set(judged))
+
+
+def test_what_is_said_sooner_equals_what_is_looked_for_at_length(judge):
+    some = [RU, FR, EN, ZH, JA, RU.encode("cp1251").decode("koi8-r", "replace"), FR.encode().decode("cp1252", "replace"), "абВГ", "aбc", "бaб", "éèê", "\n\n? . \nа...б»  »\n\n", "Ãа", "", "a\n"]
+    rng = random.Random(3)
+    every = "".join(some) + "\n.?! »" * 20
+    some += ["".join(rng.choices(every, k=rng.randrange(30))) for _ in range(3000)]
+    slow = re.compile(r"[^\n]+?(?:[.!?…。！？][\s»”]+|\n|$)|\n+")
+    for text in some:
+        high = mojibake._high(text)
+        assert high == {c for c in text if c > "\x7f"}
+        assert mojibake._nothing_odd(text, high) == (mojibake.oddness(text) == 0)
+        assert mojibake._pieces(text) == [m[0] for m in slow.finditer(text)] and "".join(mojibake._pieces(text)) == text
+        for name, (strict, loose) in mojibake.UTF8_RUN.items():
+            assert all(mojibake.LEAD[name].match(text, m.start()) for rx in (strict, loose) for m in rx.finditer(text))
+
+
 def test_replacement_characters_are_found(judge):
     assert mojibake.inspect("F�r das �l", judge)[0]
 

@@ -12,7 +12,7 @@ import codecs
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -146,15 +146,19 @@ ODD = re.compile(
     "|[а-яё][А-Я]{2}"
     "|[A-Za-z][Ѐ-ӿ][a-z]|[Ѐ-ӿ][A-Za-z\xc0-\xff][Ѐ-ӿ]|[\xc0-\xff]{3}"
 )
-PIECE = re.compile(r"[^\n]+?(?:[.!?…。！？][\s»”]+|\n|$)")
+#: What of it is more than one odd character, where there are letters of Latin-1 and where there are Cyrillic ones.
+ODD_LATIN = re.compile("[\xc2-\xc5\xd0\xd1\xd8\xd9\xce\xcf\xe0-\xef][\x80-\xbf€‚-•ˆ‰‹›–-„™]"), re.compile("[\xc0-\xff][\xc0-\xff][\xc0-\xff]")
+ODD_CYRILLIC = re.compile("[А-Я](?<=[а-яё].)[А-Я]"), re.compile("[A-Za-z\xc0-\xff](?:(?<=[A-Za-z])[Ѐ-ӿ][a-z]|(?<=[Ѐ-ӿ].)[Ѐ-ӿ])")
+PIECE = re.compile(r"[^\n](?:[^.!?…。！？\n]+|[.!?…。！？](?![\s»”]))*+(?:[.!?…。！？][\s»”]+|\n|$)|\n+")
 HIGH = re.compile(r"[^\x00-\x7f]")
+ASCII = frozenset(map(chr, range(128)))
 #: A character beyond ASCII beside a letter.
 IN_WORD = re.compile(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]")
 TWO_HIGH = re.compile(r"[^\x00-\x7f]{2}")
 #: What no word in Latin letters has.
 TRIPLE = re.compile("[À-ÿ]{3}")
 #: Letters of two scripts in a word.
-MIXED = re.compile("[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]")
+MIXED = re.compile("[A-Za-z](?:(?=[Ѐ-ӿ])|(?<=[Ѐ-ӿ].))")
 CASES = re.compile(r"[А-ЯЁЂЃЉЊЌЋЏЎЈҐЄЇІЅ](?<=[Ѐ-ӿa-z].)")
 #: The same where marks stand in place of letters.
 MARKED = re.compile(r"[^\w\s.,:;!?»“”’()\-–—«…/%&+*<>=\"'](?:(?<=[Ѐ-ӿ].)[Ѐ-ӿ]|(?<=[А-Я].))")
@@ -174,6 +178,15 @@ SCRIPT_OF = {
 }
 
 
+def _high(text: str) -> set[str]:
+    """The text's characters beyond ASCII."""
+    if len(text.encode("utf-8", "surrogatepass")) * 4 < len(text) * 5:
+        return set(text) - ASCII
+    # characters beyond Latin-1 are costly one by one
+    codes = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+    return set(map(chr, codes[codes > 0x7F].tolist()))
+
+
 def oddness(text: str) -> int:
     """How much in the text is odd; 0 for nearly all texts that aren't garbled."""
     return len(ODD.findall(text))
@@ -181,7 +194,7 @@ def oddness(text: str) -> int:
 
 CYRILLIC = frozenset(("cp1251", "koi8_r", "cp866", "mac_cyrillic", "iso8859_5"))
 CYRILLIC_LETTER = re.compile("[Ѐ-ӿ]")
-CYRILLIC_LETTERS = frozenset(map(chr, range(0x400, 0x500)))
+CYRILLIC_LETTERS, LATIN_LETTERS = frozenset(map(chr, range(0x400, 0x500))), frozenset(map(chr, range(0xC0, 0x100)))
 
 
 def _foreign(c: str) -> bool:
@@ -190,7 +203,7 @@ def _foreign(c: str) -> bool:
 
 def decode_runs(text: str, name: str) -> str:
     """Each run that is UTF-8 read as ``name``, read as UTF-8."""
-    enc = READ_AS[name]
+    enc, lead = READ_AS[name], LEAD[name]
     strict, loose = UTF8_RUN[name]
     found = False
 
@@ -207,8 +220,19 @@ def decode_runs(text: str, name: str) -> str:
         found = found or len(out) > 1
         return out
 
-    once = strict.sub(back, text)
-    return loose.sub(back, text) if found else once
+    def replaced(run: re.Pattern) -> str:  # run.sub(back, text), only tried where a run can begin
+        out, done = [], 0
+        first = lead.search(text)
+        while first:
+            at = first.start() + 1
+            if m := run.match(text, at - 1):
+                out += text[done : at - 1], back(m)
+                done = at = m.end()
+            first = lead.search(text, at)
+        return "".join(out) + text[done:] if out else text
+
+    once = replaced(strict)
+    return replaced(loose) if found else once
 
 
 @lru_cache(maxsize=1 << 15)
@@ -226,6 +250,7 @@ def decode_legacy(piece: str, true: str, name: str) -> str:
     return (enc.wide if SCRIPT_OF.get(true) == "han" else enc.span).sub(lambda m: _span_read(m[0], true, name), piece)
 
 
+LOST, HIGH_BYTES = re.compile("�+"), bytes(range(0x80, 0x100))
 codecs.register_error("texloom-lost", lambda e: (b"\xff" * (e.end - e.start), e.end))
 
 
@@ -235,9 +260,15 @@ def decode_wide(piece: str, name: str) -> str:
     Sound Han texts may happen to be UTF-8 by their bytes, but hardly give words of nothing odd.
     """
     raw = piece.encode(name, "texloom-lost").replace("�".encode("gb18030"), b"\xff")
-    back = re.sub("�+", "�", raw.decode("utf-8", "replace"))
-    high = HIGH.findall(back)
-    if not high or back.count("�") * 4 > len(high) or ODD.search(back.replace("�", "")):
+    back = raw.decode("utf-8", "replace")
+    lost = back.count("�")
+    ascii_ = len(raw.translate(None, HIGH_BYTES))
+    if lost == len(back) - ascii_:
+        return piece
+    if lost:
+        back = LOST.sub("�", back)
+        lost = back.count("�")
+    if lost * 4 > len(back) - ascii_ or ODD.search(back.replace("�", "")):
         return piece
     return back if any(rx.search(back) for rx, _ in SCRIPTS.values()) else piece
 
@@ -275,11 +306,29 @@ class Judge:
         letters = {script: frozenset("".join(self.alphabets.get(x, "") for x in names)) for script, (_, names) in SCRIPTS.items()}
         self._han = letters["han"]
         usual = frozenset().union(*letters.values())
-        self.readings = {name: [Reading(true, name, letters[SCRIPT_OF.get(true, "latin")], usual) for true, names in LEGACY.items() if name in names] for name in READ_AS}
+        self.readings = [Reading(true, name, letters[SCRIPT_OF.get(true, "latin")], usual) for name in READ_AS for true, names in LEGACY.items() if name in names]
+        #: of each character, a bit for each reading it is of, one set of bits after the other as in ``bits``
+        self.bits_of: dict[str, int] = {}
+        #: the readings that need a sign
+        self.signs: dict[re.Pattern, int] = {}
+        for k, o in enumerate(self.readings):
+            self.signs[o.shown] = self.signs.get(o.shown, 0) | 1 << k
+            for field, chars in enumerate((NAME_KEYS[o.name], o.letters, o.touches, o.keys, o.bad)):
+                for c in chars:
+                    self.bits_of[c] = self.bits_of.get(c, 0) | 1 << field * len(self.readings) + k
+        self.known = frozenset(self.bits_of)
 
     def __reduce__(self):  # compressors are made anew in each process
         return Judge, (self.dictionaries, self.alphabets)
 
+    def bits(self, chars: Iterable[str]) -> tuple[int, int, int, int, int]:
+        """The readings with any of the characters in their names' keys, their letters, what touches them, their keys, and what is bad in them, as bits."""
+        all_, n = 0, len(self.readings)
+        for c in chars:
+            all_ |= self.bits_of.get(c, 0)
+        one = (1 << n) - 1
+        return all_ & one, all_ >> n & one, all_ >> 2 * n & one, all_ >> 3 * n & one, all_ >> 4 * n
+
     def knows_most(self, text: str) -> bool:
         """Whether more than half of the Han in a text stand in the fitted ones."""
         han = HAN.findall(text)
@@ -306,13 +355,7 @@ def _in_words(old: str, new: str, letters: re.Pattern | None) -> bool:
 
 def _pieces(text: str) -> list[str]:
     """The text in pieces of about a sentence that give it again when joined."""
-    out, at = [], 0
-    for m in PIECE.finditer(text):
-        if m.start() > at:
-            out.append(text[at : m.start()])
-        out.append(m[0])
-        at = m.end()
-    return [*out, text[at:]]
+    return PIECE.findall(text)
 
 
 def _difference(old: str, new: str) -> tuple[str, str]:
@@ -324,15 +367,15 @@ def _difference(old: str, new: str) -> tuple[str, str]:
     return "\n".join(x for x, _ in pairs), "\n".join(y for _, y in pairs)
 
 
-def _utf8_chains(text: str, high_: set[str] | None = None, cases_: bool | None = None) -> list[tuple[str, list[str]]]:
-    """The text, and each other text that one to MAX_STEPS readings as UTF-8 give, with the encodings read, by the fewest steps."""
+def _utf8_chains(text: str, high_: set[str] | None = None, cases_: bool | None = None) -> Iterator[tuple[str, list[str]]]:
+    """Each other text that one to MAX_STEPS readings as UTF-8 give, with the encodings read, by the fewest steps; none is made before it is asked for."""
     known = {text}
     nodes: list[tuple[str, list[str]]] = [(text, [])]
     for now, names in nodes:  # grows as it is read
         if len(names) == MAX_STEPS:
             continue
         # what is known of the text itself needn't be looked for again
-        high = {c for c in set(now) if c > "\x7f"} if names or high_ is None else high_
+        high = _high(now) if names or high_ is None else high_
         cases = None if names else cases_
         for name in READ_AS:
             if high.isdisjoint(LEADS[name]) or high.isdisjoint(TRAILS[name]):
@@ -347,7 +390,7 @@ def _utf8_chains(text: str, high_: set[str] | None = None, cases_: bool | None =
             if back not in known:
                 known.add(back)
                 nodes.append((back, [*names, name]))
-    return nodes
+                yield nodes[-1]
 
 
 #: What text read in an encoding shows, usual marks aside.
@@ -382,6 +425,10 @@ class Reading:
         self.letters = frozenset(c for c in self.good if self.table[ord(c)].isalpha())
         self.bad = frozenset(c for c in self.keys - self.good if c.isalpha())
 
+    def table_of(self, chars: set[str]) -> dict[int, str] | None:
+        """What the good ones of some characters become."""
+        return {ord(c): self.table[ord(c)] for c in chars & self.good} if self.table else None
+
 
 def _shows(rx: re.Pattern, text: str, high: set[str], low: bool) -> bool:
     """Whether a text shows what ``rx`` looks for; Cyrillic ones without a capital may be such in capitals."""
@@ -412,64 +459,51 @@ def read_legacy(text: str, judge: Judge, only_whether: bool = False, high: set[s
     tried on a piece if its bytes fit, and all characters that change become letters or marks of a fitted
     language of the script.
     """
-    high = {c for c in set(text) if c > "\x7f"} if high is None else high
+    high = _high(text) if high is None else high
+    names, letters, touches, _, _ = judge.bits(high & judge.known)
+    live = names & letters
+    if not live:
+        return text, 0, []
+    if live & ~touches:
+        live &= touches | judge.bits(_inside_words(text, high))[3]
     low = text.islower()
-    inner: set[str] | None = None
-    shown: dict[re.Pattern, bool] = {} if cases is None else {CASES: cases or low}
-    options = []
-    some: list[Reading] = []
-    for name, keys in NAME_KEYS.items():
-        if high.isdisjoint(keys):
-            continue
-        if name in CYRILLIC:  # nothing else can be shown
-            for rx in (CASES, MIXED):
-                if rx not in shown:
-                    shown[rx] = _shows(rx, text, high, low)
-            if not shown[CASES] and not shown[MIXED]:
-                continue
-        some += judge.readings[name]
-    for o in some:
-        if high.isdisjoint(o.letters):
-            continue
-        if high.isdisjoint(o.touches):
-            inner = _inside_words(text, high) if inner is None else inner
-            if inner.isdisjoint(o.keys):
-                continue
-        rx = o.shown
-        if rx not in shown:
-            shown[rx] = _shows(rx, text, high, low)
-        if shown[rx]:
-            options.append((o, {ord(c): o.table[ord(c)] for c in high & o.good} if o.table else None, high & o.good, high & o.bad))
-    if not options:
+    for rx, which in judge.signs.items():
+        if live & which and not (cases or low if rx is CASES and cases is not None else _shows(rx, text, high, low)):
+            live &= ~which
+    if not live:
         return text, 0, []
+    tables: dict[Reading, dict[int, str] | None] = {}
     pieces = _pieces(text)
     gains: dict[str, int] = {}
     chosen: dict[int, tuple[str, str]] = {}
     for k, piece in enumerate(pieces):
+        if piece.isascii():
+            continue
         own = high.intersection(piece)
-        if not own:
+        _, letters, touches, _, bad = judge.bits(own)
+        here = live & letters & ~bad
+        if here & ~touches:
+            here &= touches | judge.bits(_inside_words(piece, own))[3]
+        if not here:
             continue
-        best, gain, old, size, within = None, PIECE_COST, 0, 0, None
-        seen: dict[re.Pattern, bool] = {}
-        for o, table, good, bad in options:
-            if own.isdisjoint(o.letters) or not own.isdisjoint(bad):
-                continue
-            rx = o.shown
-            if rx not in seen:
-                seen[rx] = _shows(rx, piece, own, low)
-            if not seen[rx]:
-                continue
-            if own.isdisjoint(o.touches):
-                within = _inside_words(piece, own) if within is None else within
-                if o.keys.isdisjoint(within):
-                    continue
+        for rx, which in judge.signs.items():
+            if here & which and not _shows(rx, piece, own, low):
+                here &= ~which
+        best, gain, old, size = None, PIECE_COST, 0, 0
+        judged = set()
+        while here:
+            first = here & -here
+            here ^= first
+            o = judge.readings[first.bit_length() - 1]
+            table = tables[o] if o in tables else tables.setdefault(o, o.table_of(high))
             back = piece.translate(table) if table else decode_legacy(piece, o.true, o.name)
-            if back == piece or not o.script and TRIPLE.search(back) or o.script == "han" and not judge.knows_most(back):
+            if back == piece or back in judged or not o.script and TRIPLE.search(back) or o.script == "han" and not judge.knows_most(back):
                 continue
             if not _in_words(piece, back, SCRIPTS[o.script][0] if o.script else None):
                 continue
             if not old:
                 old, size = judge.length(piece), len(piece.encode("utf-8", "surrogatepass"))
+            judged.add(back)
             # fewer bytes for the same number of letters are no sign
             less = old - judge.length(back) - max(0, size - len(back.encode("utf-8", "surrogatepass")))
             if less > gain:
@@ -488,9 +522,10 @@ def read_legacy(text: str, judge: Judge, only_whether: bool = False, high: set[s
         if step in steps:
             pieces[k] = back
     # pieces too short to show a step by themselves, by the steps that others showed
-    by = {f"{o.true}<{o.name}": (o, table, good, bad) for o, table, good, bad in options}
+    by = {f"{o.true}<{o.name}": o for o in tables}
     for step in sorted(steps, key=lambda x: -steps[x]):
-        o, table, good, bad = by[step]
+        o = by[step]
+        table, good, bad = tables[o], high & o.good, high & o.bad
         for k, piece in enumerate(pieces):
             own = high.intersection(piece)
             if own.isdisjoint(good) or not own.isdisjoint(bad) or own.isdisjoint(o.touches) and o.keys.isdisjoint(_inside_words(piece, own)):
@@ -504,7 +539,7 @@ def read_legacy(text: str, judge: Judge, only_whether: bool = False, high: set[s
 def restore(text: str, judge: Judge) -> tuple[str, list[str]]:
     """The text and the chain of steps with the least description length; the text itself and no step if that is shortest."""
     best, gain, chain = text, 0, []
-    for back, names in _utf8_chains(text)[1:]:
+    for back, names in _utf8_chains(text):
         old, new = _difference(text, back)
         saved = judge.length(old) - judge.length(new) - STEP_COST * len(names)
         if saved > gain:
@@ -523,9 +558,9 @@ def is_garbled(text: str | None, judge: Judge) -> bool:
         return False
     if "�" in text or restore_wide(text, judge)[1]:
         return True
-    high = {c for c in set(text) if c > "\x7f"}
+    high = _high(text)
     cases = _shows(CASES, text, high, False) if not high.isdisjoint(CYRILLIC_LETTERS) else None
-    for back, names in _utf8_chains(text, high, cases)[1:]:
+    for back, names in _utf8_chains(text, high, cases):
         old, new = _difference(text, back)
         if judge.length(old) - judge.length(new) > STEP_COST * len(names):
             return True
@@ -604,12 +639,19 @@ def _columns(rows: DataFrame) -> Iterator[tuple]:
     return zip(*(c.to_pylist() for c in rows.toArrow().columns))
 
 
-def _sound(text: str) -> bool:
-    """Whether hardly a character of the text is odd."""
-    high = {c for c in set(text) if c > "\x7f"}
+def _nothing_odd(text: str, high: set[str]) -> bool:
+    """Whether ``oddness`` is 0, said sooner."""
+    if not high - _never_odd() <= _usual_letters():
+        return False
+    looked_for = (() if high.isdisjoint(LATIN_LETTERS) else ODD_LATIN) + (() if high.isdisjoint(CYRILLIC_LETTERS) else ODD_CYRILLIC)
+    return not any(rx.search(text) for rx in looked_for)
+
+
+def _sound(text: str, high: set[str]) -> bool:
+    """Whether hardly a character of the text, with ``high`` beyond ASCII, is odd."""
     if not high or high <= _never_odd() or high <= _odd_in_rows() and not TWO_HIGH.search(text):
         return True
-    return oddness(text) <= FIT_ODD and (high.isdisjoint(LEADS["cp1252"]) or high.isdisjoint(TRAILS["cp1252"]) or decode_runs(text, "cp1252") == text)
+    return (_nothing_odd(text, high) or oddness(text) <= FIT_ODD) and (high.isdisjoint(LEADS["cp1252"]) or high.isdisjoint(TRAILS["cp1252"]) or decode_runs(text, "cp1252") == text)
 
 
 @lru_cache(maxsize=1)
@@ -619,6 +661,12 @@ def _never_odd() -> frozenset[str]:
     return frozenset(c for c in usual if not ("\xc0" <= c <= "\xff" or "Ѐ" <= c <= "ӿ"))
 
 
+@lru_cache(maxsize=1)
+def _usual_letters() -> frozenset[str]:
+    """The other usual ones, odd in some sequences only."""
+    return frozenset(re.findall(f"[{USUAL}]", "".join(sorted(LATIN_LETTERS | CYRILLIC_LETTERS))))
+
+
 @lru_cache(maxsize=1)
 def _odd_in_rows() -> frozenset[str]:
     """Those, and usual letters that are odd only beside another character beyond ASCII."""
@@ -628,18 +676,18 @@ def _odd_in_rows() -> frozenset[str]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, kind, what, n: what the sound stretches of the batches' texts have."""
     for b in batches:
-        stretches: dict[str, list[str]] = {}
+        stretches: dict[str, list[tuple[str, set[str]]]] = {}
         for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-            parts = [t[k : k + FIT_CHARS] for k in range(0, len(t), FIT_CHARS)]
-            stretches.setdefault(lang, []).extend(x for x in parts if len(x) > 40 and _sound(x))
+            parts = [x for k in range(0, len(t), FIT_CHARS) if len(x := t[k : k + FIT_CHARS]) > 40]
+            stretches.setdefault(lang, []).extend((x, high) for x in parts if _sound(x, high := _high(x)))
         parts = []
         for lang, texts in stretches.items():
             letters: Counter[str] = Counter()
             spelled: Counter[str] = Counter()
             spaced = []
-            for t in texts:
-                if not t.isascii():
-                    letters.update(c for c in set(t) if c > "\x7f")
+            for t, high in texts:
+                if high:
+                    letters.update(high)
                     if UNSPACED.search(t):
                         spelled.update(FIT_WORD.findall(t.lower()))
                         continue
@@ -665,7 +713,7 @@ def _drawn_up(counts: dict[str, float]) -> list[str]:
 
 def fit_texts(by: dict[str, list[str]]) -> Judge:
     """A judge from texts of each language."""
-    sound = {lang: [t for t in texts if _sound(t)] for lang, texts in by.items()}
+    sound = {lang: [t for t in texts if _sound(t, _high(t))] for lang, texts in by.items()}
     alphabets = {}
     for lang, texts in sound.items():
         n: dict[str, int] = {}
