@@ -76,6 +76,32 @@ def test_levels_of_a_document():
     assert np.allclose(L.HierarchicalEncoder(encoder())(docs)[0], w[[1, 2, 3]].mean(0))
 
 
+def test_memory_is_bounded_however_uneven_the_sequences_are():
+    import tracemalloc
+
+    e = L.SequenceEncoder(64, 16, "transformer", heads=2)
+    levels = L.HierarchicalEncoder(e, encoder(), encoder(), fragment=1)
+    for one, what in ((e, [[1] * 128] * 1000), (e, [[1] * 2000]), (levels, [[[1]] * 4000] + [[[2]]] * 1000)):
+        tracemalloc.start()
+        got = one(what)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 100e6 and len(got) == len(what)
+
+
+def test_parts_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    seqs = [rng.integers(0, 50, n).tolist() for n in rng.integers(0, 40, 60)]
+    docs = [seqs[k : k + n] for k, n in enumerate(rng.integers(0, 9, 50))]
+    for how in KINDS:
+        levels = L.HierarchicalEncoder(encoder(), encoder(**how), encoder(**how | {"dense": None}), fragment=3) if not how.get("dense") else None
+        whole = [e(x) for e, x in ((encoder(**how), seqs), (levels, docs)) if e]
+        with monkeypatch.context() as m:
+            m.setattr(L, "NUMBERS", 500)
+            parts = [e(x) for e, x in ((encoder(**how), seqs), (levels, docs)) if e]
+        assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(whole, parts)) and encoder(**how)([]).shape == (0, how.get("dense", 16))
+
+
 def test_documents_are_encoded_alike_in_every_chunk(spark):
     docs = spark.createDataFrame([(1, "a b\nc"), (2, ""), (3, None), (4, "a b\n\nc"), (5, "d " * 500)], "doc_id long, text string")
     e = L.HierarchicalEncoder(L.SequenceEncoder(64, 16, "transformer", heads=2), encoder())
