@@ -102,6 +102,14 @@ def test_parts_change_nothing(monkeypatch):
         assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(whole, parts)) and encoder(**how)([]).shape == (0, how.get("dense", 16))
 
 
+def test_texts_are_tokenized_in_portions(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "é b\nc " * (k % 4)) for k in range(40)], "doc_id long, text string").coalesce(1)
+    e, conf = L.HierarchicalEncoder(encoder(), encoder()), K.TokenizerConf("words")
+    whole = {r.doc_id: r.vec for r in D.encode_documents(docs, e, conf).collect()}
+    monkeypatch.setattr(D, "CHUNK_BYTES", 10)
+    assert whole == {r.doc_id: r.vec for r in D.encode_documents(docs, e, conf).collect()} and len(whole) == 40
+
+
 def test_documents_are_encoded_alike_in_every_chunk(spark):
     docs = spark.createDataFrame([(1, "a b\nc"), (2, ""), (3, None), (4, "a b\n\nc"), (5, "d " * 500)], "doc_id long, text string")
     e = L.HierarchicalEncoder(L.SequenceEncoder(64, 16, "transformer", heads=2), encoder())

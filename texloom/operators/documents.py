@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from .tokenize import TokenizerConf, tokenized
 DocumentEncoder = Callable[[list[list[list[int]]]], np.ndarray]
 #: Tokens of the documents that are encoded together, about.
 CHUNK_TOKENS = 96_000
+#: Bytes of the texts that are tokenized together, about.
+CHUNK_BYTES = 1 << 20
 
 
 def encode_documents(docs: DataFrame, encoder: DocumentEncoder, conf: TokenizerConf, normalise: bool = True, chunk_tokens: int = CHUNK_TOKENS, text: str = "text") -> DataFrame:
@@ -38,16 +41,24 @@ def encode_documents(docs: DataFrame, encoder: DocumentEncoder, conf: TokenizerC
     factory = FACTORIES[conf.kind]
     room = None if conf.max_length is None else max(0, conf.max_length - len(conf.prefix) - len(conf.suffix))
 
+    def made(texts: pa.Array) -> Iterator[list[list[int]]]:
+        """The token ids of the sentences of each text; only those of some texts are held."""
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, side="right")))
+            sents = [[s for s in t.split("\n") if s] for t in texts.slice(at, to - at).to_pylist()]
+            ids = iter(_made(factory, conf).encode([s for d in sents for s in d]))
+            for d in sents:
+                yield [[*conf.prefix, *next(ids)[:room], *conf.suffix] or [conf.pad] for _ in d] or [[conf.pad]]
+            at = to
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _made(factory, conf)
         for b in batches:
             if not b.num_rows:
                 continue
-            sents = [[s for s in t.split("\n") if s] for t in b.column("_text").to_pylist()]
-            ids = iter(tokenizer.encode([s for d in sents for s in d]))
-            made = [[[*conf.prefix, *next(ids)[:room], *conf.suffix] or [conf.pad] for _ in d] or [[conf.pad]] for d in sents]
             out, part, size = [], [], 0
-            for d in made:
+            for d in made(b.column("_text")):
                 n = sum(map(len, d))
                 if part and size + n > chunk_tokens:
                     out.append(encoder(part))
