@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -639,3 +640,47 @@ def test_both_forms_of_the_pattern_split_alike(spark, sf):
     alike()
     for r in table(spark, sf, "documents").where("text IS NOT NULL").collect():
         assert fixed.findall(r.text) == fast.findall(r.text)
+
+
+def _small_alphabet(rng, n, kinds=60):
+    """Texts of ``n`` in a script of few letters, some in frequent use, and copies of them with up to a fourth of the letters changed."""
+    weights = rng.dirichlet(np.full(kinds, 0.6))
+    codes = (np.arange(kinds) * 2654435761 % (1 << 30)).astype(np.int32) * 2 + 1
+    texts = [codes[rng.choice(kinds, int(m), p=weights)] for m in rng.integers(280, 320, n)]
+    for k in range(0, n // 4):
+        t = texts[k].tolist()
+        for _ in range(int(rng.integers(0, len(t) // 4))):
+            at = int(rng.integers(0, len(t)))
+            if rng.random() < 0.5:
+                del t[at]
+            else:
+                t.insert(at, int(rng.choice(codes)))
+        texts.append(np.array(t, np.int32))
+    return sorted(texts, key=len)
+
+
+def test_texts_of_few_letters_are_told_apart_without_comparing_all(monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = _small_alphabet(rng, 160)
+    calls, agree = [], overlap._agree
+    monkeypatch.setattr(overlap, "_agree", lambda *x: calls.append(1) or agree(*x))
+    n = len(texts)
+    rows = pa.table({"rep": np.arange(n), "m": pa.array([len(t) for t in texts], pa.int32()), "roles": pa.array([3] * n, pa.int32()), "tokens": [t.tobytes() for t in texts], "band": pa.array([0] * n, pa.int32()), "block": pa.array([k % 2 for k in range(n)], pa.int32())})
+    one = overlap._meet(rows)
+    same = overlap._meet(rows.set_column(5, "block", pa.array([0] * n, pa.int32())))
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if overlap.common_order(texts[i].tolist(), texts[j].tolist()) * 5 >= max(len(texts[i]), len(texts[j])) * 4}
+    found = lambda t: set(zip(t.column("a").to_pylist(), t.column("b").to_pylist()))
+    assert found(same) == want and found(one) == {x for x in want if x[0] % 2 != x[1] % 2} and len(want) > 10
+    assert len(calls) < n * 2  # of 20 000 pairs, most of which are near by their letters alone
+
+
+def test_pairs_that_may_agree_are_never_dropped(monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = _small_alphabet(rng, 60) + [rng.integers(0, 1 << 30, int(n)).astype(np.int32) * 2 for n in rng.integers(1, 200, 30)]
+    monkeypatch.setattr(overlap, "FEW_PAIRS", 0)
+    told = overlap._Rare(texts, np.array([len(t) for t in texts], np.int64))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    common = np.array([overlap.common_order(texts[a].tolist(), texts[b].tolist()) for a, b in zip(i, j)])
+    assert told.may(i, j, common).all()
+    far = i != j
+    assert (~told.may(i[far], j[far], common[far] * 2 + 1)).any()

@@ -44,6 +44,12 @@ MOST_BITS = 4_096
 MARK_BITS = 22
 #: Texts of scripts without spaces that meet as many others in one task: each text is copied as often as there are blocks of about its length.
 BLOCK = 16_384
+#: Texts of a block that are compared with four times as many at once.
+TILE = 512
+#: Kinds of token told apart among a block's rare and frequent ones, and the share of its texts' tokens from which a kind is frequent.
+RARE_KINDS, OFTEN = 64, 0.02
+#: Pairs whose rare tokens are compared at once, and for each 64 of those tokens the least number of pairs for which that is worth it.
+RARE_PAIRS, FEW_PAIRS = 8_192, 32
 #: Ratio of the lengths that bound a band: texts that agree are at most 5 / 4 apart, so they lie in one band or in two side by side.
 BAND = 1.26
 
@@ -271,35 +277,154 @@ def _agree(a: list[int], n: int, where: dict[int, int]) -> bool:
     return True
 
 
+class _Rare:
+    """Which pairs of some texts may have ``least`` tokens in common order, told without comparing them in full.
+
+    Tokens are parted into frequent kinds, of which two texts have no more in common than the lesser count of each, and rare
+    ones, whose longest common subsequence is found for many pairs at once. Both together are never less than that of all tokens, however kinds are
+    parted; rare kinds beyond RARE_KINDS go by those of others, which only makes it more. The kinds are told from some of the texts.
+    """
+
+    def __init__(self, tokens: list[np.ndarray], sizes: np.ndarray):
+        n = len(tokens)
+        some = np.unique(np.linspace(0, n - 1, min(n, 1024)).astype(np.int64))
+        kinds, kind = np.unique(np.concatenate([tokens[k] for k in some]), return_inverse=True)
+        of = np.unique(np.repeat(some, sizes[some]) * len(kinds) + kind)
+        share = np.bincount(kind) / np.bincount(of % len(kinds), sizes[of // len(kinds)])
+        code, often = np.zeros(len(kinds), np.int64), share > OFTEN
+        for group, first in ((often, RARE_KINDS + 1), (~often, 0)):
+            order = np.flatnonzero(group)[np.argsort(-share[group], kind="stable")]
+            code[order] = np.arange(len(order)) % RARE_KINDS + first
+        self.counts = np.zeros((n, RARE_KINDS), np.int32)
+        rare = []
+        for k, t in enumerate(tokens):
+            at = np.minimum(np.searchsorted(kinds, t), len(kinds) - 1)
+            c = np.where(kinds[at] == t, code[at], (t >> 1) % RARE_KINDS)
+            self.counts[k] = np.bincount(c[c > RARE_KINDS] - RARE_KINDS - 1, minlength=RARE_KINDS)
+            rare.append(c[c < RARE_KINDS].astype(np.uint8))
+        self.sizes = np.array([len(r) for r in rare], np.int64)
+        self.rare = np.full((n, max(1, self.sizes.max())), RARE_KINDS, np.uint8)
+        for k, r in enumerate(rare):
+            self.rare[k, : len(r)] = r
+        # by word, text and kind: the places of the kind, a bit each; there once a text is asked for
+        self.places, self.known = np.zeros((-(-self.rare.shape[1] // 64), n, RARE_KINDS + 1), np.uint64), np.zeros(n, bool)
+
+    def may(self, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether texts ``i`` and ``j`` may have ``least`` tokens in common order."""
+        left = least - np.minimum(self.counts[i], self.counts[j]).sum(1)
+        out = left <= np.minimum(self.sizes[i], self.sizes[j])
+        # in groups of about as many rare tokens; fewer pairs are sooner compared in full
+        open_ = np.flatnonzero(out & (left > 0))
+        size = np.maximum(self.sizes[i], self.sizes[j])[open_]
+        group = np.floor(np.log(size) / np.log(BAND))
+        for g in np.unique(group).tolist():
+            x = open_[group == g]
+            if len(x) >= FEW_PAIRS * -(-int(size[group == g].max()) // 64):
+                out[x] = self._common(i[x], j[x], left[x])
+        return out
+
+    def _common(self, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+        new = np.unique(j[~self.known[j]])
+        row, at = np.nonzero(self.rare[new] < RARE_KINDS)
+        n = self.places.shape[1]
+        np.add.at(self.places.reshape(-1), ((at >> 6) * n + new[row]) * (RARE_KINDS + 1) + self.rare[new[row], at], np.uint64(1) << (at & 63).astype(np.uint64))
+        self.known[new] = True
+        words, steps = max(1, -(-int(self.sizes[j].max()) // 64)), int(self.sizes[i].max())
+        tables = [t.reshape(-1) for t in self.places[:words]]
+        out, live = np.zeros(len(i), bool), np.arange(len(i))
+        text, base, v = self.rare[i, :steps].astype(np.int64), j * (RARE_KINDS + 1), np.full((words, len(i)), np.iinfo(np.uint64).max, np.uint64)
+        done = 0
+        for part in range(4, 9):
+            for step in range(done, steps * part // 8):
+                where, carry = base + text[:, step], None
+                for w in range(words):
+                    hit = tables[w].take(where)
+                    hit &= v[w]
+                    total = v[w] + hit
+                    over = total < hit
+                    if carry is not None:
+                        total += carry
+                        over |= total < carry
+                    v[w] ^= hit
+                    v[w] |= total
+                    carry = over.astype(np.uint64)
+            done = steps * part // 8
+            common = words * 64 - np.bitwise_count(v).sum(0, dtype=np.int64)
+            keep = common + np.maximum(self.sizes[i] - done, 0) >= least
+            live, i, least, base, text, v = live[keep], i[keep], least[keep], base[keep], text[keep], v[:, keep]
+        out[live] = True
+        return out
+
+
+def _together(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs in portions of about ``n``."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for x in pairs:
+        held.append(x)
+        size += len(x[0])
+        if size >= n:
+            yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+            held, size = [], 0
+    if size:
+        yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+
+
+def _near_by_signature(signs: np.ndarray, sizes: np.ndarray, one: np.ndarray, two: np.ndarray, roles: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of texts of ``one`` and ``two`` (both by size), of use to each other and of about the same length, whose signatures are near enough for texts of that length, each once.
+
+    Products of matrices of 1 and -1 tell in how many bits folded signatures differ; only near ones are looked at in full.
+    """
+    same, folded = len(one) == len(two) and (one == two).all(), signs.view(np.uint8)
+    while folded.shape[1] * 8 > max(64, 2.5 * sizes.max()):
+        folded = _folded(folded)
+    bits = folded.shape[1] * 8
+    marks = lambda rows: np.unpackbits(folded[rows], axis=1).astype(np.float32) * 2 - 1
+    m, n = sizes[one], sizes[two]
+    for at in range(0, len(one), TILE):
+        own, left = m[at : at + TILE], marks(one[at : at + TILE])
+        low = at if same else int(np.searchsorted(n * 5, own[0] * 4))
+        high = int(np.searchsorted(n * 4, own[-1] * 5, side="right"))
+        # texts that agree have at most two fifths of the shorter one's tokens without a counterpart
+        least = (bits - 2 * (own * 2 // 5) - 0.5).astype(np.float32)[:, None]
+        for to in range(low, high, 4 * TILE):
+            x, y = np.nonzero(left @ marks(two[to : min(high, to + 4 * TILE)]).T >= least)
+            x, y = x + at, y + to
+            ok = (x < y) if same else np.ones(len(x), bool)
+            most, less = np.maximum(m[x], n[y]), np.minimum(m[x], n[y])
+            may = most + less - 2 * -(-most * 4 // 5)
+            ok &= (may >= 0) & ((roles[one[x]] & 1) * (roles[two[y]] & 2) + (roles[one[x]] & 2) * (roles[two[y]] & 1) > 0)
+            i, j, may = one[x[ok]], two[y[ok]], may[ok]
+            for k in range(0, len(i), PORTION >> 4):
+                z = slice(k, k + (PORTION >> 4))
+                near = np.bitwise_count(signs[i[z]] ^ signs[j[z]]).sum(1, dtype=np.int32) <= may[z]
+                yield i[z][near], j[z][near]
+
+
 def _meet(rows: pa.Table) -> pa.Table:
     """a, b: texts of the rows' one block, or of one of its two blocks and the other, that agree by their tokens' numbers and are of use."""
     rows = rows.take(np.argsort(rows.column("m").to_numpy(), kind="stable"))
-    sizes, roles, reps = (rows.column(x).to_numpy() for x in ("m", "roles", "rep"))
+    sizes, roles, reps = (rows.column(x).to_numpy().astype(np.int64) for x in ("m", "roles", "rep"))
     tokens = [np.frombuffer(x, np.int32) for x in rows.column("tokens").to_pylist()]
     bits = int(np.clip(np.ceil(np.log2(sizes.max() * 4)), 6, 13))
     signs = np.stack([_signature(_grams(t), bits) for t in tokens]).view(np.uint64)
     side = rows.column("band").to_numpy().astype(np.int64) << 32 | rows.column("block").to_numpy()
     one, two = (np.flatnonzero(side == x) for x in (side.min(), side.max()))
+    told = _Rare(tokens, sizes)
     places: dict[int, dict[int, int]] = {}
     lists: dict[int, list[int]] = {}
     left, right = [], []
-    m, met = sizes[two], signs[two]
-    for k, i in enumerate(one):
-        low = k + 1 if side.min() == side.max() else np.searchsorted(m * 5, sizes[i] * 4)
-        high = np.searchsorted(m * 4, sizes[i] * 5, side="right")
-        apart = np.bitwise_count(met[low:high] ^ signs[i]).sum(1, dtype=np.int32)
-        may = sizes[i] + m[low:high] - 2 * -(-np.maximum(sizes[i], m[low:high]) * 4 // 5)
-        other = roles[two[low:high]]
-        of_use = (roles[i] & 1) * (other & 2) + (roles[i] & 2) * (other & 1) > 0
-        for j in two[low:high][of_use & (apart <= may)]:
-            for x in (i, j):
-                if x not in lists:
-                    lists[x] = tokens[x].tolist()
-            if j not in places:
-                places[j] = _places(lists[j])
-            if _agree(lists[i], len(lists[j]), places[j]):
-                left.append(min(reps[i], reps[j]))
-                right.append(max(reps[i], reps[j]))
+    for i, j in _together(_near_by_signature(signs, sizes, one, two, roles), RARE_PAIRS):
+        may = told.may(i, j, -(-np.maximum(sizes[i], sizes[j]) * 4 // 5))
+        for x, y in zip(i[may].tolist(), j[may].tolist()):
+            for k in (x, y):
+                if k not in lists:
+                    lists[k] = tokens[k].tolist()
+            if y not in places:
+                places[y] = _places(lists[y])
+            if _agree(lists[x], len(lists[y]), places[y]):
+                left.append(min(reps[x], reps[y]))
+                right.append(max(reps[x], reps[y]))
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
